@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracksmith.llm import bpe, html_text, langid, license, quality, repetition, simhash
+from tracksmith.llm import bpe, decontaminate, html_text, langid, license, pitman_yor, quality, repetition, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_repetition": repetition.op3_repetition,
     "op4_langid": langid.op4_langid,
     "op5_html": html_text.op5_html,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_warc": warc.op7_warc,
     "op8_license": license.op8_license,
     "op9_simhash": simhash.op9_simhash,
+    "op10_pitman_yor": pitman_yor.op10_pitman_yor,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tracksmith.plans import evaluation_queries, splits_queries, trajectory_queries  # noqa: F401
+from tracksmith.plans.splits_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

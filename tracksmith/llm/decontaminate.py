@@ -207,16 +207,21 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns."""
     for items in groups(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.where(_clean(docs.sparkSession, items)("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            index = Benchmark(sent.value)
-            for texts in parts:
-                yield pd.Series([not index.find(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _clean(spark: SparkSession, items: list[tuple]):
+    """A column function text -> whether it holds none of the items."""
+    sent = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Benchmark(sent.value)
+        for texts in parts:
+            yield pd.Series([not index.find(t) for t in texts], dtype=bool)
+
+    return run
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

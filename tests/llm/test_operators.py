@@ -198,6 +198,8 @@ def test_shared_is_a_longest_common_subsequence():
 def test_lines():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><!-- x --><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>one<br>two<p><b>th</b>ree  four<div class=\"comments\">no</div></article><footer>f</footer><script>var a='<p>x</p>';</script></body></html>"
     assert html_text.main_text(html_text.lines(page), None) == "A & B\none two\nthree four"
+    page = "<body class='has-sidebar'><div class='with-comments'><header>Site</header><main><article><header class='post-header'><h1>T</h1></header><p>x</p><aside>a</aside><form><p>f</p></form></article><section id='comments'><p>c</p></section></main><div class='sidebar left'>s</div></div>"
+    assert html_text.main_text(html_text.lines(page), None) == "T\nx"
     assert html_text.lines(None) == [] and html_text.lines("") == []
     assert html_text.main_text(html_text.lines("<p>menu</p><p>own</p><p>foot</p>"), html_text.lines("<p>menu</p><p>other</p><p>foot</p>")) == "own"
 

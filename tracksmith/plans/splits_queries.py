@@ -55,12 +55,12 @@ def _(spark, d):
     return splits.pairwise_overlaps(sliced(spark, d), "split", "task_id")
 
 
-LARGEST = "largest AS (SELECT stratum, CAST(floor + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= 400 - sum(floor) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT stratum, 400 * n // sum(n) OVER () AS floor, 400 * n % sum(n) OVER () AS rest FROM sizes))"
+LARGEST = "largest AS (SELECT stratum, CAST(floor + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= 120 - sum(floor) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT stratum, 120 * n // sum(n) OVER () AS floor, 120 * n % sum(n) OVER () AS rest FROM sizes))"
 
 
 @query("sp_4", f"WITH {TASKS}, {SIZES}, {LARGEST} SELECT * FROM largest")
 def _(spark, d):
-    return splits.largest_remainder(splits.sizes(tasks(spark, d), "composition"), 400)
+    return splits.largest_remainder(splits.sizes(tasks(spark, d), "composition"), 120)
 
 
 SHARES = "shares AS (SELECT stratum, CAST(floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, stratum) <= 200 - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT stratum, 200::DOUBLE * n / sum(n) OVER () AS exact FROM sizes))"
@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("sp_11", f"WITH {TASKS}, {SIZES}, {LARGEST}, {RANKED} SELECT r.composition, r.task_id, r.rank FROM ranked r JOIN largest l ON l.stratum = r.composition WHERE r.rank <= l.quota")
 def _(spark, d):
-    return splits.stratified_plan(tasks(spark, d), "composition", "task_id", SEED, 400)
+    return splits.stratified_plan(tasks(spark, d), "composition", "task_id", SEED, 120)
 
 
 def wave_state(spark, d):

@@ -341,8 +341,41 @@ def test_fingerprints_and_classes(docs, no_docs):
     assert simhash.classes(no_docs).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in known})
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert groups.pop(None) is None and all(groups[c] == c <= i for i, c in groups.items())
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(groups.values()))
+    assert simhash.similar(no_docs).count() == simhash.keep_one(no_docs).count() == 0
+
+
+def similarity(a, b):
+    """Of the sets of five-word shingles."""
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(lowered(t)) for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_linked(spark):
+    """Against all pairs: near copies, also in a large group; other texts of the same vocabulary stay apart."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(800)]
+    texts = []
+    for family in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(80, 400))))
+        texts.append((family, " ".join(words)))
+        for _ in range(200 if family == 7 else family % 4):
+            copy = list(words)
+            for at in rng.choice(len(copy), len(copy) // 100, replace=False):
+                copy[at] = str(rng.choice(vocabulary))
+            texts.append((family, " ".join(copy)))
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[k][1], "clash") for i, k in enumerate(order)]
+    family = {int(i): texts[k][0] for i, k in enumerate(order)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, w0 string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if family[i] == family[j] != 7 or (i + j) % 9 == 0]
+    close = [(i, j) for i, j in pairs if similarity(rows[i][1], rows[j][1]) >= 0.8]
+    assert len(close) > 1000 and sum(got[i] == got[j] for i, j in close) >= 0.99 * len(close)
+    assert all(family[i] == family[c] for i, c in got.items())
+    assert {r["doc_id"] for r in simhash.keep_one(frame).collect()} == set(got.values())
 
 
 def test_links_connect_all_within_radius(spark):

@@ -14,6 +14,17 @@ anchors are compared by shifts over the whole batch; in a large one (a big group
 drops what it has reached, so that dense groups cost about as much as they have members. Each anchor emits a tree of its
 links, not all pairs; connected components of the trees are those of all links.
 
+classes() has these fingerprints. similar() and keep_one() are for texts of a similarity of 0.8 or more in five-word
+shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So a text has two fingerprints there:
+
+* NEAR, 128 bits over its words, each weighted by 1 + ln(count): near copies share almost all words. Six blocks as above
+  find all pairs within 11 bits, since 12 need two in every block; and over 94 % of those at 12 to NEAR_RADIUS (14) bits.
+* LIKE, 256 bits over its five-word shingles: texts of similarity s differ in a share arccos(2 s / (1 + s)) / pi of the
+  bits in the mean, 39 at 0.8, with a standard deviation of 6. LIKE_RADIUS (50) lies two above, so that 97 % of the pairs
+  at exactly 0.8 pass and nearly all that are more similar; so do half of those at 0.7.
+
+Two texts are linked if both hold.
+
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; rows with a null
 doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; an empty table gives no
 rows; other columns are ignored, or kept by keep_one().
@@ -21,7 +32,9 @@ rows; other columns are ignored, or kept by keep_one().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +48,15 @@ from tracksmith.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: First bit and bits of each block.
+#: First bit and bits of each block of 64 bits.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 CODE_BITS = 15
+NEAR_WORDS, NEAR_RADIUS = 2, 14
+LIKE_SHINGLE, LIKE_WORDS, SIMILARITY = 5, 4, 0.8
+_SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Two standard deviations above the bits in which two texts of that similarity differ in the mean.
+LIKE_RADIUS = int(64 * LIKE_WORDS * _SHARE + 2 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
+WORDS_KEPT = 300_000
 #: Anchors of more rows are searched breadth-first.
 LARGE = 96
 
@@ -76,6 +95,85 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return code
+
+
+_codes = _Codes()
+
+
+def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several independent hashes of each hash."""
+    with np.errstate(over="ignore"):
+        a = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        a = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        a = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return a ^ (a >> np.uint64(32))
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of 64 n bits as n numbers; weights are whole numbers under 4096, so that sums of 4096 are exact in float32."""
+    total = np.zeros(64 * n)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        bits = np.unpackbits(np.stack([_spread(part, k) for k in range(n)], 1).view(np.uint8), axis=1, bitorder="little")
+        total += weights[at : at + 4096].astype(np.float32) @ bits.astype(np.float32)
+    return np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)
+
+
+def signature(text: str | None) -> np.ndarray:
+    """NEAR and LIKE fingerprints as NEAR_WORDS + LIKE_WORDS numbers; zeros if there is no word."""
+    words = common.lower_words(text)
+    if not words:
+        return np.zeros(NEAR_WORDS + LIKE_WORDS, np.uint64)
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    distinct, counts = np.unique(codes, return_counts=True)
+    near = _majority(distinct, np.rint(64 * (1 + np.log(counts))), NEAR_WORDS)
+    size = min(LIKE_SHINGLE, len(codes))
+    runs = np.zeros(len(codes) - size + 1, np.uint64)
+    for k in range(size):
+        runs = _spread(runs ^ codes[k : k + len(runs)], 7 + k)
+    return np.concatenate([near, _majority(runs, np.ones(len(runs)), LIKE_WORDS)])
+
+
+_SIGNATURE = [f"w{k}" for k in range(NEAR_WORDS + LIKE_WORDS)]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, w0, w1, ...) of every row; numbers as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "doc_id", "text"):
+            found = np.array([signature(t) for _, t in part], np.uint64).reshape(len(part), -1).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in part], pa.int64())} | {w: found[:, k] for k, w in enumerate(_SIGNATURE)})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{w} long" for w in _SIGNATURE]]))
+
+
+class Rule(NamedTuple):
+    """When nodes are linked: the first `words` numbers differ in `radius` bits at most, the others in `like` (if there are any)."""
+
+    words: int = 1
+    radius: int = RADIUS
+    like: int | None = None
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Row by row; a, b: matrices of numbers, or one of them a single row."""
+        near = np.bitwise_count(a[..., : self.words] ^ b[..., : self.words]).sum(-1, dtype=np.int64) <= self.radius
+        if self.like is not None:
+            at = np.flatnonzero(near)
+            near[at] = np.bitwise_count((a[at] if a.ndim == 2 else a)[..., self.words :] ^ (b[at] if b.ndim == 2 else b)[..., self.words :]).sum(-1, dtype=np.int64) <= self.like
+        return near
+
+
+CONTRACT = Rule()
+SIMILAR = Rule(NEAR_WORDS, NEAR_RADIUS, LIKE_RADIUS)
+
+
 def _syndrome(bits: np.ndarray) -> np.ndarray:
     """Of the Hamming code: the xor of the (one-based) places of set bits; a code word has 0."""
     out = np.zeros(bits.shape, np.uint64)
@@ -84,12 +182,16 @@ def _syndrome(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(cell, index into fp, whether it is the home) for every anchor within 2 bits of fp's block, block by block."""
-    everyone = np.arange(len(fp))
+def anchors(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, row of prints, whether it is the home) for every anchor within 2 bits of a block, block by block.
+
+    prints: a row of 64-bit numbers a fingerprint; each number has three blocks.
+    """
+    everyone = np.arange(len(prints))
     one = np.uint64(1)
-    for block, (first, width) in enumerate(BLOCKS):
-        value = (fp >> np.uint64(first)) & np.uint64((1 << width) - 1)
+    for block in range(len(BLOCKS) * prints.shape[1]):
+        number, (first, width) = block // len(BLOCKS), BLOCKS[block % len(BLOCKS)]
+        value = (prints[:, number] >> np.uint64(first)) & np.uint64((1 << width) - 1)
         code, free = value & np.uint64((1 << CODE_BITS) - 1), value >> np.uint64(CODE_BITS)
         syndrome = _syndrome(code)
         mark = np.uint64(block) << np.uint64(40)
@@ -99,9 +201,9 @@ def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
         off = syndrome != 0
         home = np.where(off, code ^ (one << (np.maximum(syndrome, one) - one)), code)
-        yield cell(home, free), everyone, np.ones(len(fp), bool)
+        yield cell(home, free), everyone, np.ones(len(prints), bool)
         for i in range(width - CODE_BITS):  # the home code word, the free bits one away
-            yield cell(home, free ^ (one << np.uint64(i))), everyone, np.zeros(len(fp), bool)
+            yield cell(home, free ^ (one << np.uint64(i))), everyone, np.zeros(len(prints), bool)
             for j in range(i):  # two away, where the code bits are a word themselves
                 some = everyone[~off]
                 yield cell(home[some], free[some] ^ (one << np.uint64(i)) ^ (one << np.uint64(j))), some, np.zeros(len(some), bool)
@@ -112,79 +214,86 @@ def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             yield cell(code[some] ^ flips, free[some]), some, np.zeros(len(some), bool)
 
 
-def _tree(members: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect those of members (all different) that are connected, in one anchor."""
-    left = members.view(np.uint64).copy()
+def _tree(key: np.ndarray, prints: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links that connect those rows of prints (all different) that are connected, in one anchor."""
+    left = np.arange(len(key))
     links = []
     while len(left):
-        frontier, left = [left[0]], left[1:]
-        root = frontier[0]
+        root, frontier, left = left[0], [left[0]], left[1:]
         while frontier and len(left):
-            now = frontier.pop()
-            near = np.bitwise_count(left ^ now) <= RADIUS
+            near = rule.holds(prints[left], prints[frontier.pop()])
             if near.any():
                 reached = left[near]
-                links.extend((int(x.view(np.int64)), int(root.view(np.int64))) for x in reached)
+                links.extend((int(x), int(key[root])) for x in key[reached])
                 frontier.extend(reached)
                 left = left[~near]
     return links
 
 
-def _compare(cell: np.ndarray, fp: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """Links (n x 2) within whole anchors; rows are in order of the anchor, those at home first."""
+def _compare(cell: np.ndarray, home: np.ndarray, key: np.ndarray, prints: np.ndarray, rule: Rule) -> np.ndarray:
+    """Links (n x 2, of keys) within whole anchors; rows are in order of the anchor, those at home first."""
     start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     size = np.diff(np.append(start, len(cell)))
     out = []
     small = np.repeat(size <= LARGE, size)
     place = np.arange(len(cell)) - np.repeat(start, size)
     room = np.repeat(size, size) - place  # rows from here to the anchor's end
-    bits = fp.view(np.uint64)
     at = np.flatnonzero(small & home & (room > 1))
     shift = 1
     while len(at):
-        near = np.bitwise_count(bits[at] ^ bits[at + shift]) <= RADIUS
-        out.append(np.stack([fp[at[near]], fp[at[near] + shift]], 1))
+        near = rule.holds(prints[at], prints[at + shift])
+        out.append(np.stack([key[at[near]], key[at[near] + shift]], 1))
         shift += 1
         at = at[room[at] > shift]
     for k in np.flatnonzero(size > LARGE):
-        links = _tree(fp[start[k] : start[k] + size[k]])
+        whole = slice(start[k], start[k] + size[k])
+        links = _tree(key[whole], prints[whole], rule)
         if links:
             out.append(np.array(links, np.int64))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links between the different fingerprints in nodes' column fp, enough to connect all that are connected."""
+def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str] = ("fp",), rule: Rule = CONTRACT) -> DataFrame:
+    """(a, b): links between keys of nodes, enough to connect all that are connected.
+
+    nodes: one row for each different fingerprint, whose 64-bit parts are the columns `numbers`, as signed longs.
+    """
+    carried = list(dict.fromkeys([key, *numbers]))
+    of = [carried.index(n) for n in numbers]
+
+    def matrix(columns: list[np.ndarray]) -> np.ndarray:
+        return np.stack([columns[k] for k in of], 1).view(np.uint64)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_of = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low in range(0, len(all_of), 20_000):
-                fp = all_of[low : low + 20_000]
-                found = [(c, fp[i], h) for c, i, h in anchors(fp.view(np.uint64))]
-                yield pa.RecordBatch.from_pydict({"cell": np.concatenate([c for c, _, _ in found]), "fp": np.concatenate([f for _, f, _ in found]), "home": np.concatenate([h for _, _, h in found])})
+            for low in range(0, batch.num_rows, 5_000):
+                part = batch.slice(low, 5_000)
+                columns = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(carried))]
+                found = list(anchors(matrix(columns)[:, : rule.words]))
+                at = np.concatenate([i for _, i, _ in found])
+                yield pa.RecordBatch.from_pydict({"cell": np.concatenate([c for c, _, _ in found]), "home": np.concatenate([h for _, _, h in found])} | {c: columns[k][at] for k, c in enumerate(carried)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def pairs(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            found = _compare(*columns)
+            found = _compare(columns[0], columns[1], columns[2], matrix(list(columns[2:])), rule)
             return pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
 
         for batch in batches:
-            new = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            new = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + len(carried)))
             if not len(new[0]):
                 continue
             held.append(new)
             if held[0][0][0] != new[0][-1]:  # a new anchor has begun: all anchors before it are whole
-                whole = tuple(np.concatenate([h[k] for h in held]) for k in range(3))
+                whole = tuple(np.concatenate([h[k] for h in held]) for k in range(len(new)))
                 edge = int(np.searchsorted(whole[0], whole[0][-1]))
                 held = [tuple(c[edge:] for c in whole)]
                 yield pairs(tuple(c[:edge] for c in whole))
         if held:
-            yield pairs(tuple(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield pairs(tuple(np.concatenate([h[k] for h in held]) for k in range(len(held[0]))))
 
-    cells = nodes.select("fp").mapInArrow(replicate, "cell long, fp long, home boolean")
+    cells = nodes.select(*carried).mapInArrow(replicate, ", ".join(["cell long", "home boolean", *[f"{c} long" for c in carried]]))
     return cells.repartition("cell").sortWithinPartitions("cell", F.desc("home")).mapInArrow(compare, "a long, b long")
 
 
@@ -199,9 +308,18 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row of docs; texts are linked by SIMILAR, a component is named by its least id."""
+    found = common.cut(signatures(docs))
+    nodes = common.cut(found.where("doc_id is not null").groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("least")))
+    groups = common.cut(components(links(nodes, "least", _SIGNATURE, SIMILAR)))
+    named = nodes.join(groups.select(F.col("node").alias("least"), "component"), "least", "left").select(*_SIGNATURE, F.coalesce("component", "least").alias("component_id"))
+    return found.join(named, _SIGNATURE, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs, the one of the least id, of each group of near-duplicates; rows with a null id stay."""
-    found = common.cut(classes(docs))
+    """One row of docs, the one of the least id, of each group of similar(); rows with a null id stay."""
+    found = common.cut(similar(docs))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")

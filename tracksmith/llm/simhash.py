@@ -11,8 +11,8 @@ RADIUS (4) bits or fewer are linked. To find all links without comparing all pai
 
 Equal fingerprints are one node from the start. An anchor's rows stream through a task in order of the anchor. Small
 anchors are compared by shifts over the whole batch; in a large one (a big group of near copies) a breadth-first search
-drops what it has reached, so that dense groups cost about as much as they have members. Each anchor emits a tree of its
-links, not all pairs; connected components of the trees are those of all links.
+drops what it has reached, so that dense groups cost about as much as they have members. A batch of anchors emits each
+fingerprint with the least that it reaches there, not all pairs; connected components of these are those of all links.
 
 classes() has these fingerprints. similar() and keep_one() are for texts of a similarity of 0.8 or more in five-word
 shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So a text has two fingerprints there:
@@ -230,6 +230,25 @@ def _tree(key: np.ndarray, prints: np.ndarray, rule: Rule) -> list[tuple[int, in
     return links
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Links that connect what pairs connect: each key with the least one it reaches, so no more links than keys."""
+    keys, place = np.unique(pairs, return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    label = np.arange(len(keys))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(keys))
+    return np.stack([keys[moved], keys[label[moved]]], 1)
+
+
 def _compare(cell: np.ndarray, home: np.ndarray, key: np.ndarray, prints: np.ndarray, rule: Rule) -> np.ndarray:
     """Links (n x 2, of keys) within whole anchors; rows are in order of the anchor, those at home first."""
     start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
@@ -250,7 +269,7 @@ def _compare(cell: np.ndarray, home: np.ndarray, key: np.ndarray, prints: np.nda
         links = _tree(key[whole], prints[whole], rule)
         if links:
             out.append(np.array(links, np.int64))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return _stars(np.concatenate(out)) if out else np.empty((0, 2), np.int64)
 
 
 def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str] = ("fp",), rule: Rule = CONTRACT) -> DataFrame:

@@ -36,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, WITHIN = 128, 16, 31
 ITEMS = 20_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _P = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 

@@ -30,7 +30,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _FAMILY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA6BC2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
 
 

@@ -56,7 +56,6 @@ LIKE_SHINGLE, LIKE_WORDS, SIMILARITY = 5, 4, 0.8
 _SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Two standard deviations above the bits in which two texts of that similarity differ in the mean.
 LIKE_RADIUS = int(64 * LIKE_WORDS * _SHARE + 2 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
-WORDS_KEPT = 300_000
 #: Anchors of more rows are searched breadth-first.
 LARGE = 96
 
@@ -95,17 +94,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return code
-
-
-_codes = _Codes()
-
-
 def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th of several independent hashes of each hash."""
     with np.errstate(over="ignore"):
@@ -130,7 +118,7 @@ def signature(text: str | None) -> np.ndarray:
     words = common.lower_words(text)
     if not words:
         return np.zeros(NEAR_WORDS + LIKE_WORDS, np.uint64)
-    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     distinct, counts = np.unique(codes, return_counts=True)
     near = _majority(distinct, np.rint(64 * (1 + np.log(counts))), NEAR_WORDS)
     size = min(LIKE_SHINGLE, len(codes))
@@ -285,8 +273,8 @@ def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 5_000):
-                part = batch.slice(low, 5_000)
+            for low in range(0, batch.num_rows, 1_000):
+                part = batch.slice(low, 1_000)
                 columns = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(carried))]
                 found = list(anchors(matrix(columns)[:, : rule.words]))
                 at = np.concatenate([i for _, i, _ in found])

@@ -147,10 +147,9 @@ def _(spark, d):
     return read(spark, d, "events").select("event_id", transcripts.observation(choice, feedback).alias("kind"))
 
 
-@query("t_16", "SELECT doc_id, lower(text) LIKE '% the of %' OR lower(text) LIKE '%general public%' AS found FROM documents WHERE lang = 'en' AND text NOT LIKE '%' || chr(10) || '%'")
+@query("t_16", r"WITH c AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) || ' ' AS c FROM documents) SELECT doc_id, c LIKE '%_ the of _%' OR c LIKE '%general public%' AS found FROM c")
 def _(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en' AND NOT contains(text, '\n')")
-    return docs.select("doc_id", transcripts.contains_any(F.col("text"), [" the of ", "general public"]).alias("found"))
+    return read(spark, d, "documents").select("doc_id", transcripts.contains_any(F.col("text"), [" the of ", "general public"]).alias("found"))
 
 
 @query("t_18", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'hotel' END AS aspect FROM customer")

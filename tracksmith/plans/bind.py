@@ -71,14 +71,14 @@ CREDITED = TURNS + """, credited AS (SELECT *, choice = 'action' AND event_id %
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is a rollout of the customer's prompt; six a prompt at most."""
+    """An order is a rollout; every six of a customer's are one prompt's, the last prompt may have fewer."""
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid"), n.cast("long").alias("row"), (F.floor(F.col("o_totalprice") / 1000) % 4 / 4.0).alias("reward"), (F.col("o_orderkey") % 9 == 0).alias("invalid"), (F.col("o_orderstatus") == "P").alias("degraded"), F.col("o_orderkey").alias("orderkey"))
-    return o.where("row < 6").withColumn("batch", F.expr("row DIV 2"))
+    o = read(spark, sf_dir, "orders").withColumn("n", n.cast("long")).select(F.expr("o_custkey * 1000000 + n DIV 6").alias("uid"), F.expr("n % 6").alias("row"), (F.floor(F.col("o_totalprice") / 1000) % 4 / 4.0).alias("reward"), (F.col("o_orderkey") % 9 == 0).alias("invalid"), (F.col("o_orderstatus") == "P").alias("degraded"), F.col("o_orderkey").alias("orderkey"))
+    return o.withColumn("batch", F.expr("row DIV 2"))
 
 
-ROLLOUTS = """rollouts AS (SELECT *, row // 2 AS batch FROM (SELECT o_custkey AS uid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row,
-  (CAST(floor(o_totalprice / 1000) AS BIGINT) % 4) / 4.0::DOUBLE AS reward, o_orderkey % 9 = 0 AS invalid, o_orderstatus = 'P' AS degraded, o_orderkey AS orderkey FROM orders) WHERE row < 6)"""
+ROLLOUTS = """rollouts AS (SELECT *, row // 2 AS batch FROM (SELECT o_custkey * 1000000 + n // 6 AS uid, n % 6 AS row,
+  (CAST(floor(o_totalprice / 1000) AS BIGINT) % 4) / 4.0::DOUBLE AS reward, o_orderkey % 9 = 0 AS invalid, o_orderstatus = 'P' AS degraded, o_orderkey AS orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)))"""
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:

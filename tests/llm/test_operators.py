@@ -482,3 +482,32 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(80))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_duplicate_classes_are_exact(spark):
+    """Copies of every degree: classes are connected by pairs of similarity 0.8 or more, in one chunk as in many."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(900)]
+    texts = []
+    for family in range(24):
+        words = list(rng.choice(vocabulary, int(rng.integers(60, 200))))
+        for k in range(60 if family < 2 else 8):
+            copy = list(words)
+            for at in rng.choice(len(copy), len(copy) * (k % 8) // 100, replace=False):
+                copy[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    whole, cut = ({r["doc_id"]: r["component_id"] for r in simhash.similar(frame, chunk).collect()} for chunk in (10**6, 900))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    close = []
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                close.append((i, j))
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert all(label[i] == label[c] for i, c in whole.items())
+    assert sum(whole[i] == whole[j] for i, j in close) >= 0.99 * len(close)
+    assert whole == cut
+    assert len(set(label)) > 30

@@ -20,10 +20,11 @@ shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So a
 * NEAR, 128 bits over its words, each weighted by 1 + ln(count): near copies share almost all words. Six blocks as above
   find all pairs within 11 bits, since 12 need two in every block; and over 94 % of those at 12 to NEAR_RADIUS (14) bits.
 * LIKE, 256 bits over its five-word shingles: texts of similarity s differ in a share arccos(2 s / (1 + s)) / pi of the
-  bits in the mean, 39 at 0.8, with a standard deviation of 6. LIKE_RADIUS (50) lies two above, so that 97 % of the pairs
-  at exactly 0.8 pass and nearly all that are more similar; so do half of those at 0.7.
+  bits in the mean, 39 at 0.8, with a standard deviation of 6. LIKE_RADIUS (56) lies three above, so that 99.8 % of the
+  pairs at exactly 0.8 pass and nearly all that are more similar.
 
-Two texts are linked if both hold.
+Two texts are candidates if both hold; those connected make a class. Texts are linked if the Jaccard similarity of their
+sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; rows with a null
 doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; an empty table gives no
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm import common
+from tracksmith.llm import common, confirm
 from tracksmith.llm.components import components
 
 SHINGLE = 4
@@ -54,8 +55,8 @@ CODE_BITS = 15
 NEAR_WORDS, NEAR_RADIUS = 2, 14
 LIKE_SHINGLE, LIKE_WORDS, SIMILARITY = 5, 4, 0.8
 _SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-#: Two standard deviations above the bits in which two texts of that similarity differ in the mean.
-LIKE_RADIUS = int(64 * LIKE_WORDS * _SHARE + 2 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
+#: Three standard deviations above the bits in which two texts of that similarity differ in the mean.
+LIKE_RADIUS = int(64 * LIKE_WORDS * _SHARE + 3 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
 #: Anchors of more rows are searched breadth-first.
 LARGE = 96
 
@@ -113,33 +114,61 @@ def _majority(hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)
 
 
-def signature(text: str | None) -> np.ndarray:
-    """NEAR and LIKE fingerprints as NEAR_WORDS + LIKE_WORDS numbers; zeros if there is no word."""
-    words = common.lower_words(text)
-    if not words:
-        return np.zeros(NEAR_WORDS + LIKE_WORDS, np.uint64)
-    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    distinct, counts = np.unique(codes, return_counts=True)
-    near = _majority(distinct, np.rint(64 * (1 + np.log(counts))), NEAR_WORDS)
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """A hash of each shingle of LIKE_SHINGLE words (of the whole text, if shorter)."""
     size = min(LIKE_SHINGLE, len(codes))
-    runs = np.zeros(len(codes) - size + 1, np.uint64)
+    runs = np.zeros(max(len(codes) - size + 1, 0) if size else 0, np.uint64)
     for k in range(size):
         runs = _spread(runs ^ codes[k : k + len(runs)], 7 + k)
-    return np.concatenate([near, _majority(runs, np.ones(len(runs)), LIKE_WORDS)])
+    return runs
+
+
+def _codes(text: str | None) -> np.ndarray:
+    words = common.lower_words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of a text's different shingles, in order; none if there is no word."""
+    return np.unique(_runs(_codes(text)))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """One number for a shingle set, as a signed long; 0 for the empty set."""
+    return int(_spread(shingles, 20).sum(dtype=np.uint64).view(np.int64)) if len(shingles) else 0
+
+
+def signature(text: str | None) -> tuple[int, int, np.ndarray]:
+    """Name and size of the shingle set; NEAR and LIKE fingerprints as NEAR_WORDS + LIKE_WORDS numbers, zeros if there is no word."""
+    codes = _codes(text)
+    if not len(codes):
+        return 0, 0, np.zeros(NEAR_WORDS + LIKE_WORDS, np.uint64)
+    distinct, counts = np.unique(codes, return_counts=True)
+    near = _majority(distinct, np.rint(64 * (1 + np.log(counts))), NEAR_WORDS)
+    runs = _runs(codes)
+    shingles = np.unique(runs)
+    return set_name(shingles), len(shingles), np.concatenate([near, _majority(runs, np.ones(len(runs)), LIKE_WORDS)])
 
 
 _SIGNATURE = [f"w{k}" for k in range(NEAR_WORDS + LIKE_WORDS)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, w0, w1, ...) of every row; numbers as signed longs."""
+    """(doc_id, node, size, w0, w1, ...) of every row; numbers as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.rows(batches, "doc_id", "text"):
-            found = np.array([signature(t) for _, t in part], np.uint64).reshape(len(part), -1).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in part], pa.int64())} | {w: found[:, k] for k, w in enumerate(_SIGNATURE)})
+            found = [signature(t) for _, t in part]
+            prints = np.array([p for _, _, p in found], np.uint64).reshape(len(part), -1).view(np.int64)
+            own = {"doc_id": pa.array([i for i, _ in part], pa.int64()), "node": pa.array([n for n, _, _ in found], pa.int64()), "size": pa.array([n for _, n, _ in found], pa.int64())}
+            yield pa.RecordBatch.from_pydict(own | {w: prints[:, k] for k, w in enumerate(_SIGNATURE)})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE]]))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{w} long" for w in _SIGNATURE]]))
+def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which rows of numbers are within LIKE_RADIUS of one."""
+    return np.bitwise_count(many[:, NEAR_WORDS:] ^ one[NEAR_WORDS:]).sum(1, dtype=np.int64) <= LIKE_RADIUS
 
 
 class Rule(NamedTuple):
@@ -315,13 +344,17 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row of docs; texts are linked by SIMILAR, a component is named by its least id."""
+def similar(docs: DataFrame, chunk: int = confirm.CHUNK) -> DataFrame:
+    """(doc_id, component_id) of every row of docs; texts of similarity 0.8 are linked, a component is named by its least id."""
     found = common.cut(signatures(docs))
-    nodes = common.cut(found.where("doc_id is not null").groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("least")))
-    groups = common.cut(components(links(nodes, "least", _SIGNATURE, SIMILAR)))
-    named = nodes.join(groups.select(F.col("node").alias("least"), "component"), "least", "left").select(*_SIGNATURE, F.coalesce("component", "least").alias("component_id"))
-    return found.join(named, _SIGNATURE, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    row = F.min(F.struct("doc_id", "size", *_SIGNATURE)).alias("row")  # a set may have several fingerprints: those of its least text
+    nodes = common.cut(found.where("doc_id is not null").groupBy("node").agg(row).select("node", F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE]))
+    members = nodes.join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = components(confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk))
+    joined = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return found.join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

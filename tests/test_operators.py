@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.functions import expr
-from tracksmith.operators import control, credit, evaluation, groups, reward, splits
+from tracksmith.operators import control, credit, evaluation, groups, recovery, reward, splits
 from tracksmith.sources import tables
 from tracksmith.streaming import control as stream
 
@@ -199,3 +199,49 @@ def test_entry_works_without_the_llm_subpackage(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert "a_1" in __spark_entry__.queries() and not any(k.startswith("op") for k in __spark_entry__.queries())
+
+
+def test_aligned_replay_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(t, n, rng.choice([None, None, 0, 1, 2, 7]), rng.random() < 0.4, rng.random() < 0.95) for t in range(60) for n in range(rng.randint(1, 9))]
+    expected = {}
+    for t in range(60):
+        current, closed, ok = 0, set(), True
+        for _, _, named, closes, feedback in sorted((r for r in rows if r[0] == t), key=lambda r: r[1]):
+            left = [a for a in range(3) if a not in closed]
+            if current in closed and left:
+                current = next((a for a in left if a > current), left[0])
+            if named in left:
+                current = named
+            if not feedback:
+                ok = False
+            elif closes:
+                closed.add(current)
+        expected[t] = (current, ",".join(map(str, sorted(closed))), ok)
+    frame = spark.createDataFrame(rows, "trajectory int, turn int, named int, closes boolean, feedback boolean").repartition(3)
+    got = {r["trajectory"]: (r["current"], r["closed"], r["ok"]) for r in recovery.aligned_replay(frame, "trajectory", "turn", 3).collect()}
+    assert got == expected
+
+
+def test_partial_counts_against_all_choices():
+    import itertools
+
+    for sizes in ([2, 3], [4, 4, 3], [2, 3, 4, 6]):
+        aspects = {f"t{i}": n for i, n in enumerate(sizes)}
+        totals = {sum(k * 12 // n for k, n in zip(ks, sizes, strict=True)) for ks in itertools.product(*(range(1, n) for n in sizes))}
+        for target in range(0, 50):
+            best, counts = recovery.partial_counts(aspects, target)
+            assert best == min(totals, key=lambda x: (abs(x - target), x))
+            assert sum(counts[t] * 12 // n for t, n in aspects.items()) == best and all(0 < counts[t] < n for t, n in aspects.items())
+    with pytest.raises(ValueError):
+        recovery.partial_counts({"one": 1}, 3)
+
+
+def test_messages_and_options(spark):
+    rows = [("assistant", "x", None, None, "assistant", "x", None, None, True), ("assistant", "x", "f", "{", "assistant", "x", "f", "{", False), ("user", None, None, None, "user", "", "f", "{}", True), ("assistant", "x", "f", "{}", "assistant", "x", None, None, False)]
+    df = spark.createDataFrame(rows, "r string, c string, n string, a string, s string, d string, m string, b string, want boolean")
+    side = lambda *names: F.struct(*[F.col(x).alias(y) for x, y in zip(names, ("role", "content", "name", "arguments"), strict=True)])
+    assert all(r["got"] == r["want"] for r in df.select("want", recovery.same_message(side("r", "c", "n", "a"), side("s", "d", "m", "b")).alias("got")).collect())
+    texts = spark.createDataFrame([(1, None), (2, "{"), (3, '{"id": 5} [{"id": "H1", "in": {"id": "H2"}}] {"id": "H1", "z": 1}')], "k long, t string")
+    found = [(r["key"], r["ord"], r["option"], r["detail"]) for r in recovery.option_details(texts, "k", "t", "H").collect()]
+    assert found == [(3, 0, "H1", '{"id":"H1","in":{"id":"H2"}}'), (3, 1, "H2", '{"id":"H2"}')]

@@ -54,6 +54,25 @@ def replay(turns: DataFrame, trajectory: str, turn: str, aspects: int = 3, thres
     return gathered.select(trajectory, F.size("t").alias("turns"), F.aggregate("t", start(), _step(aspects, threshold)).alias("s")).select(trajectory, "turns", "s.*")
 
 
+def counted(turns: DataFrame, trajectory: str, turn: str, aspects: int = 3, threshold: int = 4) -> DataFrame:
+    """(trajectory, chances and successes of each guarded phase, switches of aspect), counted along the replay."""
+    step = _step(aspects, threshold)
+    phases = {"search": SEARCH, "retry": RETRY, "answer": ANSWER}
+    names = [f"{n}_{what}" for n in phases for what in ("chances", "successes")] + ["switches"]
+    kind = "struct<s:" + STATE + "," + ",".join(f"{n}:bigint" for n in names) + ">"
+
+    def merge(c: Column, t: Column) -> Column:
+        after = step(c["s"], t)
+        accepted = after["rejected"] == c["s"]["rejected"]
+        add = lambda n, x: (c[n] + x.cast("bigint")).alias(n)
+        counts = [add(f"{n}_{what}", (c["s"]["phase"] == p) & (accepted if what == "successes" else F.lit(True))) for n, p in phases.items() for what in ("chances", "successes")]
+        return F.struct(after.alias("s"), *counts, add("switches", after["aspect"] > c["s"]["aspect"])).cast(kind)
+
+    none = F.struct(start().alias("s"), *[F.lit(0).alias(n) for n in names]).cast(kind)
+    gathered = turns.groupBy(trajectory).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "choice", "outcome"))).alias("t"))
+    return gathered.select(trajectory, F.aggregate("t", none, merge).alias("c")).select(trajectory, *[f"c.{n}" for n in names])
+
+
 def guard(phase: Column, choice: Column, outcome: Column) -> Column:
     """Reason to reject a call before it runs, or null."""
     return (

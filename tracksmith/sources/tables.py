@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +21,28 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, ro
     return df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracksmith-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def refuses_overwrite(df: DataFrame, path: str) -> bool:
+    """Whether a second write to a path that exists is refused."""
+    try:
+        write_parquet(df, path)
+    except AnalysisException:
+        return True
+    return False
+
+
+def best_checkpoint(spark: SparkSession, path: str, step: str, metric: str) -> DataFrame:
+    """(step, n, metric): each checkpoint folder path/step=.. with its mean metric, and whether it is the best (least step on a tie)."""
+    runs = spark.read.parquet(path).groupBy(step).agg(F.count("*").alias("n"), F.round(F.avg(metric), 9).alias(metric))
+    best = F.max_by(step, F.struct(metric, -F.col(step))).over(Window.partitionBy(F.lit(1)))  # a row a checkpoint
+    return runs.select(step, "n", metric, (F.col(step) == best).alias("best"))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of non-empty lines; line numbers start at 1 in each file.
 

@@ -1,6 +1,8 @@
 """Connected components of links in a table, by alternating large-star and small-star steps.
 
-Each step is an aggregation with map-side sums and a join; nothing but two numbers a step comes to the driver.
+Each step is an aggregation with map-side sums and a join; nothing but two numbers a step comes to the driver. A node of
+many links (the least of a large group) has them dealt to SALTS tasks: the least of each part, of these the least, and
+that goes back to the parts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,16 @@ from pyspark.sql import functions as F
 from tracksmith.llm import common
 
 MOST_STEPS = 60
+#: A node's links go to this many tasks at most; a node of fewer links costs no more rows than it has links.
+SALTS = 256
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of their u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("p"))
+    least = parts.groupBy("u").agg(F.min("p").alias("m"))
+    return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     edges, before = common.cut(edges), None
     for _ in range(MOST_STEPS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        near = _with_least(large)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         edges = common.cut(small)
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == (sums["n"], sums["s"]):

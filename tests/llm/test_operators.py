@@ -378,6 +378,30 @@ def test_similar_texts_are_linked(spark):
     assert {r["doc_id"] for r in simhash.keep_one(frame).collect()} == set(got.values())
 
 
+def test_copies_that_differ_in_a_passage_are_linked(spark):
+    """Truncated and appended copies, texts of few shingles and a passage repeated many times, against all pairs."""
+    rng = np.random.default_rng(13)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(3000)]
+
+    def some(n):
+        return [str(w) for w in rng.choice(vocabulary, n)]
+
+    texts = []
+    for _ in range(100):
+        words = some(int(rng.integers(60, 400)))
+        n = len(words)
+        texts += [words, words[: int(n * 0.85)], words[n // 6 :], words + some(n // 6), some(n // 6) + words]
+        texts.append(words + words[-12:] * 40)
+        short = some(9)
+        texts += [short, short[:8]]
+    texts = [" ".join(t) for t in texts]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame).collect()}
+    close = [(i, j) for i in range(len(texts)) for j in range(i - i % 8, i) if similarity(texts[i], texts[j]) >= 0.8]
+    assert len(close) >= 500 and all(got[i] == got[j] for i, j in close)
+    assert all(i // 8 == c // 8 for i, c in got.items())
+
+
 def test_links_connect_all_within_radius(spark):
     """Chains and dense groups of near fingerprints, among random ones."""
     rng = np.random.default_rng(9)

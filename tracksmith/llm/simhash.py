@@ -15,16 +15,18 @@ drops what it has reached, so that dense groups cost about as much as they have
 fingerprint with the least that it reaches there, not all pairs; connected components of these are those of all links.
 
 classes() has these fingerprints. similar() and keep_one() are for texts of a similarity of 0.8 or more in five-word
-shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So a text has two fingerprints there:
+shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So there a text has two things, both of its set
+of five-word shingles alone, so that it doesn't matter whether copies differ in scattered words or in one passage:
 
-* NEAR, 128 bits over its words, each weighted by 1 + ln(count): near copies share almost all words. Six blocks as above
-  find all pairs within 11 bits, since 12 need two in every block; and over 94 % of those at 12 to NEAR_RADIUS (14) bits.
-* LIKE, 256 bits over its five-word shingles: texts of similarity s differ in a share arccos(2 s / (1 + s)) / pi of the
-  bits in the mean, 39 at 0.8, with a standard deviation of 6. LIKE_RADIUS (56) lies three above, so that 99.8 % of the
-  pairs at exactly 0.8 pass and nearly all that are more similar.
+* BANDS keys, each of the least values that BAND_ROWS hashes take on the set. Two sets have such a least value in common
+  with a probability of their similarity, so a pair at 0.8 has no key in common with a probability of (1 - 0.8^5)^40,
+  1.2e-7. Each key is an anchor that all its texts are at home at.
+* LIKE, a SimHash of 256 bits: sets of similarity s differ in a share arccos(2 s / (1 + s)) / pi of the bits in the mean at
+  the most, 39 at 0.8; the smallest sets (four of five shingles) in 48, as a tie gives a zero, with a standard deviation
+  of 6. LIKE_RADIUS (80) lies five above that.
 
-Two texts are candidates if both hold; those connected make a class. Texts are linked if the Jaccard similarity of their
-sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
+Two texts are candidates if they share a key and LIKE holds; those connected make a class. Texts are linked if the Jaccard
+similarity of their sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; rows with a null
 doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; an empty table gives no
@@ -52,11 +54,11 @@ RADIUS = 4
 #: First bit and bits of each block of 64 bits.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 CODE_BITS = 15
-NEAR_WORDS, NEAR_RADIUS = 2, 14
 LIKE_SHINGLE, LIKE_WORDS, SIMILARITY = 5, 4, 0.8
-_SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-#: Three standard deviations above the bits in which two texts of that similarity differ in the mean.
-LIKE_RADIUS = int(64 * LIKE_WORDS * _SHARE + 3 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
+BANDS, BAND_ROWS = 40, 5
+#: The largest share of bits in which two sets of that similarity differ in the mean: four shingles of five.
+_SHARE = 3 / 16
+LIKE_RADIUS = math.ceil(64 * LIKE_WORDS * _SHARE + 5 * math.sqrt(64 * LIKE_WORDS * _SHARE * (1 - _SHARE)))
 #: Anchors of more rows are searched breadth-first.
 LARGE = 96
 
@@ -104,14 +106,29 @@ def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
     return a ^ (a >> np.uint64(32))
 
 
-def _majority(hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of 64 n bits as n numbers; weights are whole numbers under 4096, so that sums of 4096 are exact in float32."""
-    total = np.zeros(64 * n)
+def _majority(hashes: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of 64 n bits as n numbers."""
+    total = np.zeros(64 * n, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
-        bits = np.unpackbits(np.stack([_spread(part, k) for k in range(n)], 1).view(np.uint8), axis=1, bitorder="little")
-        total += weights[at : at + 4096].astype(np.float32) @ bits.astype(np.float32)
-    return np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)
+        total += np.unpackbits(np.stack([_spread(part, k) for k in range(n)], 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+
+
+_ODD = _spread(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 40) | np.uint64(1)
+_FLIP = _spread(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 41)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingle hashes that is not empty; which band a key is of goes into it."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 256):
+        part = shingles[at : at + 256]
+        least = np.minimum(least, ((part[None, :] ^ _FLIP[:, None]) * _ODD[:, None]).min(1))
+    key = _spread(np.arange(BANDS, dtype=np.uint64), 42)
+    for k in range(BAND_ROWS):
+        key = _spread(key ^ least[k::BAND_ROWS], 43)
+    return key
 
 
 def _runs(codes: np.ndarray) -> np.ndarray:
@@ -138,37 +155,33 @@ def set_name(shingles: np.ndarray) -> int:
     return int(_spread(shingles, 20).sum(dtype=np.uint64).view(np.int64)) if len(shingles) else 0
 
 
-def signature(text: str | None) -> tuple[int, int, np.ndarray]:
-    """Name and size of the shingle set; NEAR and LIKE fingerprints as NEAR_WORDS + LIKE_WORDS numbers, zeros if there is no word."""
-    codes = _codes(text)
-    if not len(codes):
-        return 0, 0, np.zeros(NEAR_WORDS + LIKE_WORDS, np.uint64)
-    distinct, counts = np.unique(codes, return_counts=True)
-    near = _majority(distinct, np.rint(64 * (1 + np.log(counts))), NEAR_WORDS)
-    runs = _runs(codes)
-    shingles = np.unique(runs)
-    return set_name(shingles), len(shingles), np.concatenate([near, _majority(runs, np.ones(len(runs)), LIKE_WORDS)])
+def signature(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Name and size of the shingle set, its LIKE fingerprint as LIKE_WORDS numbers and its band keys; zeros and no key if there is no word."""
+    shingles = shingle_set(text)
+    if not len(shingles):
+        return 0, 0, np.zeros(LIKE_WORDS, np.uint64), np.empty(0, np.uint64)
+    return set_name(shingles), len(shingles), _majority(shingles, LIKE_WORDS), bands(shingles)
 
 
-_SIGNATURE = [f"w{k}" for k in range(NEAR_WORDS + LIKE_WORDS)]
+_SIGNATURE = [f"w{k}" for k in range(LIKE_WORDS)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, w0, w1, ...) of every row; numbers as signed longs."""
+    """(doc_id, node, size, w0, w1, ..., bands) of every row; numbers as signed longs, bands as the keys' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.rows(batches, "doc_id", "text"):
             found = [signature(t) for _, t in part]
-            prints = np.array([p for _, _, p in found], np.uint64).reshape(len(part), -1).view(np.int64)
-            own = {"doc_id": pa.array([i for i, _ in part], pa.int64()), "node": pa.array([n for n, _, _ in found], pa.int64()), "size": pa.array([n for _, n, _ in found], pa.int64())}
-            yield pa.RecordBatch.from_pydict(own | {w: prints[:, k] for k, w in enumerate(_SIGNATURE)})
+            prints = np.array([p for _, _, p, _ in found], np.uint64).reshape(len(part), -1).view(np.int64)
+            own = {"doc_id": pa.array([i for i, _ in part], pa.int64()), "node": pa.array([n for n, *_ in found], pa.int64()), "size": pa.array([n for _, n, *_ in found], pa.int64())}
+            yield pa.RecordBatch.from_pydict(own | {w: prints[:, k] for k, w in enumerate(_SIGNATURE)} | {"bands": pa.array([b.tobytes() for *_, b in found], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE]]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE], "bands binary"]))
 
 
 def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Which rows of numbers are within LIKE_RADIUS of one."""
-    return np.bitwise_count(many[:, NEAR_WORDS:] ^ one[NEAR_WORDS:]).sum(1, dtype=np.int64) <= LIKE_RADIUS
+    return np.bitwise_count(many ^ one).sum(1, dtype=np.int64) <= LIKE_RADIUS
 
 
 class Rule(NamedTuple):
@@ -188,7 +201,7 @@ class Rule(NamedTuple):
 
 
 CONTRACT = Rule()
-SIMILAR = Rule(NEAR_WORDS, NEAR_RADIUS, LIKE_RADIUS)
+SIMILAR = Rule(0, 0, LIKE_RADIUS)
 
 
 def _syndrome(bits: np.ndarray) -> np.ndarray:
@@ -292,7 +305,8 @@ def _compare(cell: np.ndarray, home: np.ndarray, key: np.ndarray, prints: np.nda
 def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str] = ("fp",), rule: Rule = CONTRACT) -> DataFrame:
     """(a, b): links between keys of nodes, enough to connect all that are connected.
 
-    nodes: one row for each different fingerprint, whose 64-bit parts are the columns `numbers`, as signed longs.
+    nodes: one row for each different fingerprint, whose 64-bit parts are the columns `numbers`, as signed longs. Their
+    anchors are those of the first rule.words numbers; if that is 0, the keys in the column `bands`.
     """
     carried = list(dict.fromkeys([key, *numbers]))
     of = [carried.index(n) for n in numbers]
@@ -300,10 +314,19 @@ def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str
     def matrix(columns: list[np.ndarray]) -> np.ndarray:
         return np.stack([columns[k] for k in of], 1).view(np.uint64)
 
+    def keyed(part: pa.RecordBatch) -> pa.RecordBatch:
+        held = [b or b"" for b in part.column(len(carried)).to_pylist()]
+        at = np.repeat(np.arange(len(held)), [len(b) // 8 for b in held])
+        cell = np.frombuffer(b"".join(held), np.int64)
+        return pa.RecordBatch.from_pydict({"cell": cell, "home": np.ones(len(at), bool)} | {c: part.column(k).to_numpy(zero_copy_only=False)[at] for k, c in enumerate(carried)})
+
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1_000):
                 part = batch.slice(low, 1_000)
+                if not rule.words:
+                    yield keyed(part)
+                    continue
                 columns = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(carried))]
                 found = list(anchors(matrix(columns)[:, : rule.words]))
                 at = np.concatenate([i for _, i, _ in found])
@@ -329,7 +352,7 @@ def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str
         if held:
             yield pairs(tuple(np.concatenate([h[k] for h in held]) for k in range(len(held[0]))))
 
-    cells = nodes.select(*carried).mapInArrow(replicate, ", ".join(["cell long", "home boolean", *[f"{c} long" for c in carried]]))
+    cells = nodes.select(*carried, *(() if rule.words else ("bands",))).mapInArrow(replicate, ", ".join(["cell long", "home boolean", *[f"{c} long" for c in carried]]))
     return cells.repartition("cell").sortWithinPartitions("cell", F.desc("home")).mapInArrow(compare, "a long, b long")
 
 
@@ -347,9 +370,9 @@ def classes(docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, chunk: int = confirm.CHUNK) -> DataFrame:
     """(doc_id, component_id) of every row of docs; texts of similarity 0.8 are linked, a component is named by its least id."""
     found = common.cut(signatures(docs))
-    row = F.min(F.struct("doc_id", "size", *_SIGNATURE)).alias("row")  # a set may have several fingerprints: those of its least text
-    nodes = common.cut(found.where("doc_id is not null").groupBy("node").agg(row).select("node", F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE]))
-    members = nodes.join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
+    row = F.min(F.struct("doc_id", "size", *_SIGNATURE, "bands")).alias("row")
+    nodes = common.cut(found.where("doc_id is not null").groupBy("node").agg(row).select("node", F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE], "row.bands"))
+    members = nodes.drop("bands").join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = components(confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk))
     joined = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -165,6 +165,21 @@ def test_language(spark, no_docs):
     assert langid.keep(docs).columns == docs.columns and langid.keep(docs).count() == len(rows) - 2
 
 
+def test_language_rejects_gibberish(spark):
+    """Random letters and an unlearnt language go, clean documents of the learnt ones stay."""
+    rng = np.random.default_rng(12)
+    common = {"en": "the of and to in is that for it with as was on be at by this have from or had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split(), "fi": "ja on ei se että oli hän joka mutta kun niin myös ovat kuin sen mitä tämä jos olla vain vielä minä nyt sitten kaikki hänen jälkeen ennen yli kanssa mukaan paljon hyvin täällä siellä yksi kaksi kolme vuotta päivä työ ihminen koulu yhtään mikään tänään huomenna eilen äiti isä lapsi talo metsä järvi".split()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(common[lang], n))
+
+    clean = [(i, text("en", 40 + i), "en") for i in range(100)]
+    noise = [(200 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60 + i)), None) for i in range(10)]
+    other = [(300 + i, text("fi", 60 + i), None) for i in range(10)]
+    kept = langid.keep(spark.createDataFrame(clean + noise + other, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, *_ in clean}
+
+
 def test_grams_and_ranks():
     gram, count = langid.grams("Ab, ab!")
     shown = {"".join(chr((int(g) >> 21 * k) & 0x1FFFFF) for k in range(2, -1, -1)).strip("\0"): int(n) for g, n in zip(gram, count, strict=True)}

@@ -9,6 +9,9 @@ nearest profile names the language; ties go to the first name.
 Counts are gathered from every training text: each task sums its own, a shuffle by (language, n-gram) adds them up, and
 each language's first PROFILE are taken. Profiles (languages x PROFILE) are broadcast, so the alphabet bounds them.
 
+keep() sets its least fit from the same texts: for each language half the median fit (LEAST_SHARE) of the training texts
+that its profile wins. A language none of whose training texts its own profile wins keeps nothing.
+
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learnt; null lang is not
 learnt from; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored, or kept by keep().
 """
@@ -29,8 +32,8 @@ PROFILE = 400
 ORDERS = 3
 HELD_OUT = (5, 0)
 UNKNOWN = "und"
-#: keep() rejects a text that fits its nearest profile worse than this.
-LEAST_FIT = 0.05
+#: keep() rejects a text that fits its nearest profile worse than this share of the median fit of the language's training texts.
+LEAST_SHARE = 0.5
 PENDING = 2_000_000
 
 
@@ -112,11 +115,15 @@ class Profiles:
         return self.languages[best], float(1 - distance[best] / (PROFILE * len(top)))
 
 
-def train(docs: DataFrame) -> Profiles:
-    """Profiles of the languages of all rows that are not held out and have a lang."""
+def learnt_rows(docs: DataFrame) -> DataFrame:
+    """The rows that train() learns from: not held out, with a lang and a text."""
     modulus, held = HELD_OUT
-    learnt = docs.select(F.col("lang").cast("string").alias("lang"), "text", common.remainder_column(F.col("doc_id"), modulus).alias("rest")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("rest") != held)).select("lang", "text")
+    learnt = docs.select(F.col("lang").cast("string").alias("lang"), "text", common.remainder_column(F.col("doc_id"), modulus).alias("rest"))
+    return learnt.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("rest") != held)).select("lang", "text")
+
 
+def train(docs: DataFrame) -> Profiles:
+    """Profiles of the languages of all rows that are not held out and have a lang."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[str, list] = {}
         size = 0
@@ -138,7 +145,7 @@ def train(docs: DataFrame) -> Profiles:
                 pending, size = {}, 0
         yield from emit()
 
-    counts = common.cut(learnt.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = common.cut(learnt_rows(docs).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     names = [r["lang"] for r in counts.select("lang").distinct().collect()]  # as many rows as languages
     profiles = {}
     for name in names:
@@ -166,11 +173,35 @@ def identify(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (common.remainder_column(F.col("doc_id"), modulus) == held).alias("held_out"), run("text").alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep(docs: DataFrame, languages: list[str] | None = None, least_fit: float = LEAST_FIT) -> DataFrame:
-    """The rows of docs whose language is known (and one of `languages`, if given), with their columns."""
-    found = identifier(docs.sparkSession, train(docs))("text")
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("__found"))
-    right = (F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least_fit)
+def least_fits(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """For each language, LEAST_SHARE of the median fit of its training texts that its profile wins."""
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "lang", "text"):
+            found = [(lang, fit) for lang, (name, fit) in ((lang, sent.value.nearest(text)) for lang, text in part) if name == lang]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in found], pa.string()), "fit": pa.array([v for _, v in found], pa.float64())})
+
+    fits = learnt_rows(docs).mapInArrow(run, "lang string, fit double")
+    return {r["lang"]: LEAST_SHARE * r["fit"] for r in fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5).alias("fit")).collect()}  # a row a language
+
+
+def keep(docs: DataFrame, languages: list[str] | None = None, least_fit: float | None = None) -> DataFrame:
+    """The rows of docs whose language is known (and one of `languages`, if given), with their columns.
+
+    A text must fit its language by least_fit, or where none is given by least_fits() of the training texts.
+    """
+    profiles = train(docs)
+    run = identifier(docs.sparkSession, profiles)
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], run("text").alias("__found"))
+    right = F.col("__found.lang_pred") != UNKNOWN
+    if least_fit is not None:
+        right &= F.col("__found.score") >= least_fit
+    else:
+        enough = F.lit(False)
+        for name, least in least_fits(docs, profiles).items():
+            enough |= (F.col("__found.lang_pred") == name) & (F.col("__found.score") >= least)
+        right &= enough
     if languages is not None:
         right &= F.col("__found.lang_pred").isin(languages)
     return held.where(right).drop("__found")

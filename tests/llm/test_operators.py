@@ -239,6 +239,18 @@ def test_extract_pairs_nearest_urls(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_partners(spark):
+    """Copies in a row, at a host's start, in its midst and over many ranges, keep their text."""
+    def page(own):
+        return f"<div>menu</div><p>{own}</p><div>foot</div>"
+
+    rows = [(i, f"http://a.org/{i:03}", page("first")) for i in range(40)] + [(100 + i, f"http://a.org/{100 + i}", page(f"own {i}")) for i in range(3)]
+    rows += [(200 + i, f"http://a.org/{200 + i}", page("midst")) for i in range(80)] + [(300, "http://a.org/300", page("end")), (300, "http://a.org/300", page("end"))]
+    rows += [(400, "http://b.org/", "<p>only</p>"), (401, "http://b.org/x", "<p>only</p>")]
+    got = sorted(tuple(r)[:3] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).select("page_id", "url", "text").collect())
+    assert got == sorted((i, u, re.search("<p>(.*)</p>", h)[1]) for i, u, h in rows)
+
+
 # 6
 
 def test_decontamination(spark, docs, no_docs):

@@ -2,20 +2,21 @@
 
 A page becomes text lines, one a block, in page order, each with a zone: *article* (inside <article> or <main>), *chrome*
 (inside elements that hold no main text: navigation, headers, footers, asides, forms, notices, adverts, comments) or
-*other*. Pages are ordered by host, path and id over the whole table; the page before on the same host (for a host's
-first page the one after) is the partner. Lines are aligned by longest common subsequence, and shared lines are deleted.
+*other*. Pages are ordered by host, path and id over the whole table; the nearest page before on the same host whose lines
+outside chrome aren't just the same (if there is none, the nearest such page after) is the partner, so that copies don't
+delete each other. Lines are aligned by longest common subsequence, and shared lines are deleted.
 Two guards keep the article whole: shared lines of an article zone stay (pages of one host may carry the same article),
 and chrome goes whether shared or not. If a page has an article zone with text, the result is that zone's lines, else
 the lines that are left.
 
 Pages are dealt out by ranges of (host, path, id), so that one host may span many tasks. Ranges are cut at keys of a
-bounded sample; a pass over the keys alone finds each range's first and last page, which are sent to the neighbouring
-range as well, as partners only. Then one shuffle brings each range together, and a task streams it in order, holding
-two pages.
+bounded sample; a pass over keys and digests of lines finds the first two and the last two pages of each range that differ,
+and each range is also sent the two nearest that differ before and after it, as partners only. Then one shuffle brings each
+range together, and a task streams it in order, holding two pages (and copies at a host's start until another page comes).
 Pairs whose texts are too long for a table of lines x lines are aligned by patience on lines that occur once.
 
 Defined results: null or empty html gives an empty text; a null URL counts as the empty host and path; repeated rows
-give repeated rows (and are each other's partners); an empty table gives no rows; other columns are ignored.
+give repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +199,22 @@ def _keyed(pages: DataFrame, *columns: str) -> DataFrame:
     return pages.select(host.alias("host"), path.alias("path"), F.coalesce(number, F.lit(-(1 << 63))).alias("sort_id"), F.coalesce("url", F.lit("")).alias("sort_url"), *[number.alias(c) if c == "page_id" else F.col(c) for c in columns])
 
 
+_PAGE = [*_KEY_NAMES, "digest"]
+
+
+def digest(own: list[tuple[str, str]]) -> str:
+    """Of the lines outside chrome; pages of one digest are copies."""
+    return xxhash.xxh128_hexdigest("\n".join(text for zone, text in own if zone != "chrome").encode("utf-8", "surrogatepass"))
+
+
+def _differing(pages: list[tuple], last: bool = False) -> list[tuple]:
+    """Of keys that end in a digest: the first, and the first that is on another host or no copy of it (or the last two)."""
+    end = max if last else min
+    one = end(pages)
+    rest = [p for p in pages if (p[0], p[-1]) != (one[0], one[-1])]
+    return [one, end(rest)] if rest else [one]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
     spark = pages.sparkSession
@@ -208,52 +226,73 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(bucket=[bisect_right(bounds, key) for key in part[_KEY_NAMES].itertuples(index=False, name=None)])
+            yield part.assign(bucket=[bisect_right(bounds, key) for key in part[_KEY_NAMES].itertuples(index=False, name=None)], digest=[digest(lines(x)) for x in part["html"]])
 
-    # The first and the last key of each range that has rows: two keys a range. Neighbours send each other these pages.
-    ends = keys.mapInPandas(number, f"{_KEY}, bucket int").groupBy("bucket").agg(F.min(F.struct(*_KEY_NAMES)).alias("first"), F.max(F.struct(*_KEY_NAMES)).alias("last")).orderBy("bucket").collect()
+    def both_ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[list, list]] = {}
+        for part in number(parts):
+            for bucket, *page in part[["bucket", *_PAGE]].itertuples(index=False, name=None):
+                first, last = held.get(bucket, ((), ()))
+                held[bucket] = _differing([*first, tuple(page)]), _differing([*last, tuple(page)], True)
+        yield pd.DataFrame([(bucket, *page) for bucket, ends in held.items() for page in {*ends[0], *ends[1]}], columns=["bucket", *_PAGE])
+
+    def joined_ends(part: pd.DataFrame) -> pd.DataFrame:
+        pages = list(part[_PAGE].itertuples(index=False, name=None))
+        return pd.DataFrame([(int(part["bucket"].iloc[0]), *page) for page in {*_differing(pages), *_differing(pages, True)}], columns=["bucket", *_PAGE])
+
+    # Four pages a range at the most, without their html.
+    numbered = f"bucket int, {_KEY}, digest string"
+    ends: dict[int, list[tuple]] = {}
+    for row in _keyed(pages, "html").mapInPandas(both_ends, numbered).groupBy("bucket").applyInPandas(joined_ends, numbered).collect():
+        ends.setdefault(row["bucket"], []).append(tuple(row)[1:])
     also: dict[tuple, list[tuple[int, int]]] = {}
-    for a, b in zip(ends, ends[1:], strict=False):
-        also.setdefault(tuple(a["last"]), []).append((b["bucket"], -1))
-        also.setdefault(tuple(b["first"]), []).append((a["bucket"], 1))
+    for place, order in ((-1, sorted(ends)), (1, sorted(ends, reverse=True))):
+        near: list[tuple] = []
+        for bucket in order:
+            for page in near:
+                also.setdefault(page, []).append((bucket, place))
+            near = _differing([*near, *ends[bucket]], place < 0)
 
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent_also = set()  # repeated rows are sent once a task
         for part in number(parts):
             yield part.assign(place=0)
-            keys_of = list(part[_KEY_NAMES].itertuples(index=False, name=None))
-            copies = [(k, bucket, place) for k, key in enumerate(keys_of) for bucket, place in also.get(key, ())]
+            copies = []
+            for k, page in enumerate(part[_PAGE].itertuples(index=False, name=None)):
+                if page in also and page not in sent_also:
+                    sent_also.add(page)
+                    copies.extend((k, bucket, place) for bucket, place in also[page])
             if copies:
                 rows, buckets, places = zip(*copies, strict=True)
                 yield part.iloc[list(rows)].assign(bucket=list(buckets), place=list(places))
 
-    schema = f"{_KEY}, page_id long, url string, html string, bucket int, place int"
+    schema = f"{_KEY}, page_id long, url string, html string, bucket int, digest string, place int"
     sent = _keyed(pages, "page_id", "url", "html").mapInPandas(send, schema)
-    ordered = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket", "place", *_KEY_NAMES)
+    ordered = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket", "place", *_PAGE)
 
     def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = waiting = None  # (row, lines) of the page before; of a host's first page, which takes the one after
+        at = before = other = None  # (range, host); (digest, lines) of the page before and of the nearest that differs from it
+        waiting = []  # (row, lines) of a host's first page and its copies, which take the first page after that differs
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                if before is not None and before[0].bucket != row.bucket:
-                    if waiting is not None:
-                        out.append(_result(*waiting, None))
-                    before = waiting = None
+                if at != (row.bucket, row.host):
+                    out.extend(_result(*w, None) for w in waiting)
+                    at, before, other, waiting = (row.bucket, row.host), None, None, []
                 own = lines(row.html)
-                same_host = before is not None and before[0].host == row.host
-                if waiting is not None:
-                    out.append(_result(*waiting, own if same_host else None))
-                    waiting = None
+                if before is not None and before[0] != row.digest:
+                    out.extend(_result(*w, own) for w in waiting)
+                    other, waiting = before, []
+                before = (row.digest, own)
                 if row.place == 0:
-                    if same_host:
-                        out.append(_result(row, own, before[1]))
+                    if other is not None:
+                        out.append(_result(row, own, other[1]))
                     else:
-                        waiting = (row, own)
-                before = (row, own)
+                        waiting.append((row, own))
             if out:
                 yield pd.DataFrame(out, columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
-        if waiting is not None:
-            yield pd.DataFrame([_result(*waiting, None)], columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
+        if waiting:
+            yield pd.DataFrame([_result(*w, None) for w in waiting], columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
 
     return ordered.mapInPandas(stream, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 

@@ -210,6 +210,23 @@ def test_shared_is_a_longest_common_subsequence():
         assert all(a[i] in rest for i in same)
 
 
+def test_long_pages_have_a_longest_common_subsequence(monkeypatch):
+    """With every limit in the way, and with repeated lines between pages of over 2,000 lines."""
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(html_text, "LCS_CELLS", -1)
+    for bits in (10**6, 6):
+        monkeypatch.setattr(html_text, "TABLE_BITS", bits)
+        for _ in range(200):
+            a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 12))] for _ in range(2))
+            same = sorted(html_text.shared(a, b))
+            assert len(same) == lcs(a, b)
+            rest = iter(b)
+            assert all(a[i] in rest for i in same)
+    monkeypatch.undo()
+    a, b = (["start " + k] + [f"line {i // 2}" for i in range(3000)] + ["end " + k] for k in "ab")
+    assert len(html_text.shared(a, b)) == 3000
+
+
 def test_lines():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><!-- x --><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>one<br>two<p><b>th</b>ree  four<div class=\"comments\">no</div></article><footer>f</footer><script>var a='<p>x</p>';</script></body></html>"
     assert html_text.main_text(html_text.lines(page), None) == "A & B\none two\nthree four"

@@ -13,7 +13,8 @@ Pages are dealt out by ranges of (host, path, id), so that one host may span man
 bounded sample; a pass over keys and digests of lines finds the first two and the last two pages of each range that differ,
 and each range is also sent the two nearest that differ before and after it, as partners only. Then one shuffle brings each
 range together, and a task streams it in order, holding two pages (and copies at a host's start until another page comes).
-Pairs whose texts are too long for a table of lines x lines are aligned by patience on lines that occur once.
+Pairs whose texts are too long for a table of lines x lines are aligned by rows of bits, split where even these are too
+long, so that the common subsequence of any pair is a longest one.
 
 Defined results: null or empty html gives an empty text; a null URL counts as the empty host and path; repeated rows
 give repeated rows; an empty table gives no rows; other columns are ignored.
@@ -23,9 +24,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|ifr
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 LCS_CELLS = 4_000_000
+#: Of the table of a longer pair.
+TABLE_BITS = 200_000_000
 
 
 def _is_chrome(name: str, attributes: str, zone: str = "other") -> bool:
@@ -137,10 +141,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     common_lines = set(a) & set(b)
     left, right = [i for i, x in enumerate(a) if x in common_lines], [x for x in b if x in common_lines]
     if len(left) * len(right) > LCS_CELLS:
-        once = {x for x in common_lines if a.count(x) == 1 and right.count(x) == 1}
-        left, right = [i for i in left if a[i] in once], [x for x in right if x in once]
-        place = {x: k for k, x in enumerate(right)}
-        return same | {start + left[k] for k in _increasing([place[a[i]] for i in left])}
+        return same | {start + left[k] for k in _long([a[i] for i in left], right)}
     length = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
         row, below, x = length[i], length[i + 1], a[left[i]]
@@ -158,19 +159,45 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return same
 
 
-def _increasing(values: list[int]) -> list[int]:
-    """Places of a longest increasing subsequence."""
-    tails: list[int] = []
-    at: list[int] = []
-    before = [-1] * len(values)
-    for k, v in enumerate(values):
-        n = bisect_left(tails, v)
-        before[k] = at[n - 1] if n else -1
-        tails[n : n + 1], at[n : n + 1] = [v], [k]
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(k)
-        k = before[k]
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each line of a: bit j is unset where the longest common subsequence of a so far with b[: j + 1] is longer than with b[:j]."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a with b[:j], for j from 0 to all."""
+    *_, row = _rows(a, b)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _long(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of a longest common subsequence with b, a bit a cell; pairs of over TABLE_BITS cells are split (Hirschberg)."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > TABLE_BITS and len(a) > 1:
+        half = len(a) // 2
+        at = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _long(a[:half], b[:at]) + [half + k for k in _long(a[half:], b[at:])]
+    rows = list(_rows(a, b))
+    out = []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            out.append(i)
+            j -= 1
     return out[::-1]
 
 

@@ -236,6 +236,14 @@ def test_lines():
     assert html_text.main_text(html_text.lines("<p>menu</p><p>own</p><p>foot</p>"), html_text.lines("<p>menu</p><p>other</p><p>foot</p>")) == "own"
 
 
+def test_difference_decides_beside_an_article():
+    """The body in plain divs stays beside an article zone, what the partner shares of it goes."""
+    def page(k):
+        return html_text.lines(f"<div>menu</div><article>teaser {k}</article><div>body {k}</div><div>foot</div>")
+
+    assert html_text.main_text(page(1), page(2)) == "teaser 1\nbody 1"
+
+
 def test_extract_pairs_nearest_urls(spark):
     rng = np.random.default_rng(2)
     rows = [(i if i != 7 else None, f"http://h{rng.choice(list('aab'))}.org/p/{rng.integers(0, 30)}", f"<p>shared</p><p>own {i}</p><p>{rng.choice(list('xyz'))}</p>") for i in range(200)]

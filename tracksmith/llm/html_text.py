@@ -6,8 +6,8 @@ A page becomes text lines, one a block, in page order, each with a zone: *articl
 outside chrome aren't just the same (if there is none, the nearest such page after) is the partner, so that copies don't
 delete each other. Lines are aligned by longest common subsequence, and shared lines are deleted.
 Two guards keep the article whole: shared lines of an article zone stay (pages of one host may carry the same article),
-and chrome goes whether shared or not. If a page has an article zone with text, the result is that zone's lines, else
-the lines that are left.
+and chrome goes whether shared or not. The result is the lines that are left, of both other zones: a page may have its
+body outside a short article zone.
 
 Pages are dealt out by ranges of (host, path, id), so that one host may span many tasks. Ranges are cut at keys of a
 bounded sample; a pass over keys and digests of lines finds the first two and the last two pages of each range that differ,
@@ -203,9 +203,7 @@ def _long(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(own: list[tuple[str, str]], partner: list[tuple[str, str]] | None) -> str:
     same = shared([t for _, t in own], [t for _, t in partner]) if partner else set()
-    left = [(zone, text) for i, (zone, text) in enumerate(own) if zone != "chrome" and (zone == "article" or i not in same)]
-    article = [text for zone, text in left if zone == "article"]
-    return "\n".join(article or [text for _, text in left])
+    return "\n".join(text for i, (zone, text) in enumerate(own) if zone == "article" or zone == "other" and i not in same)
 
 
 def _url_parts(url: Column) -> tuple[Column, Column]:

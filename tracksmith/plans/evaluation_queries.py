@@ -59,6 +59,12 @@ def _(spark, d):
     return out.select(F.col("expected").alias("n"), F.lit(0).cast("long").alias("guard_rejections"), F.round("mean_terminal", 6).alias("terminal"))
 
 
+@query("a_6_all", f"WITH {TASKS}, {RESULTS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS guard_rejections, round(avg(CASE WHEN r.valid THEN terminal ELSE 0 END), 6) AS terminal FROM tasks LEFT JOIN results r USING (task_id)")
+def _(spark, d):
+    out = evaluation.summary(tasks(spark, d), results(spark, d), "task_id", "composition", ["terminal"]).where("composition IS NULL")
+    return out.select(F.col("expected").alias("n"), F.lit(0).cast("long").alias("guard_rejections"), F.round("mean_terminal", 6).alias("terminal"))
+
+
 STAGES = "stages AS (SELECT CAST(o_custkey AS VARCHAR) AS task_id, o_orderstatus AS stage, floor(o_totalprice) / 1000 AS price FROM orders)"
 
 

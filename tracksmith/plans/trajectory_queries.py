@@ -135,6 +135,14 @@ def _(spark, d):
     return c.select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1).cast("long").alias("index"))
 
 
+@query("g_8_all", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS index FROM conversations")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1).cast("long").alias("index"))
+
+
 # Replay
 
 @query("f_1", f"""WITH RECURSIVE {TURNS}, fold(trajectory, turn, phase, aspect, streak, max_streak, fallbacks, answered, blocked, rejected) AS (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.functions import expr
-from tracksmith.operators import control, credit, evaluation, groups, recovery, reward, splits
+from tracksmith.operators import control, credit, evaluation, groups, recovery, reward, splits, transcripts
 from tracksmith.sources import tables
 from tracksmith.streaming import control as stream
 
@@ -21,6 +21,18 @@ def test_ratio_and_flags(spark):
     assert [r[0] for r in rows(df.select(expr.is_true(F.col("b"))))] == [False, True, False]
 
 
+def test_search_context(spark, tmp_path):
+    """Each message is cut, none is lost; replies to calls on the aspect follow, others do not."""
+    from tracksmith.plans import catalog
+
+    said = [(1, 0, "user", "x" * 2000, None), (1, 1, "assistant", "call", "a"), (1, 2, "tool", "é" * 1700, None), (1, 3, "assistant", "call", "b"), (1, 4, "tool", "other", None), (1, 5, "tool", "late", None), (1, 6, "user", "last", None), (1, 7, "user", "", None), (2, 0, "assistant", "call", "a"), (2, 1, "tool", None, None)]
+    m = spark.createDataFrame(said, "conv_id long, turn long, role string, text string, about string")
+    got = rows(transcripts.search_context(m, "conv_id", "turn", "role", "text", F.col("about"), F.lit("a")), "conv_id")
+    assert got == [(1, ["x" * 1600, "last", "é" * 1600]), (2, [])]
+    m.drop("about").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(catalog.QUERIES["x_18"](spark, str(tmp_path)), "conv_id") == [(1, "x" * 1600 + "\nlast"), (2, None)]
+
+
 def test_largest_remainder(spark):
     """400 of 716 by integer remainders; a target beyond the rows is an error."""
     train = {"22": 153, "2222": 27, "233": 92, "33": 133, "333": 81, "334": 71, "44": 101, "444": 58}

@@ -156,6 +156,19 @@ def base_search(df: DataFrame, key: str, text: str, aspects: DataFrame) -> DataF
     return joined.groupBy(key).agg(F.count_if(holds).alias("n"), F.min(F.when(holds, F.col("aspect"))).alias("a")).select(key, F.when(F.col("n") == 1, F.col("a")).alias("aspect"))
 
 
+def search_context(messages: DataFrame, key: str, turn: str, role: str, text: str, about: Column, aspect: Column, most: int = 1600) -> DataFrame:
+    """(key, context): texts of all user messages in order, then those of tool replies to calls on the aspect; each is cut at `most`.
+
+    about: the aspect that an assistant message's only call is about, or null. A reply is the next message. Empty texts are left out.
+    """
+    on = F.lag(F.when(F.col(role) == "assistant", about)).over(Window.partitionBy(key).orderBy(turn))
+    cut = F.substring(F.col(text), 1, most)
+    kind = F.when(F.col(role) == "user", 0).when((F.col(role) == "tool") & (F.col("__on") == F.col("__aspect")), 1)
+    part = F.when(kind.isNotNull() & (F.col(text) != ""), F.struct(kind.alias("kind"), F.col(turn).alias("turn"), cut.alias("text")))
+    found = messages.withColumn("__on", on).withColumn("__aspect", aspect).groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return found.select(key, F.transform("parts", lambda x: x["text"]).alias("context"))
+
+
 def render_candidates(prefix: str, options: Column) -> Column:
     """A list of candidates as text: a head line, then a JSON object a line."""
     return F.concat(F.lit(prefix), F.lit("\n"), F.array_join(F.transform(options, lambda o: F.to_json(o)), "\n"))

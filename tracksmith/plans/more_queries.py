@@ -268,9 +268,18 @@ def _(spark, d):
 
 @query("x_18", "SELECT conv_id, substr(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), 1, 1600) AS context FROM conversations GROUP BY 1")
 def _(spark, d):
-    users = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(users.alias("u"))
-    return c.select("conv_id", F.when(F.size("u") > 0, F.substr(F.array_join(F.transform("u", lambda x: x["text"]), "\n"), F.lit(1), F.lit(1600))).alias("context"))
+    none = F.lit(None).cast("string")
+    c = transcripts.search_context(read(spark, d, "conversations"), "conv_id", "turn", "role", "text", none, none)
+    return c.select("conv_id", F.when(F.size("context") > 0, F.array_join("context", "\n")).alias("context"))
+
+
+@query("x_18_replies", """WITH m AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'tool' END AS role, 'a' || ((conv_id + turn) % 2) AS about FROM conversations), l AS (SELECT *, lag(CASE WHEN role = 'assistant' THEN about END) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m)
+  SELECT conv_id, string_agg(substr(text, 1, 1600), chr(10) ORDER BY role = 'tool', turn) FILTER (text <> '' AND (role = 'user' OR role = 'tool' AND before = 'a0')) AS context FROM l GROUP BY 1""")
+def _(spark, d):
+    role = F.when(F.col("turn") % 3 == 0, "user").when(F.col("turn") % 3 == 1, "assistant").otherwise("tool")
+    m = read(spark, d, "conversations").withColumn("role", role)
+    c = transcripts.search_context(m, "conv_id", "turn", "role", "text", F.concat(F.lit("a"), ((F.col("conv_id") + F.col("turn")) % 2).cast("string")), F.lit("a0"))
+    return c.select("conv_id", F.when(F.size("context") > 0, F.array_join("context", "\n")).alias("context"))
 
 
 @query("x_23", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'validation' WHEN 1 THEN 'training' ELSE 'error' END AS profile FROM nation")

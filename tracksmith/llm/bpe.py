@@ -9,6 +9,12 @@ The least-rank pair is contracted at its leftmost place; further places of the s
 where that provably gives the same tokens: a merged token is *steady* if no longer token that begins or ends with it
 has a smaller rank, so that contracting it cannot bring forth a pair to be preferred.
 
+A piece of over BLOCK bytes is cut into blocks, which are merged side by side, and neighbours are joined in pairs: the
+last tokens of one and the first of the other are decoded and merged anew. A sequence is the encoding of its bytes if and
+only if every two neighbours are the encoding of theirs (the first merge across a border would occur for the two alone as
+well). So where the new tokens begin and end with the old ones, the joined sequence is the encoding; else more tokens are
+taken. A long piece thus costs about as much as its length.
+
 Nothing is shuffled; the merge table (bounded by the vocabulary) is the only thing sent to executors. Memory is bounded
 by PIECES_KEPT pieces and by the longest text.
 
@@ -33,9 +39,12 @@ from tracksmith.llm import common
 PIECES_KEPT = 600_000
 QUERY_BYTES = 400_000
 
+#: Bytes of a block, and tokens on either side of a border that are merged anew at first.
+BLOCK, BORDER = 64, 4
+
 #: Pieces of up to SHORT bytes: k is the byte's place among all bytes of the query, so that a token's right neighbour
 #: is the row of the same piece at k + len; the least number (token, place) is the leftmost pair of least rank.
-SHORT = 40
+SHORT = 128
 MERGE_SHORT = """
 WITH RECURSIVE state(w, k, id, len, step) AS (
     SELECT w, pos, id, 1::INT, 0::INT FROM byte_rows
@@ -128,8 +137,9 @@ class Codec:
         import duckdb
 
         self.cut = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "600MB", "temp_directory": ""})
         self.byte_ids = ranks.byte_ids
+        self.bytes_of = {rank: token for token, rank in ranks.token_of.items()}
         pair, token, steady = zip(*((a << 32 | b, rank, steady) for a, b, rank, steady in ranks.merges), strict=True)
         merges = pa.table({"pair": pa.array(pair, pa.int64()), "token": pa.array(token, pa.int32()), "steady": pa.array(steady, pa.bool_())})
         vocabulary = pa.table({"id": pa.array(ranks.token_of.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks.token_of], pa.string())})
@@ -144,40 +154,69 @@ class Codec:
         return self.cut(text) if text else []
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not known yet, in queries of a bounded number of bytes."""
+        """Encode pieces that are not known yet."""
         if len(self.known) > PIECES_KEPT:
             self.known.clear()
             self.decoded.clear()
         short, long = [], []
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
-            (short if len(raw) <= SHORT else long).append((piece, raw))
-        for query, given in ((MERGE_SHORT, short), (MERGE_LONG, long)):
+            (short if len(raw) <= BLOCK else long).append((piece, raw))
+        for (piece, _), ids in zip(short, self.merge([raw for _, raw in short]), strict=True):
+            self.known[piece] = ids
+        for piece, raw in long:
+            self.known[piece] = " ".join(map(str, self.merge_long(raw))).encode()
+
+    def merge(self, raws: list[bytes]) -> list[bytes]:
+        """Decimal ids of byte strings, in queries of a bounded number of bytes."""
+        out: list[bytes] = [b""] * len(raws)
+        for query, places in ((MERGE_SHORT, [k for k, raw in enumerate(raws) if len(raw) <= SHORT]), (MERGE_LONG, [k for k, raw in enumerate(raws) if len(raw) > SHORT])):
             part, size = [], 0
-            for piece, raw in given:
-                part.append((piece, raw))
-                size += len(raw)
-                if size >= QUERY_BYTES:
-                    self._encode(part, query)
+            for k in places:
+                part.append(k)
+                size += len(raws[k])
+                if size >= QUERY_BYTES or k == places[-1]:
+                    for at, ids in zip(part, self._query([raws[i] for i in part], query), strict=True):
+                        out[at] = ids
                     part, size = [], 0
-            if part:
-                self._encode(part, query)
-
-    def _encode(self, part: list[tuple[str, bytes]], query: str) -> None:
+        return out
+
+    def _merged(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of byte strings, each different one merged once."""
+        different = list(dict.fromkeys(raws))
+        found = dict(zip(different, self.merge(different), strict=True))
+        return [list(map(int, found[raw].split())) for raw in raws]
+
+    def merge_long(self, raw: bytes) -> list[int]:
+        """Ids of one long byte string, by blocks that are joined in pairs."""
+        parts = self._merged([raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)])
+        while len(parts) > 1:
+            joined: list[list[int] | None] = [None] * (len(parts) // 2)
+            border = BORDER
+            while open_ := [k for k, ids in enumerate(joined) if ids is None]:
+                ends = [(parts[2 * k][-border:], parts[2 * k + 1][:border]) for k in open_]
+                for k, (left, right), new in zip(open_, ends, self._merged([b"".join(map(self.bytes_of.__getitem__, left + right)) for left, right in ends]), strict=True):
+                    a, b = parts[2 * k], parts[2 * k + 1]
+                    if (len(a) <= border or new[0] == left[0]) and (len(b) <= border or new[-1] == right[-1]):
+                        joined[k] = a[:-border] + new + b[border:]
+                border *= 2
+            parts = joined + parts[2 * len(joined) :]
+        return parts[0]
+
+    def _query(self, raws: list[bytes], query: str) -> list[bytes]:
         import numpy as np
 
-        lengths = np.fromiter((len(raw) for _, raw in part), np.int64)
-        flat = np.frombuffer(b"".join(raw for _, raw in part), np.uint8)
+        lengths = np.fromiter(map(len, raws), np.int64)
+        flat = np.frombuffer(b"".join(raws), np.uint8)
         rows = pa.table({
-            "w": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
+            "w": np.repeat(np.arange(len(raws), dtype=np.int32), lengths),
             "pos": np.arange(len(flat), dtype=np.int32),
             "id": np.asarray(self.byte_ids, np.int32)[flat],
         })
         self.db.register("byte_rows", rows)
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("byte_rows")
-        for (piece, _), ids in zip(part, found.column("ids").to_pylist(), strict=True):
-            self.known[piece] = ids.encode()
+        return [ids.encode() for ids in found.column("ids").to_pylist()]
 
     def encode(self, texts: list[str | None]) -> list[list[bytes]]:
         """For each text the tokens of its pieces: decimal ids joined by one space."""

@@ -22,9 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def own_folder() -> str:
-    """For sessions that name no shared folder."""
-    return tempfile.mkdtemp(prefix="tracksmith-checkpoint-")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like that which df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a temporary one where none is named and driver and executors are one machine."""
+    named = spark.conf.get(CHECKPOINT_DIR, "")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"a cluster needs a shared folder in {CHECKPOINT_DIR}")
+        named = tempfile.mkdtemp(prefix="tracksmith-checkpoint-")
+    return named
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the session's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT_DIR, "") or own_folder())
+        context.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracksmith.llm import common
@@ -37,14 +37,12 @@ LEAST_SHARE = 0.5
 PENDING = 2_000_000
 
 
-
 def _fold_table() -> np.ndarray:
+    """Each code point's lower-case letter, or a blank."""
     table = np.full(0x110000, 32, np.int64)
-    for c in range(0x30000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()
-            table[c] = ord(low) if len(low) == 1 else c
+    for c in np.flatnonzero(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)).tolist():
+        low = chr(c).lower()
+        table[c] = ord(low) if len(low) == 1 else c
     return table
 
 
@@ -146,12 +144,11 @@ def train(docs: DataFrame) -> Profiles:
         yield from emit()
 
     counts = common.cut(learnt_rows(docs).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    names = [r["lang"] for r in counts.select("lang").distinct().collect()]  # as many rows as languages
-    profiles = {}
-    for name in names:
-        top = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()  # PROFILE rows
-        profiles[name] = np.array([r["gram"] for r in top], np.int64)
-    return Profiles(profiles)
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # each task keeps its own first PROFILE before the shuffle
+    profiles: dict[str, list[int]] = {}
+    for r in counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PROFILE).orderBy("lang", "place").collect():  # PROFILE rows a language
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return Profiles({k: np.array(v, np.int64) for k, v in profiles.items()})
 
 
 def identifier(spark: SparkSession, profiles: Profiles):
@@ -193,18 +190,19 @@ def keep(docs: DataFrame, languages: list[str] | None = None, least_fit: float |
     """
     profiles = train(docs)
     run = identifier(docs.sparkSession, profiles)
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], run("text").alias("__found"))
-    right = F.col("__found.lang_pred") != UNKNOWN
+    mark = common.fresh(docs, "__found")
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], run("text").alias(mark))
+    right = F.col(f"{mark}.lang_pred") != UNKNOWN
     if least_fit is not None:
-        right &= F.col("__found.score") >= least_fit
+        right &= F.col(f"{mark}.score") >= least_fit
     else:
         enough = F.lit(False)
         for name, least in least_fits(docs, profiles).items():
-            enough |= (F.col("__found.lang_pred") == name) & (F.col("__found.score") >= least)
+            enough |= (F.col(f"{mark}.lang_pred") == name) & (F.col(f"{mark}.score") >= least)
         right &= enough
     if languages is not None:
-        right &= F.col("__found.lang_pred").isin(languages)
-    return held.where(right).drop("__found")
+        right &= F.col(f"{mark}.lang_pred").isin(languages)
+    return held.where(right).drop(mark)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

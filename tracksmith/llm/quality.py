@@ -127,6 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     modulus, held = HELD_OUT
     learnt = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
     learnt = learnt.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (common.remainder_column(F.col("doc_id"), modulus) != held))
+    share = 2 * sample / max(1, learnt.count())
+    if share < 0.5:  # so that a task sends few rows; with some 2 * sample of them left, the least are among these
+        learnt = learnt.where(F.xxhash64("doc_id") < F.lit(int(2**64 * share) - 2**63))
     learnt = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)  # bounded: it is broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(learnt), "doc_id")
 

@@ -5,11 +5,13 @@ Every response record gives two records that refer to it (WARC-Refers-To holds i
 the visible text. Both keep WARC-Target-URI, WARC-Date and WARC-Warcinfo-ID, and have digests of their own blocks.
 Record ids are name-based on the source id, so a repeated run gives the same ids and a lost task is harmless.
 
-read() takes WARC files (plain or gzip, a member a record or not) through Spark's binaryFile source; derive() takes
-record bytes. Each record is handled where it is read.
+read() takes WARC files (plain or gzip, a member a record or not) through Spark's binaryFile source, so a file has 2 GB at
+the most as it is stored; it is inflated piece by piece, and one record is held at a time. derive() takes record bytes.
+Each record is handled where it is read. After a broken record (no length, a length beyond the data, a broken gzip member)
+reading goes on at the next line that begins with WARC/.
 
 Defined results: records that are no responses, null or broken records give nothing (their bytes stay in the source);
-an HTTP body that can't be decoded is taken as it is; an empty body gives an empty conversion; repeated records give
+ids stay whole numbers of 64 bits beside nulls, and a null key names its record as the text `None`; an HTTP body that can't be decoded is taken as it is; an empty body gives an empty conversion; repeated records give
 repeated derivatives; an empty table gives no rows; the key column is passed on, other columns are ignored.
 """
 
@@ -23,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,32 +65,86 @@ def serialise(headers: Headers, block: bytes) -> bytes:
     return b"\r\n".join([VERSION, *lines, b"", block, b"", b""])
 
 
-def parse(raw: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Headers and block of each record; ends at the first that is broken."""
-    while raw[:2] == b"\x1f\x8b":
-        pieces, rest = [], raw
+PIECE = 1 << 20
+MAGIC = b"\x1f\x8b"
+
+
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """Content of gzip members, in pieces; after a broken one the next that opens goes on."""
+    at = 0
+    while at >= 0:
+        member, start = zlib.decompressobj(31), at
         try:
-            while rest[:2] == b"\x1f\x8b":
-                member = zlib.decompressobj(31)
-                pieces.append(member.decompress(rest))
-                rest = member.unused_data
+            while not member.eof and at < len(raw):
+                given = raw[at : at + PIECE]
+                piece = member.decompress(given, PIECE)
+                while piece or member.unconsumed_tail:
+                    yield piece
+                    piece = member.decompress(member.unconsumed_tail, PIECE)
+                at += len(given)
+            at -= len(member.unused_data)
+            if member.eof and raw[at : at + 2] == MAGIC:
+                continue
         except zlib.error:
-            rest = b""
-        raw = b"".join(pieces)
-    at = 0
+            at = start + 1
+            yield b"\r\n"
+        at = raw.find(MAGIC, at)
+
+
+class _Reader:
+    """Bytes from pieces; those before `at` are done with."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def upto(self, size: int) -> bool:
+        """Whether there are `size` bytes from here on."""
+        if len(self.held) - self.at < size:
+            new, have = [self.held[self.at :]], len(self.held) - self.at
+            for piece in self.pieces:
+                new.append(piece)
+                have += len(piece)
+                if have >= size:
+                    break
+            self.held, self.at = b"".join(new), 0
+        return len(self.held) - self.at >= size
+
+    def find(self, what: bytes) -> int:
+        """How far from here `what` begins, or -1."""
+        look = 0
+        while True:
+            found = self.held.find(what, self.at + look)
+            if found >= 0:
+                return found - self.at
+            have = len(self.held) - self.at
+            look = max(0, have - len(what) + 1)
+            if not self.upto(have + max(PIECE, have)) and self.held.find(what, self.at + look) < 0:
+                return -1
+
+
+def parse(raw: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each whole record, in order; broken ones are passed over."""
+    data = _Reader(_inflated(raw) if raw[:2] == MAGIC else iter([raw]))
     while True:
-        while raw[at : at + 2] == b"\r\n":
-            at += 2
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or raw[at : at + 5] != b"WARC/":
+        while data.upto(2) and data.held[data.at : data.at + 2] == b"\r\n":
+            data.at += 2
+        if not data.upto(5):
             return
-        first = raw.find(b"\r\n", at)
-        headers = _header_lines(raw[first + 2 : end])
-        length = get(headers, "Content-Length") or ""
-        if not length.isdigit() or end + 4 + int(length) > len(raw):
+        if data.held[data.at : data.at + 5] == b"WARC/":
+            end = data.find(b"\r\n\r\n")
+            if end >= 0:
+                first = data.held.find(b"\r\n", data.at)
+                headers = _header_lines(data.held[first + 2 : data.at + end])
+                length = get(headers, "Content-Length") or ""
+                if re.fullmatch("[0-9]{1,18}", length) and data.upto(end + 4 + int(length)):
+                    block = data.held[data.at + end + 4 : data.at + end + 4 + int(length)]
+                    data.at += end + 4 + int(length)
+                    yield headers, block
+                    continue
+        ahead = data.find(b"\nWARC/")
+        if ahead < 0:
             return
-        at = end + 4 + int(length)
-        yield headers, raw[end + 4 : at]
+        data.at += ahead + 1
 
 
 def http(block: bytes) -> tuple[str, Headers, bytes]:
@@ -163,43 +219,53 @@ def derivatives(headers: Headers, block: bytes) -> list[tuple[str, Headers, byte
 SCHEMA = "key long, kind string, record_id string, refers_to string, target_uri string, date string, source_digest string, block_digest string, n_bytes long, block string, record binary"
 
 
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+
 def derive(records: DataFrame, key: str = "key", record: str = "record") -> DataFrame:
     """(the columns of SCHEMA) of the derivatives of all responses in the record column; `record` is the serialised one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for low in range(0, len(part), 512):
-                out = []
-                for k, raw in part.iloc[low : low + 512].itertuples(index=False):
-                    for headers, block in parse(bytes(raw) if raw is not None else b""):
-                        source = get(headers, "WARC-Payload-Digest") or get(headers, "WARC-Block-Digest")
-                        for kind, own, made in derivatives(headers, block):
-                            out.append((k, kind, get(own, "WARC-Record-ID"), get(own, "WARC-Refers-To"), get(own, "WARC-Target-URI"), get(own, "WARC-Date"), source, get(own, "WARC-Block-Digest"), len(made), made.decode("utf-8"), serialise(own, made)))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "key", "record"):
+            out = []
+            for k, raw in part:
+                for headers, block in parse(raw or b""):
+                    source = get(headers, "WARC-Payload-Digest") or get(headers, "WARC-Block-Digest")
+                    for kind, own, made in derivatives(headers, block):
+                        out.append((k, kind, get(own, "WARC-Record-ID"), get(own, "WARC-Refers-To"), get(own, "WARC-Target-URI"), get(own, "WARC-Date"), source, get(own, "WARC-Block-Digest"), len(made), made.decode("utf-8"), serialise(own, made)))
+            yield common.record_batch(_ARROW, out)
+
+    return records.select(F.col(key).cast("long").alias("key"), F.col(record).alias("record")).mapInArrow(run, SCHEMA)
 
-    return records.select(F.col(key).cast("long").alias("key"), F.col(record).alias("record")).mapInPandas(run, SCHEMA)
+
+_READ = "key long, file string, headers array<struct<name:string,value:string>>, record binary"
+_READ_ARROW = pa.schema([("key", pa.int64()), ("file", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("record", pa.binary())])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, file, headers map, record) of every record of the WARC files under path; key numbers a file's records."""
+    """(key, file, headers, record) of every whole record of the WARC files under path; key numbers a file's records."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for file, content in part.itertuples(index=False):
-                for k, (headers, block) in enumerate(parse(bytes(content))):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "path", "content", step=1):
+            for file, content in part:
+                for k, (headers, block) in enumerate(parse(content)):
                     kept = [(n, v) for n, v in headers if n.lower() != "content-length"]
-                    yield pd.DataFrame({"key": [k], "file": [file], "headers": [dict(headers)], "record": [serialise(kept, block)]})
+                    yield common.record_batch(_READ_ARROW, [(k, file, [{"name": n, "value": v} for n, v in headers], serialise(kept, block))])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _READ)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "key long, file string, headers map<string,string>, record binary")
+_RESPONSES = pa.schema([("key", pa.int64()), ("record", pa.binary())])
 
 
 def responses(pages: DataFrame) -> DataFrame:
     """(key, record): a response record for each row of pages, as a crawl would have stored it."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "page_id", "url", "html"):
             out = []
-            for page_id, url, page in part.itertuples(index=False):
+            for page_id, url, page in part:
                 body = (page or "").encode("utf-8", "replace")
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
                 name = uuid.uuid5(NAMESPACE, f"{url or ''}#{page_id}")
@@ -207,9 +273,9 @@ def responses(pages: DataFrame) -> DataFrame:
                 headers += [("WARC-Target-URI", url)] if url else []
                 headers += [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")]
                 out.append((page_id, serialise(headers, block)))
-            yield pd.DataFrame(out, columns=["key", "record"])
+            yield common.record_batch(_RESPONSES, out)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "key long, record binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "key long, record binary")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

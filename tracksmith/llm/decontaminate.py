@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 BITS, BLOCKS, WITHIN = 128, 16, 31
 ITEMS = 20_000
 WORDS_KEPT = 100_000
+#: Found pairs that are compared at a time, about.
+PAIRS = 1_000_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _P = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -91,7 +93,8 @@ def _similarity(a: np.ndarray, b_values: np.ndarray, b_counts: np.ndarray) -> fl
     return float(least / (counts.sum() + b_counts.sum() - least))
 
 
-_NEAR = np.array([[bin(a ^ b).count("1") <= 1 for b in range(256)] for a in range(256)])
+#: What a block value differs by from those within one bit of it.
+_FLIPS = [0, *(1 << k for k in range(8))]
 
 
 class Benchmark:
@@ -117,22 +120,31 @@ class Benchmark:
         self.of = [of[v] for v in sorted(of)]
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.values & np.uint64(0xFFFF)).astype(np.int64)] = True
-        # Multi-index by window length: items of that length, their blocks, and for each block value the items near it.
+        # Multi-index by window length: for each block and value, the items of that length within one bit of it there.
         self.index = {}
         for length in {x[1] for x in self.items}:
             members = np.array([k for k, x in enumerate(self.items) if x[1] == length])
             blocks = np.stack([fingerprints[k] for k in members])
-            self.index[length] = (members, blocks)
+            value = np.concatenate([256 * np.arange(BLOCKS) + (blocks ^ flip) for flip in _FLIPS]).ravel()
+            order = np.argsort(value, kind="stable")
+            first = np.searchsorted(value[order], np.arange(256 * BLOCKS + 1))
+            self.index[length] = (members, blocks, first, np.tile(np.repeat(np.arange(len(members)), BLOCKS), len(_FLIPS))[order])
 
     def candidates(self, length: int, windows: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) within 31 bits; windows: their 16 blocks each."""
-        members, blocks = self.index[length]
-        found = np.zeros((len(windows), len(members)), bool)
-        for b in range(BLOCKS):
-            found |= _NEAR[windows[:, b]][:, blocks[:, b]]
-        w, m = np.nonzero(found)
-        near = np.bitwise_count(windows[w] ^ blocks[m]).sum(1, dtype=np.int64) <= WITHIN
-        return list(zip(w[near].tolist(), members[m[near]].tolist(), strict=True))
+        members, blocks, first, table = self.index[length]
+        out = []
+        step = max(1, PAIRS // (1 + len(members)))
+        for low in range(0, len(windows), step):
+            part = windows[low : low + step]
+            value = (256 * np.arange(BLOCKS) + part).ravel()
+            n = first[value + 1] - first[value]
+            w = np.repeat(np.repeat(np.arange(len(part)), BLOCKS), n)
+            m = table[np.repeat(first[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            near = np.bitwise_count(part.view(np.uint64)[w] ^ blocks.view(np.uint64)[m]).sum(1, dtype=np.int64) <= WITHIN
+            both = np.unique(w[near] * len(members) + m[near])
+            out += zip((low + both // len(members)).tolist(), members[both % len(members)].tolist(), strict=True)
+        return out
 
     def find(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window of each item that the text holds."""

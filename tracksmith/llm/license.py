@@ -1,16 +1,19 @@
 """Operator 8: licence scan with a positional index of rare tokens.
 
 Templates (licence passages, and the three base phrases) are indexed by word: postings (template, position). A word's
-IDF is the logarithm of templates over templates that have it. Of a text, only words that are among the ANCHORS
-highest-IDF words of some template are looked up; each occurrence votes for the place (template, own position minus
-the posting's position). Votes that agree on a place are one candidate, to be verified there: a phrase must stand
-word for word; a passage must match in at least MATCH of its IDF weight and have its mandatory key phrases.
-
-A base phrase's rarest word is always an anchor, so no place is missed. Texts are judged where they are read; the index
+IDF is the logarithm of templates over templates that have it. A template's anchors are its highest-IDF words, as many as
+it takes for the other words to weigh less than MATCH of the template: whatever matches has an anchor, so none is missed.
+Of a text, only anchors are looked up; each occurrence votes for a place (template, own position minus the posting's
+position). A place is verified: a phrase must stand word for word; of a passage, the heaviest common subsequence with the
+words from SLACK before the place to SLACK after the template's end there must have MATCH of its IDF weight (so that words
+may be put in, left out or replaced), and its mandatory key phrases must stand in these words.
+
+A base phrase's rarest word is its anchor, so no place is missed. Texts are judged where they are read; the index
 is bounded by the templates.
 
 Defined results: null and empty texts have no words, no labels and score 0; first_word and last_word are null without a
-base place; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
+base place; a passage that is found at several places counts by its best share; repeated rows give repeated rows; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +53,13 @@ PASSAGES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", ["has waived all copyright"]),
     ("boost", "boost software license version 1 0", ["boost software license"]),
     ("spdx", "spdx license identifier", ["spdx license identifier"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["authors be held liable"]),
+    ("liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise", ["copyright holders be liable"]),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("cddl", "common development and distribution license", ["common development and distribution license"]),
+    ("artistic-2.0", "the artistic license 2 0", ["artistic license 2 0"]),
 ]
-MATCH = 0.7
-ANCHORS = 4
+MATCH, SLACK = 0.7, 4
 #: Word bytes stay (A-Z lower-cased), any other becomes a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -71,7 +79,16 @@ class Index:
         self.weight = [sum(self.idf[w] for w in words) for _, words, _, _ in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words, _, exact) in enumerate(self.templates):
-            rarest = sorted(set(words), key=lambda w: (-self.idf[w], w))[: 1 if exact else ANCHORS]
+            rarest = sorted(set(words), key=lambda w: (-self.idf[w], w))
+            if exact:
+                rarest = rarest[:1]
+            else:
+                left = self.weight[k]
+                for n, w in enumerate(rarest):
+                    if left < MATCH * self.weight[k] - 1e-9:
+                        rarest = rarest[:n]
+                        break
+                    left -= self.idf[w] * words.count(w)
             for place, w in enumerate(words):
                 if w in rarest:
                     self.postings[w].append((k, place))
@@ -79,26 +96,51 @@ class Index:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Base places (start, label) and passages (start, label, matched share), both sorted."""
-        votes: Counter[tuple[int, int]] = Counter()
         if self.anchors.isdisjoint(words):
             return [], []
+        starts: dict[int, set[int]] = defaultdict(set)
         for at, w in enumerate(words):
             if w in self.anchors:
                 for k, place in self.postings[w]:
-                    votes[k, at - place] += 1
+                    starts[k].add(at - place)
         places, passages = [], []
-        for k, start in votes:
+        for k, found in starts.items():
             label, template, keys, exact = self.templates[k]
             if exact:
-                if start >= 0 and tuple(words[start : start + len(template)]) == template:
-                    places.append((start, label))
+                places += [(start, label) for start in found if start >= 0 and tuple(words[start : start + len(template)]) == template]
                 continue
-            matched = sum(self.idf[w] for n, w in enumerate(template) if 0 <= start + n < len(words) and words[start + n] == w)
-            share = matched / self.weight[k]
-            if share >= MATCH and all(self._holds(words, max(start, 0), start + len(template), key) for key in keys):
-                passages.append((start, label, share))
+            windows = sorted({(max(0, start - SLACK), start + len(template) + SLACK) for start in found})
+            weights = self._weights(words, k, windows)
+            for (low, high), most in zip(windows, weights, strict=True):
+                if most < MATCH * self.weight[k] - 1e-9 or not all(self._holds(words, low, min(high, len(words)), key) for key in keys):
+                    continue
+                share = self._aligned(template, words[low:high]) / self.weight[k]
+                if share >= MATCH - 1e-12:
+                    passages.append((low, label, share))
         return sorted(places), sorted(passages)
 
+    def _weights(self, words: list[bytes], k: int, windows: list[tuple[int, int]]) -> list[float]:
+        """For each window the IDF weight of its words that are words of the template: no alignment has more."""
+        template = set(self.templates[k][1])
+        if len(windows) < 4:
+            return [sum(self.idf[w] for w in words[low:high] if w in template) for low, high in windows]
+        upto = np.concatenate(([0.0], np.cumsum([self.idf[w] if w in template else 0.0 for w in words])))
+        return [float(upto[min(high, len(words))] - upto[low]) + 1e-6 for low, high in windows]
+
+    def _aligned(self, template: tuple[bytes, ...], words: list[bytes]) -> float:
+        """IDF weight of the heaviest common subsequence."""
+        row = np.zeros(len(words) + 1)
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for n, w in enumerate(words, 1):
+            places[w].append(n)
+        for w in template:
+            if w in places:
+                at = np.array(places[w])
+                new = row.copy()
+                new[at] = np.maximum(row[at], row[at - 1] + self.idf[w])
+                row = np.maximum.accumulate(new)
+        return float(row[-1])
+
     @staticmethod
     def _holds(words: list[bytes], low: int, high: int, key: tuple[bytes, ...]) -> bool:
         return any(tuple(words[i : i + len(key)]) == key for i in range(low, high - len(key) + 1))

@@ -29,8 +29,9 @@ Two texts are candidates if they share a key and LIKE holds; those connected mak
 similarity of their sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; rows with a null
-doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; an empty table gives no
-rows; other columns are ignored, or kept by keep_one().
+doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; rows of one id and different
+texts are linked each by its own text; an empty table gives no rows; other columns are ignored, or kept by keep_one(),
+where of each group the row of the least (id, hash of the text) stays, once if it is repeated, and rows with a null id stay.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksmith.llm import common, confirm
-from tracksmith.llm.components import components
+from tracksmith.llm.components import components, most, spread_join
 
 SHINGLE = 4
 SEED = 42
@@ -167,16 +168,16 @@ _SIGNATURE = [f"w{k}" for k in range(LIKE_WORDS)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, w0, w1, ..., bands) of every row; numbers as signed longs, bands as the keys' bytes."""
+    """(doc_id, text_hash, node, size, w0, w1, ..., bands) of every row; numbers as signed longs, bands as the keys' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.rows(batches, "doc_id", "text"):
-            found = [signature(t) for _, t in part]
+        for part in common.rows(batches, "doc_id", "text", "text_hash"):
+            found = [signature(t) for _, t, _ in part]
             prints = np.array([p for _, _, p, _ in found], np.uint64).reshape(len(part), -1).view(np.int64)
-            own = {"doc_id": pa.array([i for i, _ in part], pa.int64()), "node": pa.array([n for n, *_ in found], pa.int64()), "size": pa.array([n for _, n, *_ in found], pa.int64())}
+            own = {"doc_id": pa.array([i for i, *_ in part], pa.int64()), "text_hash": pa.array([h for *_, h in part], pa.int64()), "node": pa.array([n for n, *_ in found], pa.int64()), "size": pa.array([n for _, n, *_ in found], pa.int64())}
             yield pa.RecordBatch.from_pydict(own | {w: prints[:, k] for k, w in enumerate(_SIGNATURE)} | {"bands": pa.array([b.tobytes() for *_, b in found], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE], "bands binary"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, ", ".join(["doc_id long", "text_hash long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE], "bands binary"]))
 
 
 def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -359,36 +360,48 @@ def links(nodes: DataFrame, key: str = "fp", numbers: tuple[str, ...] | list[str
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     found = common.cut(fingerprints(docs))
-    nodes = common.cut(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = common.cut(components(links(nodes)))
-    joined = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return found.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    limit = most(found.count())
+    nodes = common.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    known = nodes.where("least is not null").select("fp", "least")
+    groups = components(links(known))
+    joined = known.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = spread_join(joined, joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component", limit)
+    named = common.cut(nodes.select("fp", "n").join(named.select("fp", "component_id"), "fp", "left"))
+    return spread_join(found, named, "fp", limit).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, chunk: int) -> DataFrame:
+    """(doc_id, text_hash, best) of every row of docs with an id; best is the least (doc_id, text_hash) of the row's group."""
+    found = common.cut(signatures(docs).where("doc_id is not null"))
+    limit = most(found.count())
+    row = F.min(F.struct("doc_id", "text_hash", "size", *_SIGNATURE, "bands")).alias("row")
+    nodes = common.cut(found.groupBy("node").agg(row, F.count("*").alias("n")).select("node", "n", F.struct("row.doc_id", "row.text_hash").alias("own"), F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE], "row.bands"))
+    members = nodes.drop("bands", "n", "own").join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = components(confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk))
+    joined = nodes.select("node", "own", F.col("n").alias("rows")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = spread_join(joined, joined.groupBy("component").agg(F.min("own").alias("best"), F.count("*").alias("n")), "component", limit)
+    named = common.cut(named.select("node", "best", F.col("rows").alias("n")))
+    return spread_join(found.select("doc_id", "text_hash", "node"), named, "node", limit).select("doc_id", "text_hash", "best")
 
 
 def similar(docs: DataFrame, chunk: int = confirm.CHUNK) -> DataFrame:
     """(doc_id, component_id) of every row of docs; texts of similarity 0.8 are linked, a component is named by its least id."""
-    found = common.cut(signatures(docs))
-    row = F.min(F.struct("doc_id", "size", *_SIGNATURE, "bands")).alias("row")
-    nodes = common.cut(found.where("doc_id is not null").groupBy("node").agg(row).select("node", F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE], "row.bands"))
-    members = nodes.drop("bands").join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = components(confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk))
-    joined = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return found.join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nameless = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id")).where("doc_id is null")
+    return _grouped(docs, chunk).select("doc_id", F.col("best.doc_id").alias("component_id")).unionByName(nameless)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs, the one of the least id, of each group of similar(); rows with a null id stay."""
-    found = common.cut(similar(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """One row of docs of each group of similar(), that of the least (id, hash of the text); rows with a null id stay."""
+    key, text = common.fresh(docs, "__id"), common.fresh(docs, "__hash")
+    rows = common.cut(_grouped(docs, confirm.CHUNK).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text), (F.struct("doc_id", "text_hash") == F.col("best")).alias("stays")))
+    gone = rows.where("not stays").select(key, text).distinct()
+    twice = rows.where("stays").groupBy(key, text).count().where("count > 1").select(key, text)
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").cast("long").alias(key), F.xxhash64("text").alias(text))
+    kept = keyed.join(gone, [key, text], "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(twice, [key, text], "left_anti").unionByName(kept.join(twice, [key, text], "left_semi").dropDuplicates([key, text]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -724,28 +724,123 @@ def test_pitman_yor(docs, no_docs):
     assert pitman_yor.scores(no_docs).count() == 0
 
 
-def test_stirling_numbers_and_draws():
-    table = np.exp(pitman_yor.stirling(0.5))
-    assert table[3, 1] == pytest.approx(0.75) and table[3, 2] == pytest.approx(1.5) and table[3, 3] == pytest.approx(1)
-    rng = np.random.default_rng(0)
-    t = pitman_yor.draw_tables(np.full(40000, 3), np.full(40000, 2.0), 0.5, rng)
-    weights = np.array([0.75 * 2, 1.5 * 4, 8.0])
-    assert np.bincount(t, minlength=4)[1:] / 40000 == pytest.approx(weights / weights.sum(), abs=0.01)
-    large = pitman_yor.draw_tables(np.full(2000, 500), np.full(2000, 5.0), 0.5, rng)
-    assert large.min() >= 1 and large.max() <= 500 and list(pitman_yor.draw_tables(np.array([0, 1]), np.array([1.0, 1.0]), 0.5, rng)) == [0, 1]
+def seatings(c):
+    """Numbers of seatings of c customers at t tables, discount 1/2, by the recursion of generalised Stirling numbers."""
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0] + [row[t - 1] + ((n - t / 2) * row[t] if t <= n else 0) for t in range(1, n + 2)]
+    return row
 
 
-def test_probabilities_add_up_to_one():
-    """Over all known words and the unseen rest, in a bucket that holds the whole vocabulary."""
-    rng = np.random.default_rng(1)
-    word, context = rng.integers(1, 30, 2000).astype(np.uint64), rng.integers(0, 5, 2000).astype(np.uint16)
-    bucket = pitman_yor.Bucket(word, context, np.ones(2000, np.uint32), 1)
-    bucket.burn_in()
-    totals, base = bucket.totals(), 1 / (len(bucket.words) + 1)
-    for x in range(6):
-        contexts = np.full(len(bucket.words) + 1, x, np.uint16)
-        words = np.append(bucket.words, np.uint64(999))
-        assert bucket.probability(contexts, bucket.locate(words, contexts), totals, base).sum() == pytest.approx(1)
+def table_weights(c, x, p):
+    """Of t = 1, 2, ..., c: seatings times the weight of each new table beside those of other dishes."""
+    return [seatings(c)[t] * math.prod(0.5 * (x + i) * p for i in range(t)) for t in range(1, c + 1)]
+
+
+def test_tables_are_drawn_from_the_conditional():
+    rng = np.random.default_rng(0)
+    for c, x, p in ((2, 3.0, 0.1), (3, 2.0, 0.9), (7, 40.0, 0.02), (30, 500.0, 0.01), (60, 2.0, 1e-6)):
+        weights = np.array(table_weights(c, x, p))
+        upto = np.cumsum(weights) / weights.sum()
+        u = rng.random(2000)
+        got = pitman_yor.draw_tables(np.full(2000, c), np.full(2000, x), np.full(2000, p), u)
+        want = 1 + (u[:, None] >= upto).sum(1)
+        assert (got != want).sum() <= 1  # a number at an edge may fall to either side
+    # A dish of a million customers: by the same rule, the edges of its window don't count.
+    c, x, p = 10**6, 3000.0, 0.3
+    t = np.arange(1, c)
+    log = np.concatenate(([0.0], np.cumsum(np.log(2 * p * (c - t) * (x + t) / (t * (2 * c - t - 1))))))
+    upto = np.cumsum(np.exp(log - log.max()))
+    u = rng.random(50)
+    got = pitman_yor.draw_tables(np.full(50, c), np.full(50, x), np.full(50, p), u)
+    assert np.abs(got - (1 + (u[:, None] * upto[-1] >= upto).sum(1))).max() <= 1
+    assert list(pitman_yor.draw_tables(np.array([0, 1]), np.ones(2), np.ones(2), np.zeros(2))) == [0, 1]
+
+
+def brute_scores(rows):
+    """The model of (doc_id, text) over dictionaries: log10 probability of each text, and whether each leaf's sum is one."""
+    leaf = lambda w: pitman_yor.code_of(w) >> 48
+    above = lambda r: r >> 8
+    texts = [(held(i, 7) != 2, WORD.findall(lowered(t)) + [b""]) for i, t in rows]
+    count = collections.Counter()
+    for trained, own in texts:
+        for before, w in zip([b"", *own], own):
+            count[leaf(before), w] += trained
+    count = +count
+    vocabulary = {w for _, w in count}
+    base = 1 / (len(vocabulary) + 1)
+    t = [{k: 1 for k in count}, {(above(r), w): 1 for r, w in count}, {w: 1 for w in vocabulary}]
+    uniform = lambda w, r, level, sweep: float(pitman_yor.uniform(np.array([pitman_yor.code_of(w)], np.uint64), r, level, sweep)[0])
+
+    def customers():
+        c1, c2 = collections.Counter(), collections.Counter()
+        for (r, w), n in t[0].items():
+            c1[above(r), w] += n
+        for (_, w), n in t[1].items():
+            c2[w] += n
+        return [count, c1, c2]
+
+    def sums(values):
+        out = collections.Counter()
+        for (r, _), n in values.items():
+            out[r] += n
+        return out
+
+    def model():
+        c = customers()
+        t0, t1, t2 = sums(t[0]), sums(t[1]), sum(t[2].values())
+        c0, c1, c2 = sums(c[0]), sums(c[1]), sum(c[2].values())
+        frozen = [dict(x) for x in t]
+
+        def root(w):
+            return (c[2][w] - 0.5 * frozen[2].get(w, 0) + (1 + 0.5 * t2) * base) / (1 + c2)
+
+        def middle(r, w):
+            return (c[1][r, w] - 0.5 * frozen[1].get((r, w), 0) + (1 + 0.5 * t1[r]) * root(w)) / (1 + c1[r])
+
+        def lowest(r, w):
+            return (c[0][r, w] - 0.5 * frozen[0].get((r, w), 0) + (1 + 0.5 * t0[r]) * middle(above(r), w)) / (1 + c0[r])
+
+        return root, middle, lowest, (t0, t1, t2)
+
+    def drawn(c, x, p, u):
+        weights = np.cumsum(table_weights(c, x, p))
+        return 1 + int((u * weights[-1] >= weights).sum())
+
+    found = []
+    for sweep in range(pitman_yor.SWEEPS + 1):
+        root, middle, lowest, (t0, t1, t2) = model()
+        if sweep > pitman_yor.SWEEPS - pitman_yor.SAMPLES:
+            found.append(lowest)
+            for r in {r for r, _ in count} | {77}:
+                assert sum(lowest(r, w) for w in vocabulary) + lowest(r, b"no word of these") == pytest.approx(1)
+        if sweep < pitman_yor.SWEEPS:
+            t[0] = {(r, w): drawn(n, 2 + t0[r] - t[0][r, w], middle(above(r), w), uniform(w, r, 0, sweep + 1)) for (r, w), n in count.items()}
+            t[1] = {(r, w): drawn(n, 2 + t1[r] - t[1][r, w], root(w), uniform(w, r, 1, sweep + 1)) for (r, w), n in customers()[1].items()}
+            t[2] = {w: drawn(n, 2 + t2 - t[2][w], base, uniform(w, 0, 2, sweep + 1)) for w, n in customers()[2].items()}
+    return [sum(math.log10(sum(p(leaf(b), w) for p in found) / len(found)) for b, w in zip([b"", *own], own)) for _, own in texts]
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """In one bucket or many, in one chunk or many, with repeated rows, ties, null ids and words of one suffix."""
+    rng = np.random.default_rng(21)
+    vocabulary = [a + b for a in "abcdefg" for b in ("ing", "s", "tion", "")]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 60)), p=np.arange(1, 29) / 406))) for i in range(60)]
+    rows += [(5, rows[5][1]), (None, "aing bing"), (61, None), (62, ""), (63, "never seen words")]
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], brute_scores(rows)))
+    frame = spark.createDataFrame([(*r, 3.0) for r in rows], "doc_id long, text string, score double")
+    for size, chunk, parts in ((10**6, 10**6, 1), (20, 50, 3)):
+        monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", chunk)
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in pitman_yor.scores(frame.repartition(parts), size).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
+def test_probabilities_without_training_are_uniform(spark):
+    """All texts held out: every token has the probability of one word out of one."""
+    ids = [i for i in range(200) if held(i, 7) == 2][:5]
+    out = pitman_yor.scores(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
+    assert len(out) == 5 and all((r["score"], r["base_score"], r["n_known"], r["train_tokens"]) == (0, 0, 0, 0) for r in out)
 
 
 # pipeline

@@ -892,3 +892,22 @@ def test_near_duplicate_classes_are_exact(spark):
     assert sum(whole[i] == whole[j] for i, j in close) >= 0.99 * len(close)
     assert whole == cut
     assert len(set(label)) > 30
+
+
+def test_candidates_of_every_length():
+    """Pairs of similarity 0.8 or more, with words replaced, cut at either end, put in or added, share a key and lie within the radius."""
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    pairs = missed = 0
+    for n in (5, 8, 9, 10, 12, 16, 20, 30, 60, 200):
+        for _ in range(120):
+            words, at, few = list(rng.choice(vocabulary, n)), int(rng.integers(0, n)), int(rng.integers(1, n // 5 + 2))
+            more = list(rng.choice(vocabulary, few))
+            for changed in (words[:at] + ["changed"] + words[at + 1 :], words[few:], words[:-few], words + more, words[:at] + more[:1] + words[at:]):
+                a, b = " ".join(words), " ".join(changed)
+                if similarity(a, b) < 0.8:
+                    continue
+                a, b = simhash.signature(a), simhash.signature(b)
+                pairs += 1
+                missed += not (np.isin(a[3], b[3]).any() and simhash._alike(a[2][None, :], b[2])[0])
+    assert pairs > 2000 and missed <= 0.001 * pairs

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,12 +79,34 @@ def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def release() -> None:
+    """Give back what Arrow and the allocator hold for later: Python workers live on from task to task beside each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows(batches: Iterator[pa.RecordBatch], *columns: str, step: int = 256) -> Iterator[list[tuple]]:
     """Rows of Arrow batches as short lists of tuples, so that few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))
+    release()
+
+
+def text_function(returns: str, make: Callable[[], Callable[[list], pa.Array]]) -> Callable[[str], Column]:
+    """A column function of texts; make() gives, once a task, what turns a list of texts into an array."""
+
+    @F.arrow_udf(returns)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        function = make()
+        for texts in parts:
+            yield pa.concat_arrays([function(texts.slice(at, 256).to_pylist()) for at in range(0, max(1, len(texts)), 256)])
+        release()
+
+    return run
 
 
 def record_batch(schema: pa.Schema, rows_out: list[tuple]) -> pa.RecordBatch:

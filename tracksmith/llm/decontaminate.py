@@ -24,7 +24,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -227,13 +226,11 @@ def _clean(spark: SparkSession, items: list[tuple]):
     """A column function text -> whether it holds none of the items."""
     sent = spark.sparkContext.broadcast(items)
 
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         index = Benchmark(sent.value)
-        for texts in parts:
-            yield pd.Series([not index.find(t) for t in texts], dtype=bool)
+        return lambda texts: pa.array([not index.find(t) for t in texts], pa.bool_())
 
-    return run
+    return common.text_function("boolean", make)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

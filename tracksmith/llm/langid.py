@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,12 +154,16 @@ def identifier(spark: SparkSession, profiles: Profiles):
     """A column function text -> struct<lang_pred, score>."""
     sent = spark.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def make():
         nearest = sent.value.nearest
-        return pd.DataFrame([nearest(t) for t in texts], columns=["lang_pred", "score"])
 
-    return run
+        def named(texts: list) -> pa.Array:
+            found = [nearest(t) for t in texts]
+            return pa.StructArray.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.float64())], names=["lang_pred", "score"])
+
+        return named
+
+    return common.text_function("lang_pred string, score double", make)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,19 +133,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     learnt = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)  # bounded: it is broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(learnt), "doc_id")
 
-    def featurise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [features(t) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "bucket": [b.tobytes() for b, _ in found], "value": [v.tobytes() for _, v in found]})
+    example = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bucket", pa.binary()), ("value", pa.binary())])
+    weighed = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts) or [pd.DataFrame({"doc_id": [], "label": [], "bucket": [], "value": []})])
-        part["order"] = [xxhash.xxh64_intdigest(str(i)) for i in part["doc_id"]]
-        part = part.sort_values(["order", "label", "bucket"], kind="stable")
-        weights, bias = ftrl([(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), int(y)) for b, v, y in zip(part["bucket"], part["value"], part["label"], strict=True)])
-        yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.rows(batches, "doc_id", "label", "text"):
+            yield common.record_batch(example, [(i, y, *(x.tobytes() for x in features(t))) for i, y, t in part])
 
-    fitted = texts.mapInPandas(featurise, "doc_id long, label int, bucket binary, value binary").repartition(1).mapInPandas(fit, "weights binary, bias double").collect()
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for part in common.rows(batches, *example.names) for row in part]
+        held.sort(key=lambda row: (xxhash.xxh64_intdigest(str(row[0])), row[1], row[2]))
+        weights, bias = ftrl([(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), y) for _, y, b, v in held])
+        yield common.record_batch(weighed, [(weights.tobytes(), bias)])
+
+    numbers = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
+    fitted = numbers.mapInArrow(featurise, "doc_id long, label int, bucket binary, value binary").repartition(1).mapInArrow(fit, "weights binary, bias double").collect()
     return (np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"]) if fitted else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
@@ -153,12 +155,11 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
     """A column function text -> score."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    def make():
         weights, bias = sent.value
-        return pd.Series([score(weights, bias, t) for t in texts], dtype="float64")
+        return lambda texts: pa.array([score(weights, bias, t) for t in texts], pa.float64())
 
-    return run
+    return common.text_function("double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -135,7 +135,9 @@ def test_reshape_conserves_the_mean(spark):
 
 def test_group_status_and_subset(spark):
     df = spark.createDataFrame([(1, k, r, i, g) for k, (r, i, g) in enumerate([(0.0, False, True), (0.5, False, False), (0.5, False, False), (1.0, False, False), (0.2, True, False)])] + [(2, 0, 1.0, False, False), (2, 1, 1.0, False, False)], "uid long, row long, reward double, invalid boolean, degraded boolean")
-    assert rows(groups.classify(df, "uid", 2), "uid") == [(1, 5, 1, "sampling_invalid"), (2, 2, 0, "constant")]
+    # A group counts only with the expected number of rows, no more and no fewer.
+    assert rows(groups.classify(df, "uid", 2), "uid") == [(1, 5, 1, "incomplete"), (2, 2, 0, "constant")]
+    assert rows(groups.classify(df, "uid", 5), "uid") == [(1, 5, 1, "sampling_invalid"), (2, 2, 0, "incomplete")]
     assert rows(groups.best_subset(df.where("NOT invalid"), "uid", "row", 3), "uid") == [(1, 0.5, 2, "1,2,3")]
 
 

@@ -20,9 +20,10 @@ def stable_key(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), key), 256)
 
 
-def uniform(seed: str, key: Column) -> Column:
-    """Deterministic uniform number in [0, 1): the first 52 bits of the stable key."""
-    return F.conv(F.substr(stable_key(seed, key), F.lit(1), F.lit(13)), 16, 10).cast("long") / F.lit(float(1 << 52))
+def uniform(*parts: Column | str) -> Column:
+    """Deterministic uniform number in [0, 1): the first 64 bits of the SHA-256 of the parts (texts or columns) joined by |."""
+    joined = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substr(F.sha2(joined, 256), F.lit(1), F.lit(16)), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(1 << 64))
 
 
 def is_true(x: Column) -> Column:
@@ -40,9 +41,14 @@ def nearest_rank(x: Column | str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {x})") if isinstance(x, str) else F.percentile_approx(x, share, 1 << 30)
 
 
+def casefold(x: Column) -> Column:
+    """Lower case for comparisons: sharp s as ss, final sigma as sigma."""
+    return F.translate(F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s")), "ς", "σ")
+
+
 def collapse(x: Column) -> Column:
-    """White space runs to one blank, ends trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    """White space runs to one blank, ends trimmed, case folded."""
+    return casefold(F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
 def action_signature(choice: Column, content: Column) -> Column:
@@ -51,7 +57,7 @@ def action_signature(choice: Column, content: Column) -> Column:
 
 def query_form(x: Column) -> Column:
     """[a-z0-9]+ tokens of the lower-cased text joined by blanks, without a leading `search`."""
-    joined = F.array_join(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1)), " ")
+    joined = F.array_join(F.regexp_extract_all(casefold(x), F.lit("([a-z0-9]+)"), F.lit(1)), " ")
     return F.regexp_replace(joined, "^search( |$)", "")
 
 
@@ -61,25 +67,20 @@ def substantive_change(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (tokens(a) != tokens(b))
 
 
-# Ordinal words of search texts and their cardinals.
-ORDINALS = {"first": "one", "second": "two", "third": "three", "fourth": "four", "fifth": "five", "sixth": "six", "seventh": "seven", "eighth": "eight", "ninth": "nine", "tenth": "ten"}
-
-
 def search_form(x: Column) -> Column:
-    """Lower case, & to and, ordinal words to cardinals, everything but letters and digits to blanks."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(x), "&", " and "), "[^a-z0-9]+", " ")
-    for word, cardinal in ORDINALS.items():
-        out = F.regexp_replace(out, rf"\b{word}\b", cardinal)
-    return F.trim(out)
+    """Case folded, 10th to 10, & to and, everything but letters and digits to blanks."""
+    out = F.regexp_replace(casefold(x), r"\b(\d+)(?:st|nd|rd|th)\b", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "&", " and "), "[^a-z0-9]+", " "))
 
 
 def option_ids(x: Column) -> Column:
     """Distinct option ids ([ACFHR] and digits, no word character beside), in order."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?<![A-Za-z0-9])([ACFHR][0-9]+)(?![A-Za-z0-9])"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(OPTION_IDS), F.lit(1)))
 
 
-# Option prefixes and what they stand for.
-PREFIXES = {"A": "apartment", "C": "rental_car", "F": "flight", "H": "hotel", "R": "restaurant"}
+# Option prefixes and what they stand for, and how an option id stands in a text.
+PREFIXES = {"F": "flight", "H": "hotel", "A": "apartment", "C": "rental_car", "R": "restaurant"}
+OPTION_IDS = r"(?<![A-Za-z0-9])([ACFHR][0-9]+)(?![A-Za-z0-9])"
 
 
 def option_aspect(option: Column) -> Column:

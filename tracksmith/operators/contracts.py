@@ -13,13 +13,6 @@ def judge(df: DataFrame, checks: dict[str, Column], out: str = "rejections") ->
     return df.withColumn(out, F.array_join(reasons(*[(c, k) for k, c in checks.items()]), ","))
 
 
-def tier(df: DataFrame, rejections: str, allowed: list[str], marked: Column, fallbacks: Column, raw: Column, floor: float) -> Column:
-    """gold, silver or null: no reasons is gold (silver if repaired); allowed reasons alone may still be silver."""
-    why = F.filter(F.split(F.col(rejections), ","), lambda x: x != "")
-    only_allowed = F.size(F.array_except(why, F.array(*[F.lit(a) for a in allowed]))) == 0
-    return F.when((F.size(why) == 0) & ~marked, "gold").when(F.size(why) == 0, "silver").when(only_allowed & marked & (fallbacks <= 1) & (raw >= floor), "silver")
-
-
 def content_hash(df: DataFrame, by: list[str], order: str, content: str) -> DataFrame:
     """SHA-256 of a group's texts in order, joined by line ends."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content])
@@ -33,18 +26,6 @@ def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return net.agg(F.coalesce(F.sum(F.greatest("net", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("net"), F.lit(0))), F.lit(0)).alias("only_right"))
 
 
-def message_rejections(messages: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conversation, rejections) of the message contract: who begins, who ends, alternation, empty texts."""
-    w = Window.partitionBy(conversation).orderBy(turn)
-    rows = messages.withColumn("__before", F.lag(role).over(w)).withColumn("__n", F.row_number().over(w))
-    sums = rows.groupBy(conversation).agg(
-        F.count_if((F.col("__n") == 1) & ~F.col(role).isin("system", "user")).alias("a"), F.max_by(role, turn).alias("last"),
-        F.count_if((F.col(role) == F.col("__before")) & (F.col(role) != "system")).alias("b"), F.count_if((F.col(role) == "system") & (F.col("__n") > 1)).alias("c"),
-        F.count_if(F.coalesce(F.trim(F.col(text)), F.lit("")) == "").alias("d"), F.count_if(F.col(role) == "assistant").alias("e"),
-    )
-    return judge(sums, {"bad_first_role": F.col("a") > 0, "not_ended_by_assistant": F.col("last") != "assistant", "roles_do_not_alternate": F.col("b") > 0, "late_system": F.col("c") > 0, "empty_text": F.col("d") > 0, "no_assistant": F.col("e") == 0}).select(conversation, "rejections")
-
-
 def later_copies(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """df with `copy`: true for every row of a key but the first.
 
@@ -114,3 +95,21 @@ def drift(a: DataFrame, b: DataFrame, key: str, metrics: list[str], tolerance: f
     off = lambda m: F.abs(F.col(f"l_{m}") - F.col(f"r_{m}")) > tolerance * F.greatest(F.abs(F.col(f"l_{m}")), F.abs(F.col(f"r_{m}")))
     sums = joined.agg(*[F.count("*").alias("n"), *[F.count_if(off(m)).alias(m) for m in metrics]])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("n").alias("compared"), F.col(m).alias("differing")) for m in metrics])).alias("r")).select("r.*")
+
+
+def two_files(train: DataFrame, validation: DataFrame, key: str, content: str, splits: DataFrame, split: str, least: dict[str, int]) -> DataFrame:
+    """(check, n): faults of a training and a validation file together; 0 means that a check holds.
+
+    Repeated contents within each file (all but the first), keys in both files, keys that the split map (key, split) puts
+    elsewhere or doesn't know, and rows that a file lacks of `least` ({"train": .., "validation": ..}).
+    """
+    files = {"train": train.select(key, content), "validation": validation.select(key, content)}
+    both = files["train"].withColumn("__file", F.lit("train")).unionByName(files["validation"].withColumn("__file", F.lit("validation")))
+    copies = both.groupBy("__file", content).agg((F.count("*") - 1).alias("n")).groupBy("__file").agg(F.sum("n").alias("n"))
+    shared = both.groupBy(key).agg(F.countDistinct("__file").alias("f")).agg(F.count_if(F.col("f") > 1).alias("n"))
+    placed = both.join(splits.select(key, F.col(split).alias("__split")), key, "left").groupBy("__file").agg(F.count_if(~F.col("__split").eqNullSafe(F.col("__file"))).alias("n"), F.count("*").alias("rows"))
+    names = both.sparkSession.createDataFrame([(f, n) for f, n in least.items()], "__file string, least bigint")
+    per_file = names.join(copies.withColumnRenamed("n", "repeated"), "__file", "left").join(placed.withColumnRenamed("n", "misplaced"), "__file", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = F.array(*[F.struct(F.concat(F.lit(f"{name}_"), "__file").alias("check"), value.alias("n")) for name, value in (("repeated", zero(F.col("repeated"))), ("misplaced", zero(F.col("misplaced"))), ("missing", F.greatest(F.lit(0).cast("long"), F.col("least") - zero(F.col("rows")))))])
+    return per_file.select(F.explode(rows).alias("r")).select("r.*").unionByName(shared.select(F.lit("in_both").alias("check"), F.col("n").cast("long").alias("n")))

@@ -29,15 +29,19 @@ CLIP, MIX, BAND, EPSILON = 0.50, 0.50, 0.20, 1.0e-6
 
 
 def chains(turns: DataFrame, trajectory: str = "trajectory", turn: str = "turn") -> DataFrame:
-    """turns with their aspect's answer_at (last correct visible answer), search_at (last normal search before it) and completed."""
+    """turns with their aspect's answer_at (last correct visible answer), search_at (last normal search before it) and completed.
+
+    Turns without an aspect are in no chain.
+    """
     w = Window.partitionBy(trajectory, "aspect")
     t = F.col(turn)
-    right = (F.col("choice") == "answer") & F.col("answer_visible") & F.col("correct_answer")
+    named = F.col("aspect").isNotNull()
+    right = named & (F.col("choice") == "answer") & F.col("answer_visible") & F.col("correct_answer")
     out = turns.withColumn("answer_at", F.max(F.when(right, t)).over(w))
-    seen = (F.col("choice") == "search") & F.col("normal_candidates") & (F.col("answer_at").isNull() | (t < F.col("answer_at")))
+    seen = named & (F.col("choice") == "search") & F.col("normal_candidates") & (F.col("answer_at").isNull() | (t < F.col("answer_at")))
     out = out.withColumn("search_at", F.max(F.when(seen, t)).over(w))
     cut = F.coalesce("search_at", "answer_at")
-    field = (F.col("choice") == "action") & F.col("field_resolved")
+    field = named & (F.col("choice") == "action") & F.col("field_resolved")
     out = out.withColumn("in_chain", field & (cut.isNull() | (t < cut)))
     return out.withColumn("chain_n", F.sum(F.col("in_chain").cast("int")).over(w)).withColumn("completed", F.col("answer_at").isNotNull() & F.col("search_at").isNotNull())
 
@@ -53,7 +57,7 @@ def evidence(turns: DataFrame, trajectory: str = "trajectory", turn: str = "turn
     partial = F.when(field & (before < round(PARTIAL_CAP / PARTIAL_FIELD)), PARTIAL_FIELD).otherwise(0.0)
     partial = F.when(F.col("normal_candidates"), F.greatest(partial, F.lit(PARTIAL_SEARCH))).otherwise(partial)
     partial = partial + F.when((F.col("choice") == "answer") & F.col("answer_visible") & ~F.col("correct_answer"), PARTIAL_ANSWER).otherwise(0.0)
-    out = out.withColumn("gain", F.when(F.col("completed"), done).otherwise(partial))
+    out = out.withColumn("gain", F.when(F.col("aspect").isNull(), 0.0).when(F.col("completed"), done).otherwise(partial))
     specific = F.least(*[F.when(F.col(k), v) for k, v in PENALTIES.items()])
     cause = F.coalesce(*[F.when(F.col(k), F.lit(k)) for k in PENALTIES], F.when(F.col("guard_rejected"), F.lit("guard_rejected")), F.lit("none"))
     out = out.withColumn("penalty", F.coalesce(specific, F.when(F.col("guard_rejected"), GUARD_PENALTY), F.lit(0.0))).withColumn("cause", cause)

@@ -59,13 +59,17 @@ def paired_deltas(expected: DataFrame, stages: DataFrame, task: str, stage: str,
 
 
 def select_checkpoint(candidates: DataFrame, reference: dict[str, float], least_valid: float = 0.98, tolerance: float = 0.01) -> DataFrame:
-    """Candidates with their rejection reasons and whether they are chosen (by metrics in order, then the lower step)."""
+    """Candidates with their rejection reasons and whether they are chosen (by metrics in order, then the lower step).
+
+    A metric that is null counts 0.
+    """
+    known = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(0.0))
     why = expr.reasons(
-        (F.col("valid_rate") < least_valid, "valid_rate"),
-        *[(F.col(k) < v - tolerance, f"{k}_regressed") for k, v in reference.items()],
+        (known("valid_rate") < least_valid, "valid_rate"),
+        *[(known(k) < v - tolerance, f"{k}_regressed") for k, v in reference.items()],
     )
     judged = candidates.withColumn("rejections", F.array_join(why, ","))
-    rank = F.struct("terminal", "correct", "aligned", "efficiency", (-F.col("step")).alias("s"))
+    rank = F.struct(*[known(k).alias(k) for k in ("terminal", "correct", "aligned", "efficiency")], (-F.col("step")).alias("s"))
     best = judged.where("rejections = ''").agg(F.max_by("step", rank).alias("best"))  # one row
     return judged.join(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("step") == F.col("best"), F.lit(False))).drop("best")
 

@@ -17,7 +17,7 @@ def signals(df: DataFrame, reward: Column, valid: Column, infrastructure: Column
 def classify(df: DataFrame, group: str, size: int, tolerance: float = 1e-12) -> DataFrame:
     """(group, n, n_invalid, status): incomplete, sampling_invalid, constant or kept, the first that holds."""
     sums = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if("invalid").alias("n_invalid"), (F.max("reward") - F.min("reward")).alias("spread"))
-    status = F.when(F.col("n") < size, "incomplete").when(F.col("n_invalid") > 0, "sampling_invalid").when(F.col("spread") <= tolerance, "constant").otherwise("kept")
+    status = F.when(F.col("n") != size, "incomplete").when(F.col("n_invalid") > 0, "sampling_invalid").when(F.col("spread") <= tolerance, "constant").otherwise("kept")
     return sums.select(group, "n", "n_invalid", status.alias("status"))
 
 
@@ -74,3 +74,17 @@ def pad(df: DataFrame, values: str, by: list[str], filler: int, left: bool) -> D
     ones = F.array_repeat(F.lit(1), F.size(values))
     both = lambda a, b: F.concat(b, a) if left else F.concat(a, b)
     return df.withColumn("__width", width).withColumn("padded", both(F.col(values), fill(filler, missing))).withColumn("mask", both(ones, fill(0, missing))).drop("__width")
+
+
+def training_rows(df: DataFrame, split: str, order: list[str], spread: str, nested: dict[str, list[str]] | None = None, width: int = 1000) -> DataFrame:
+    """df with `index`, the row's number in its split by `order`, and structs of columns by the names in `nested`.
+
+    No task orders a whole split: spread, a number that comes first in the order, is cut into ranges of `width`; rows are
+    numbered within (split, range), and ranges are counted up in a table of a row for each.
+    """
+    ranged = df.withColumn("__range", F.floor(F.col(spread) / width))
+    sizes = ranged.groupBy(split, "__range").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(split).orderBy("__range")) - F.col("__n")).drop("__n")
+    numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(split, "__range").orderBy(*order)))
+    out = numbered.join(before, [split, "__range"]).withColumn("index", (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__range", "__k", "__before")
+    return out.withColumns({name: F.struct(*columns) for name, columns in (nested or {}).items()})

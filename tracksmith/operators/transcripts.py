@@ -33,12 +33,11 @@ def normalise(messages: DataFrame, role: str, text: str, roles: tuple[str, ...]
     return messages.where(F.col(role).isin(*roles)).withColumn(text, F.trim(F.coalesce(F.col(text), F.lit(""))))
 
 
-def parse_call(df: DataFrame, arguments: str) -> DataFrame:
-    """df with call_choice, call_content and call_error from a JSON object of thought, choice and content.
+def call_parts(raw: Column) -> tuple[Column, Column, Column]:
+    """Choice, content and error of a JSON object of thought, choice and content.
 
-    A choice in brackets before the content must be the call's own; null columns and a reason if the call is malformed.
+    A choice in brackets before the content must be the call's own; the error is null if the call is well formed.
     """
-    raw = F.col(arguments)
     keys = F.array_sort(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")))
     call = F.from_json(raw, CALL, {"mode": "PERMISSIVE"})
     choice = F.lower(F.trim(call["choice"]))
@@ -52,6 +51,12 @@ def parse_call(df: DataFrame, arguments: str) -> DataFrame:
         .when(~F.coalesce(choice.isin(*CHOICES), F.lit(False)), "unknown_choice").when(prefix == "finish", "finish_is_not_a_call")
         .when((prefix != "") & (prefix != choice), "prefix_conflicts").when(rest == "", "empty_content")
     )
+    return choice, rest, error
+
+
+def parse_call(df: DataFrame, arguments: str) -> DataFrame:
+    """df with call_choice, call_content and call_error of call_parts(); the first two are null if the call is malformed."""
+    choice, rest, error = call_parts(F.col(arguments))
     out = df.withColumn("call_error", error)
     good = F.col("call_error").isNull()
     return out.withColumn("call_choice", F.when(good, choice)).withColumn("call_content", F.when(good, rest))
@@ -117,27 +122,52 @@ def public_aspects(text: Column, hints: dict[str, list[str]] | None = None) -> C
 
 
 def deinflect(words: Column, known: list[str]) -> Column:
-    """ies to y, es and s dropped, where what is left is a known word."""
+    """ies to y, es and s dropped: the first of these that is a known word, else the word itself."""
     table = F.array(*[F.lit(k) for k in known])
+
     def one(w: Column) -> Column:
         y, es, s = F.regexp_replace(w, "ies$", "y"), F.regexp_replace(w, "es$", ""), F.regexp_replace(w, "s$", "")
-        has = lambda x: F.array_contains(table, x) & (x != w)
-        return F.when(F.array_contains(table, w), w).when(has(y), y).when(has(es), es).when(has(s), s).otherwise(w)
+        has = lambda x, least: F.array_contains(table, x) & (x != w) & (F.length(w) > least)
+        return F.when(has(y, 3), y).when(has(es, 2), es).when(has(s, 1), s).otherwise(w)
 
     return F.transform(words, one)
 
 
-def field_matches(df: DataFrame, key: str, text: str, hints: DataFrame) -> DataFrame:
-    """(key, aspect, field) named in a text; a match inside a longer match of another field doesn't count.
+def hint_words(text: Column, known: list[str]) -> Column:
+    """[a-z0-9]+ words of the case-folded text, known inflections undone."""
+    return deinflect(F.regexp_extract_all(F.translate(expr.casefold(text), "_", " "), F.lit("([a-z0-9]+)"), F.lit(1)), known)
+
+
+def field_matches(df: DataFrame, key: str, text: str, hints: DataFrame, names: DataFrame | None = None, dimensions: str | None = None) -> DataFrame:
+    """(key, aspect, field) named in a text.
 
-    hints: (aspect, field, hint), a small table: it is broadcast.
+    hints: (aspect, field, hint) and names: (aspect, hint), small tables that are broadcast. Hints stand on whole words. Only
+    aspects that a text names itself count, if there are any; else all of them. A place inside one of more words, of another
+    field of the same aspect, doesn't count. dimensions: an array of the aspects that count at all, if given.
     """
-    plain = expr.collapse(F.col(text))
-    spans = df.select(F.col(key).alias("key"), plain.alias("t")).join(F.broadcast(hints), F.expr("contains(t, hint)"))
-    spans = spans.withColumn("start", F.expr("instr(t, hint)")).withColumn("stop", F.col("start") + F.length("hint")).drop("t")
-    wider = F.max(F.struct(F.col("stop") - F.col("start"), "start", "stop", "field")).over(Window.partitionBy("key"))
-    kept = spans.withColumn("w", wider).where((F.col("field") == F.col("w.field")) | (F.col("start") < F.col("w.start")) | (F.col("stop") > F.col("w.stop")))
-    return kept.select("key", "aspect", "field").distinct()
+    rows = hints.select("hint").unionByName(names.select("hint")) if names is not None else hints.select("hint")
+    split = lambda x: F.regexp_extract_all(F.translate(expr.casefold(x), "_", " "), F.lit("([a-z0-9]+)"), F.lit(1))
+    known = [r["w"] for r in rows.select(F.explode(split(F.col("hint"))).alias("w")).distinct().collect()]  # words of the hints
+    texts = df.select(F.col(key).alias("key"), hint_words(F.col(text), known).alias("words"), (F.col(dimensions) if dimensions else F.lit(None).cast("array<string>")).alias("dimensions"))
+
+    def spans(table: DataFrame) -> DataFrame:
+        worded = table.withColumn("hint", hint_words(F.col("hint"), known)).withColumn("width", F.size("hint")).where("width > 0")
+        met = texts.join(F.broadcast(worded), F.expr("forall(hint, w -> array_contains(words, w)) AND (dimensions IS NULL OR array_contains(dimensions, aspect))"))
+        places = F.expr("filter(sequence(1, greatest(size(words) - width + 1, 1)), i -> slice(words, i, width) = hint)")
+        return met.withColumn("start", F.explode(places)).withColumn("stop", F.col("start") + F.col("width"))
+
+    found = spans(hints)
+    if names is not None:
+        named = spans(names).select("key", "aspect").distinct()
+        some = named.select("key").distinct()
+        found = found.join(named, ["key", "aspect"], "left_semi").unionByName(found.join(some, "key", "left_anti"))
+    found = found.select("key", "aspect", "field", "width", "start", "stop")
+    wider = found.select("key", "aspect", *[F.col(c).alias(f"__{c}") for c in ("field", "width", "start", "stop")])
+    inside = [found["key"] == wider["key"], found["aspect"] == wider["aspect"], F.col("field") != F.col("__field"), F.col("__width") > F.col("width"), F.col("__start") <= F.col("start"), F.col("__stop") >= F.col("stop")]
+    condition = inside[0]
+    for c in inside[1:]:
+        condition = condition & c
+    return found.join(wider, condition, "left_anti").select("key", "aspect", "field").distinct()
 
 
 def query_issue(df: DataFrame, key: str, matches: DataFrame) -> DataFrame:
@@ -147,13 +177,15 @@ def query_issue(df: DataFrame, key: str, matches: DataFrame) -> DataFrame:
 
 
 def base_search(df: DataFrame, key: str, text: str, aspects: DataFrame) -> DataFrame:
-    """(key, aspect): the only aspect of the key whose alias and argument values all stand in the text; else null.
+    """(key, aspect): the only aspect of the key that has an alias in the text and all its argument values; else null.
 
-    aspects: (key, aspect, alias, arguments array<string>).
+    aspects: (key, aspect, alias, arguments array<string>), a row an alias. An aspect without arguments doesn't count; an
+    argument that is empty after normalising is in every text.
     """
     joined = df.select(key, expr.search_form(F.col(text)).alias("t")).join(aspects, key, "left")
-    holds = F.contains("t", expr.search_form(F.col("alias"))) & F.forall("arguments", lambda v: F.contains(F.col("t"), expr.search_form(v)))
-    return joined.groupBy(key).agg(F.count_if(holds).alias("n"), F.min(F.when(holds, F.col("aspect"))).alias("a")).select(key, F.when(F.col("n") == 1, F.col("a")).alias("aspect"))
+    holds = F.contains("t", expr.search_form(F.col("alias"))) & (F.size("arguments") > 0) & F.forall("arguments", lambda v: F.contains(F.col("t"), expr.search_form(v)))
+    some = F.collect_set(F.when(holds, F.col("aspect")))
+    return joined.groupBy(key).agg(some.alias("a")).select(key, F.when(F.size("a") == 1, F.col("a")[0]).alias("aspect"))
 
 
 def search_context(messages: DataFrame, key: str, turn: str, role: str, text: str, about: Column, aspect: Column, most: int = 1600) -> DataFrame:

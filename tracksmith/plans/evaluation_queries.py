@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracksmith.functions import expr
-from tracksmith.operators import evaluation, reward
+from tracksmith.operators import evaluation, reward, rollouts
 from tracksmith.plans.bind import COUNTERS, RESULTS, TASKS, TURNS, counters, read, results, tasks, turns
 from tracksmith.plans.splits_queries import query
 
@@ -53,9 +53,9 @@ def _(spark, d):
     return evaluation.completion(tasks(spark, d).where("ord % 2 = 0"), results(spark, d), "task_id")
 
 
-@query("a_6", f"WITH {TASKS}, {RESULTS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS guard_rejections, round(avg(CASE WHEN r.valid THEN terminal ELSE 0 END), 6) AS terminal FROM tasks LEFT JOIN results r USING (task_id) WHERE ord % 4 = 0")
+@query("a_6", f"WITH {TASKS}, {RESULTS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS guard_rejections, round(avg(CASE WHEN r.valid THEN terminal ELSE 0 END), 6) AS terminal FROM tasks LEFT JOIN results r USING (task_id)")
 def _(spark, d):
-    out = evaluation.summary(tasks(spark, d).where("ord % 4 = 0"), results(spark, d), "task_id", "composition", ["terminal"]).where("composition IS NULL")
+    out = evaluation.summary(tasks(spark, d), results(spark, d), "task_id", "composition", ["terminal"]).where("composition IS NULL")
     return out.select(F.col("expected").alias("n"), F.lit(0).cast("long").alias("guard_rejections"), F.round("mean_terminal", 6).alias("terminal"))
 
 
@@ -131,8 +131,8 @@ def _(spark, d):
 
 @query("a_16", f"WITH {RESULTS} SELECT count(*) AS attempted, count(*) FILTER (valid) AS accepted, count(*) FILTER (valid AND completion >= 0.7) AS gold, round(coalesce(count(*) FILTER (valid) / nullif(count(*), 0)::DOUBLE, 0), 6) AS rate FROM results")
 def _(spark, d):
-    r = results(spark, d).agg(F.count("*").alias("attempted"), F.count_if("valid").alias("accepted"), F.count_if(F.col("valid") & (F.col("completion") >= 0.7)).alias("gold"))
-    return r.withColumn("rate", F.round(expr.ratio(F.col("accepted"), F.col("attempted")), 6))
+    r = rollouts.teacher_summary(results(spark, d), F.col("valid"), F.col("completion") >= 0.7)
+    return r.withColumn("rate", F.round("rate", 6))
 
 
 LENGTHS = "count(n_chars) AS n, min(n_chars) AS least, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.9) AS p90, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS most"
@@ -150,13 +150,12 @@ def _(spark, d):
 
 @query("a_18", "SELECT p.lang, p.source, count(*) AS n FROM documents p GROUP BY GROUPING SETS ((lang), (source))")
 def _(spark, d):
-    return read(spark, d, "documents").groupingSets([["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("n"))
+    return rollouts.counts_by(read(spark, d, "documents").select("lang", "source"), ["lang", "source"])
 
 
 @query("a_19", f"WITH {TURNS}, x AS (SELECT trajectory, list(bucket ORDER BY turn) AS s FROM turns GROUP BY 1) SELECT trajectory, s[-1] AS last_score, CAST(len(list_filter(s, lambda v: v = 6)) AS BIGINT) AS top FROM x")
 def _(spark, d):
-    x = turns(spark, d).groupBy("trajectory").agg(F.max_by("bucket", "turn").alias("last_score"), F.count_if(F.col("bucket") == 6).alias("top"))
-    return x
+    return rollouts.last_scores(turns(spark, d), "trajectory", "turn", "bucket", 6)
 
 
 @query("a_20", f"WITH {TURNS} SELECT outcome AS reason, count(*) AS n FROM turns WHERE choice = 'search' GROUP BY 1")
@@ -243,10 +242,10 @@ def _(spark, d):
     return counters(spark, d).select("trajectory", F.round(reward.phase_score(F.col("successes"), F.col("opportunities")), 6).alias("phase"))
 
 
-@query("m_8", f"WITH {COUNTERS} SELECT trajectory, correct = aspects AS correct_itinerary, correct = aspects AND searched = aspects AS fully_grounded, coalesce(reward_valid, false) AND correct = aspects AND searched = aspects AS aligned FROM counters")
+@query("m_8", f"WITH {COUNTERS} SELECT trajectory, correct = aspects AND aspects > 0 AND trajectory % 2 = 0 AS gold_itinerary, correct = aspects AND aspects > 0 AS correct_itinerary, correct = aspects AND aspects > 0 AND searched = aspects AS fully_grounded, coalesce(reward_valid, false) AND correct = aspects AND aspects > 0 AND searched = aspects AS aligned FROM counters")
 def _(spark, d):
-    full, grounded = F.col("correct") == F.col("aspects"), (F.col("correct") == F.col("aspects")) & (F.col("searched") == F.col("aspects"))
-    return counters(spark, d).select("trajectory", full.alias("correct_itinerary"), grounded.alias("fully_grounded"), (expr.is_true(F.col("reward_valid")) & grounded).alias("aligned"))
+    found = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.greatest("correct", F.lit(1))), lambda i: F.struct(i, F.when(i <= F.col("correct"), F.when(F.col("trajectory") % 2 == 0, 1.0).otherwise(0.8)).otherwise(0.0))))
+    return counters(spark, d).select("trajectory", *rollouts.itinerary_flags(found, F.col("aspects"), F.col("searched"), F.col("reward_valid")))
 
 
 @query("m_9", "SELECT c_custkey, round(CASE WHEN r >= 0 THEN least(1, r) ELSE -tanh(-r / 1.5) END, 6) AS squashed FROM (SELECT c_custkey, c_acctbal / 1000 AS r FROM customer)")
@@ -254,22 +253,15 @@ def _(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.round(reward.legacy_squash(F.col("c_acctbal") / 1000), 6).alias("squashed"))
 
 
-@query("m_11", f"WITH {RESULTS} SELECT task_id, CASE WHEN valid THEN round(terminal, 6) END AS terminal, CASE WHEN valid THEN round(completion, 6) END AS completion, CASE WHEN valid THEN steps::DOUBLE END AS environment_steps FROM results")
-def _(spark, d):
-    ok = expr.is_true(F.col("valid"))
-    return results(spark, d).select("task_id", *[F.when(ok, F.round(F.col(a).cast("double"), 6)).alias(b) for a, b in (("terminal", "terminal"), ("completion", "completion"), ("steps", "environment_steps"))])
-
-
 @query("m_12", "SELECT l_orderkey, count(*) AS aspects, CAST(sum(floor(l_quantity)) AS BIGINT) AS preferences FROM lineitem GROUP BY 1")
 def _(spark, d):
-    nested = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.floor("l_quantity").cast("long")).alias("sizes"))
-    return nested.select("l_orderkey", F.size("sizes").cast("long").alias("aspects"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("preferences"))
+    return rollouts.preference_counts(read(spark, d, "lineitem"), "l_orderkey", F.floor("l_quantity"))
 
 
 @query("m_13", "SELECT o_custkey, CAST(sum(coalesce(nullif(o_orderkey % 3, 0), 1 + o_orderkey % 5 + o_orderkey % 2)) AS BIGINT) AS requests FROM orders GROUP BY 1")
 def _(spark, d):
     k = F.col("o_orderkey")
-    return read(spark, d, "orders").select("o_custkey", F.coalesce(F.nullif(k % 3, F.lit(0)), 1 + k % 5 + k % 2).alias("r")).groupBy("o_custkey").agg(F.sum("r").alias("requests"))
+    return read(spark, d, "orders").select("o_custkey", rollouts.request_estimate(k % 3, F.lit(1), k % 5, k % 2).alias("r")).groupBy("o_custkey").agg(F.sum("r").alias("requests"))
 
 
 @query("m_14", f"WITH {COUNTERS}, x AS (SELECT CASE WHEN correct = aspects THEN 'full' WHEN correct > 0 THEN 'partial' WHEN invalid_actions > 0 THEN 'wrong_only' ELSE 'no_answer' END AS outcome FROM counters) SELECT c AS outcome, (SELECT count(*) FROM x WHERE x.outcome = c) AS n FROM (VALUES ('full'), ('partial'), ('wrong_only'), ('no_answer')) v(c)")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracksmith.functions import expr
-from tracksmith.operators import contracts, control, reward, transcripts
+from tracksmith.operators import contracts, control, reward, rollouts, transcripts
 from tracksmith.plans.bind import COUNTERS, RESULTS, TASKS, TURNS, counters, read, results, tasks, turns
 from tracksmith.plans.splits_queries import query
 from tracksmith.sources import tables
@@ -43,46 +43,33 @@ def _(spark, d):
 
 @query("v_3", "SELECT conv_id, CASE WHEN string_agg(role, ',' ORDER BY turn) FILTER (turn < 2) <> 'system,user' THEN 'wrong_roles' WHEN count(*) < 3 THEN 'too_short' END AS reason FROM conversations GROUP BY 1")
 def _(spark, d):
-    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") < 2, F.struct("turn", "role")))), lambda x: x["role"]), ",")
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(roles.alias("r"), F.count("*").alias("n"))
-    return c.select("conv_id", F.when(F.nullif("r", F.lit("")) != "system,user", "wrong_roles").when(F.col("n") < 3, "too_short").alias("reason"))
+    return rollouts.source_rejections(read(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
-@query("v_5", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderdate) > 1 AS twice FROM orders")
+@query("v_5", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'ground_truth' END, CASE WHEN o_orderkey % 7 = 0 THEN 'ids_differ' END, CASE WHEN count(*) OVER (PARTITION BY o_custkey, o_orderdate) > 1 THEN 'index_repeated' END, CASE WHEN o_orderkey % 3 <> 1 THEN 'policy_blocks' END], lambda x: x IS NOT NULL), ',') AS rejections FROM orders""")
 def _(spark, d):
-    o = read(spark, d, "orders")
-    n = o.groupBy("o_custkey", "o_orderdate").agg((F.count("*") > 1).alias("twice"))
-    return o.join(n, ["o_custkey", "o_orderdate"]).select("o_orderkey", "twice")
-
-
-@query("v_9", f"WITH {RESULTS} SELECT task_id, CASE WHEN NOT valid THEN 'invalid' WHEN completion < 0.3 THEN 'low_completion' WHEN steps % 4 > 2 THEN 'fallbacks_exceed_masked' ELSE '' END AS reason FROM results")
-def _(spark, d):
-    return results(spark, d).select("task_id", F.when(~F.col("valid"), "invalid").when(F.col("completion") < 0.3, "low_completion").when(F.col("steps") % 4 > 2, "fallbacks_exceed_masked").otherwise("").alias("reason"))
-
-
-@query("v_10", f"WITH {TURNS} SELECT trajectory, arg_max(choice, turn) = 'search' AS ends_with_search, bool_and(bucket >= 0) AS all_positive, count(*) FILTER (choice = 'answer') = 0 AS no_answer FROM turns GROUP BY 1")
-def _(spark, d):
-    t = turns(spark, d).groupBy("trajectory").agg(F.array_sort(F.collect_list(F.struct("turn", "choice", "bucket"))).alias("t"))
-    return t.select("trajectory", (F.element_at("t", -1)["choice"] == "search").alias("ends_with_search"), F.forall("t", lambda x: x["bucket"] >= 0).alias("all_positive"), (~F.exists("t", lambda x: x["choice"] == "answer")).alias("no_answer"))
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").withColumn("truth", F.when(k % 11 == 0, "x").otherwise("")).withColumn("prompt", F.repeat(F.lit("<!-- policy v1 -->."), (k % 3).cast("int")))
+    o = rollouts.derived_rejections(o, [k, k, F.when(k % 7 == 0, k + 1).otherwise(k)], ["o_custkey", "o_orderdate"], F.col("truth"), F.col("prompt"), "<!-- policy v1 -->")
+    return o.select("o_orderkey", "rejections")
 
 
 @query("v_13", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(*) - count(DISTINCT doc_id) AS n_repeated FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels)")
 def _(spark, d):
-    u = read(spark, d, "documents").select("doc_id").unionByName(read(spark, d, "labels").select("doc_id"))
-    return u.agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids")).withColumn("n_repeated", F.col("n_rows") - F.col("n_ids"))
+    return rollouts.unique_load([read(spark, d, "documents"), read(spark, d, "labels")], "doc_id")
 
 
-@query("v_20", "SELECT c_mktsegment AS stratum, count(*) AS stored, count(*) AS recomputed, true AS same FROM customer GROUP BY 1")
+@query("v_20", "SELECT c_mktsegment AS stratum, count(*) AS stored, count(o.k) AS recomputed, count(*) = count(o.k) AS same FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey GROUP BY 1")
 def _(spark, d):
-    of = lambda n: tasks(spark, d).groupBy(F.col("composition").alias("stratum")).agg(F.count("*").alias(n))
-    return of("stored").join(of("recomputed"), "stratum", "full").withColumn("same", F.col("stored").eqNullSafe(F.col("recomputed")))
+    stored = tasks(spark, d).groupBy(F.col("composition").alias("stratum")).agg(F.count("*").alias("stored"))
+    customers = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(read(spark, d, "customer"), "c_custkey")
+    recomputed = customers.groupBy(F.col("c_mktsegment").alias("stratum")).agg(F.count("*").alias("recomputed"))
+    return stored.join(recomputed, "stratum", "full").withColumn("same", F.col("stored").eqNullSafe(F.col("recomputed")))
 
 
 @query("v_21", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(spark, d):
-    allowed = ["o_orderkey", "o_orderstatus", "not_there"]
-    o = read(spark, d, "orders")
-    return o.select(*[c for c in allowed if c in o.columns])
+    return rollouts.allowed_columns(read(spark, d, "orders"), ["o_orderkey", "o_orderstatus", "not_there"])
 
 
 @query("t_1", "SELECT conv_id, turn, role, length(trim(text)) AS n FROM conversations WHERE role IN ('user', 'assistant')")
@@ -113,8 +100,7 @@ def _(spark, d):
 
 
 HINTS = [("flight", "time", "layover time"), ("flight", "path", "layover"), ("hotel", "rating", "star"), ("hotel", "company", "chain")]
-PHRASES = ["is the layover time fine", "any layover", "three star chain", "nothing here"]
-PHRASE_SQL = "CASE c_custkey % 4 WHEN 0 THEN 'is the layover time fine' WHEN 1 THEN 'any layover' WHEN 2 THEN 'three star chain' ELSE 'nothing here' END"
+PHRASE_SQL = "CASE c_custkey % 4 WHEN 0 THEN 'is the layover time fine' WHEN 1 THEN 'any layover' WHEN 2 THEN 'three Stars, chains' ELSE 'nothing here, start restart' END"
 
 
 def matches(spark, d):
@@ -154,8 +140,8 @@ def _(spark, d):
 
 @query("t_18", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'hotel' END AS aspect FROM customer")
 def _(spark, d):
-    c = read(spark, d, "customer").select("c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN 'A hotel: Rome & second night' WHEN 1 THEN 'hotel in Oslo' ELSE 'flight hotel rome and two' END").alias("text"))
-    names = c.select("c_custkey", F.explode(F.array(F.struct(F.lit("hotel").alias("aspect"), F.lit("hotel").alias("alias"), F.array(F.lit("rome"), F.lit("two")).alias("arguments")), F.struct(F.lit("flight").alias("aspect"), F.lit("flight").alias("alias"), F.array(F.lit("Rome")).alias("arguments")))).alias("a")).select("c_custkey", "a.*")
+    c = read(spark, d, "customer").select("c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN 'A hotel: Rome on the 2nd & 3rd' WHEN 1 THEN 'hotel in Oslo' ELSE 'flight hotel rome 2' END").alias("text"))
+    names = c.select("c_custkey", F.explode(F.array(F.struct(F.lit("hotel").alias("aspect"), F.lit("hotel").alias("alias"), F.array(F.lit("rome"), F.lit("2")).alias("arguments")), F.struct(F.lit("flight").alias("aspect"), F.lit("flight").alias("alias"), F.array(F.lit("Rome")).alias("arguments")))).alias("a")).select("c_custkey", "a.*")
     return transcripts.base_search(c, "c_custkey", "text", names)
 
 
@@ -178,7 +164,7 @@ def _(spark, d):
 
 @query("t_23", f"WITH {TURNS} SELECT trajectory, count(*) FILTER (outcome IN ('fallback', 'empty')) AS fallbacks, count(*) FILTER (outcome = 'empty') AS search_fallbacks FROM turns GROUP BY 1")
 def _(spark, d):
-    return turns(spark, d).groupBy("trajectory").agg(F.count_if(F.col("outcome").isin("fallback", "empty")).alias("fallbacks"), F.count_if(F.col("outcome") == "empty").alias("search_fallbacks"))
+    return rollouts.fallback_counts(turns(spark, d), "trajectory", F.col("outcome").isin("fallback", "empty"), F.col("outcome") == "empty")
 
 
 @query("t_25", f"WITH {TURNS} SELECT trajectory, aspect, 'control | aspect: ' || aspect || ' | phase: ' || arg_max(choice, turn) || ' | fallbacks: ' || count(*) FILTER (outcome = 'fallback') || ' | visible: ' || coalesce(string_agg(DISTINCT 'H' || bucket, ',' ORDER BY 'H' || bucket) FILTER (outcome = 'normal'), 'none') AS note FROM turns GROUP BY 1, 2")
@@ -196,46 +182,42 @@ def _(spark, d):
     return t.groupBy("trajectory").agg(F.count_if(F.col("phase") == "search").alias("opportunities"), F.count_if((F.col("phase") == "search") & (F.col("choice") == "answer")).alias("successes"))
 
 
-@query("f_9", "SELECT conv_id, max(turn) AS last_turn, CAST(count(*) - 1 AS BIGINT) AS masked FROM conversations GROUP BY 1")
+@query("f_9", "SELECT conv_id, max(turn) + 1 AS last_turn, count(*) AS masked, 'control note' AS note, 'target' AS target FROM conversations GROUP BY 1")
 def _(spark, d):
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m"))
-    masks = F.transform("m", lambda x, i: F.struct(x["turn"].alias("turn"), (i < F.size("m") - 1).alias("masked")))
-    return c.withColumn("m", masks).select("conv_id", F.element_at("m", -1)["turn"].alias("last_turn"), F.size(F.filter("m", lambda x: x["masked"])).cast("long").alias("masked"))
+    made = rollouts.masked_history(read(spark, d, "conversations"), "conv_id", "turn", "role", "text", F.lit("control note"), F.lit("target"))
+    m = F.col("messages")
+    return made.select("conv_id", F.element_at(m, -1)["turn"].alias("last_turn"), F.size(F.filter(m, lambda x: x["masked"])).cast("long").alias("masked"), F.substring_index(F.element_at(m, -2)["text"], "\n", -1).alias("note"), F.element_at(m, -1)["text"].alias("target"))
 
 
 @query("f_13", f"WITH {TURNS} SELECT trajectory, turn, turn - lag(turn) OVER w AS step, outcome = 'fallback' AND coalesce(lag(outcome) OVER w, '') <> 'fallback' AS new_fallback FROM turns WINDOW w AS (PARTITION BY trajectory ORDER BY turn)")
 def _(spark, d):
-    w = Window.partitionBy("trajectory").orderBy("turn")
-    return turns(spark, d).select("trajectory", "turn", (F.col("turn") - F.lag("turn").over(w)).alias("step"), ((F.col("outcome") == "fallback") & (F.coalesce(F.lag("outcome").over(w), F.lit("")) != "fallback")).alias("new_fallback"))
+    return rollouts.turn_flags(turns(spark, d), "trajectory", "turn", "outcome", "fallback").withColumnRenamed("begins", "new_fallback")
 
 
 @query("f_16", f"WITH {COUNTERS} SELECT trajectory, correct = aspects OR steps > 20 AS terminated FROM counters")
 def _(spark, d):
-    return counters(spark, d).select("trajectory", ((F.col("correct") == F.col("aspects")) | (F.col("steps") > 20)).alias("terminated"))
+    return counters(spark, d).select("trajectory", rollouts.terminated(F.col("correct"), F.col("aspects"), F.col("steps")).alias("terminated"))
 
 
-@query("m_10", f"WITH {COUNTERS} SELECT trajectory, least(1.0, n_active * 0.3 + n_passive)::DOUBLE AS preference, CASE WHEN trajectory % 2 = 0 THEN correct ELSE searched END AS submitted FROM counters")
+@query("m_10", f"WITH {COUNTERS} SELECT trajectory, least(1.0, n_active * 0.3 + n_passive)::DOUBLE AS preference, searched::DOUBLE AS submitted, least(correct, aspects) / aspects::DOUBLE AS correct_rate FROM counters")
 def _(spark, d):
-    return counters(spark, d).select("trajectory", F.least(F.lit(1.0), F.col("n_active") * 0.3 + F.col("n_passive")).alias("preference"), F.when(F.col("trajectory") % 2 == 0, F.col("correct")).otherwise(F.col("searched")).alias("submitted"))
+    quality = F.transform(F.sequence(F.lit(1), F.col("aspects")), lambda i: F.when(i <= F.col("correct"), 0.8).otherwise(0.0))
+    return counters(spark, d).select("trajectory", *rollouts.legacy_projection(F.col("n_active") * 0.3, F.col("n_passive"), quality, F.col("searched").cast("double")))
 
 
 @query("m_15", f"WITH {TURNS}, p AS (SELECT *, lag(outcome) OVER w AS po, lag(choice) OVER w AS pc, lag(bucket) OVER w AS pb FROM turns WINDOW w AS (PARTITION BY trajectory ORDER BY turn)) SELECT trajectory, turn, choice = 'answer' AS answer_at_1, choice = 'search' AND outcome = 'normal' AS clean_search, bucket <> pb AS changed, choice = pc AND outcome = po AND bucket = pb AS exact_repeat FROM p WHERE pc = 'search'")
 def _(spark, d):
-    w = Window.partitionBy("trajectory").orderBy("turn")
-    p = turns(spark, d).withColumns({f"p_{c}": F.lag(c).over(w) for c in ("outcome", "choice", "bucket")}).where("p_choice = 'search'")
-    c = F.col
-    return p.select("trajectory", "turn", (c("choice") == "answer").alias("answer_at_1"), ((c("choice") == "search") & (c("outcome") == "normal")).alias("clean_search"), (c("bucket") != c("p_bucket")).alias("changed"), ((c("choice") == c("p_choice")) & (c("outcome") == c("p_outcome")) & (c("bucket") == c("p_bucket"))).alias("exact_repeat"))
+    return rollouts.probe_flags(turns(spark, d), "trajectory", "turn", "choice", "outcome", "bucket")
 
 
 @query("x_2", "SELECT l_orderkey, count(*) AS all_items, count(*) FILTER (l_partkey % 6 >= 4) AS counted FROM lineitem GROUP BY 1")
 def _(spark, d):
-    x = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 6).alias("s"))
-    return x.select("l_orderkey", F.size("s").cast("long").alias("all_items"), F.size(F.filter("s", lambda n: n >= 4)).cast("long").alias("counted"))
+    return rollouts.counted_lists(read(spark, d, "lineitem"), "l_orderkey", F.col("l_partkey") % 6)
 
 
 @query("x_3", "SELECT source, arg_max(doc_id, doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("doc_id"), F.max_by("lang", "doc_id").alias("lang"))
+    return rollouts.last_of_key(read(spark, d, "documents"), ["source"], "doc_id", ["lang"])
 
 
 @query("x_9", f"WITH {TURNS} SELECT trajectory, turn, CASE WHEN choice = 'answer' THEN 'hotel' WHEN outcome = 'normal' THEN aspect ELSE 'current' END AS target FROM turns")
@@ -246,24 +228,25 @@ def _(spark, d):
 
 @query("x_10", f"WITH {TURNS}, f AS (SELECT trajectory, bucket, min(turn) AS t FROM turns WHERE choice = 'answer' GROUP BY 1, 2) SELECT trajectory, string_agg('H' || bucket, ',' ORDER BY t) AS submitted FROM f GROUP BY 1")
 def _(spark, d):
-    t = turns(spark, d).where("choice = 'answer'").groupBy("trajectory").agg(F.array_sort(F.collect_list(F.struct("turn", "bucket"))).alias("t"))
-    return t.select("trajectory", F.array_join(F.array_distinct(F.transform("t", lambda x: F.concat(F.lit("H"), x["bucket"].cast("string")))), ",").alias("submitted"))
+    s = rollouts.submitted(turns(spark, d), "trajectory", "turn", "choice", F.concat(F.lit("H"), F.col("bucket").cast("string")))
+    return s.select("trajectory", F.array_join("submitted", ",").alias("submitted"))
 
 
 @query("x_11", f"WITH {TURNS}, s AS (SELECT trajectory, list_distinct(list(aspect) FILTER (outcome = 'normal')) AS v, list_distinct(list(aspect) FILTER (choice = 'answer')) AS a FROM turns GROUP BY 1) SELECT trajectory, array_to_string(list_sort(list_filter(coalesce(v, []), lambda x: NOT list_contains(coalesce(a, []), x))), ',') AS options FROM s")
 def _(spark, d):
-    s = turns(spark, d).groupBy("trajectory").agg(F.collect_set(F.when(F.col("outcome") == "normal", F.col("aspect"))).alias("v"), F.collect_set(F.when(F.col("choice") == "answer", F.col("aspect"))).alias("a"))
-    return s.select("trajectory", F.array_join(F.array_sort(F.array_except("v", "a")), ",").alias("options"))
+    s = rollouts.open_options(turns(spark, d), "trajectory", "aspect", F.col("outcome") == "normal", F.col("choice") == "answer")
+    return s.select("trajectory", F.array_join("options", ",").alias("options"))
 
 
 @query("x_12", "SELECT count(*) AS n, count(*) - count(DISTINCT c_custkey) AS repeated, count(*) FILTER (trim(c_name) = '') AS blank FROM customer")
 def _(spark, d):
-    return read(spark, d, "customer").agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("ids"), F.count_if(F.trim("c_name") == "").alias("blank")).select("n", (F.col("n") - F.col("ids")).alias("repeated"), "blank")
+    return rollouts.pool_contract(read(spark, d, "customer"), "c_custkey", ["c_name"])
 
 
-@query("x_13", f"WITH {TASKS} SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM (SELECT 1)")
+@query("x_13", f"WITH {TASKS} SELECT count(*) FILTER (ord % 10 = 3) AS only_left, count(*) FILTER (ord % 10 = 4) AS only_right FROM tasks")
 def _(spark, d):
-    return contracts.table_difference(tasks(spark, d), tasks(spark, d).orderBy(F.desc("ord")))
+    t = tasks(spark, d)
+    return contracts.table_difference(t, t.where("ord % 10 <> 3").unionByName(t.where("ord % 10 = 4")))
 
 
 @query("x_18", "SELECT conv_id, substr(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), 1, 1600) AS context FROM conversations GROUP BY 1")
@@ -286,19 +269,17 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("n_nationkey") % 3
     temperature, top = F.when(k == 0, 0.0).when(k == 1, 0.7).otherwise(0.5), F.when(k == 0, 1.0).otherwise(0.9)
-    return read(spark, d, "nation").select("n_nationkey", F.when((temperature == 0.0) & (top == 1.0), "validation").when((temperature == 0.7) & (top == 0.9), "training").otherwise("error").alias("profile"))
+    return read(spark, d, "nation").select("n_nationkey", rollouts.profile(temperature, top).alias("profile"))
 
 
 @query("x_24", f"WITH {TASKS}, {RESULTS} SELECT count(*) AS expected, count(*) FILTER (r.valid) AS valid, count(*) = count(*) FILTER (r.valid) AS complete FROM tasks LEFT JOIN results r USING (task_id)")
 def _(spark, d):
-    j = tasks(spark, d).join(results(spark, d).select("task_id", "valid"), "task_id", "left").agg(F.count("*").alias("expected"), F.count_if("valid").alias("valid"))
-    return j.withColumn("complete", F.col("expected") == F.col("valid"))
+    return rollouts.completeness(tasks(spark, d), results(spark, d), "task_id", "valid")
 
 
-@query("x_26", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("x_26", "SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
 def _(spark, d):
-    c = read(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return c.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+    return rollouts.prompt(read(spark, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "prompt")
 
 
 @query("a_21", f"WITH {RESULTS} SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid FROM results")

@@ -189,6 +189,6 @@ def _(spark, d):
     return splits.readiness(tasks(spark, d), required, "composition", 100)
 
 
-@query("g_10", f"WITH {TASKS} SELECT task_id, CAST(('0x' || substr({KEY}, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM tasks")
+@query("g_10", f"WITH {TASKS} SELECT task_id, CAST(('0x' || substr(sha256('{SEED}|' || task_id || '|' || ord), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM tasks")
 def _(spark, d):
-    return tasks(spark, d).select("task_id", expr.uniform(SEED, F.col("task_id")).alias("u"))
+    return tasks(spark, d).select("task_id", expr.uniform(SEED, F.col("task_id"), F.col("ord")).alias("u"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracksmith.functions import expr
-from tracksmith.operators import contracts, control, credit, groups
+from tracksmith.operators import contracts, control, credit, groups, public_control
+from tracksmith.operators import rollouts as runs
 from tracksmith.plans.bind import CREDITED, ROLLOUTS, TURNS, credited, read, rollouts, turns
 from tracksmith.plans.splits_queries import query
 
@@ -76,7 +77,7 @@ def _(spark, d):
     return credit.credit_metrics(e, ["aspect"]).withColumns({c: F.round(c, 6) for c in ("least", "most", "mean")})
 
 
-STATUS = "g AS (SELECT uid, count(*) AS n, count(*) FILTER (invalid) AS n_invalid, CASE WHEN count(*) < 6 THEN 'incomplete' WHEN count(*) FILTER (invalid) > 0 THEN 'sampling_invalid' WHEN max(reward) - min(reward) <= 1e-12 THEN 'constant' ELSE 'kept' END AS status FROM rollouts GROUP BY 1)"
+STATUS = "g AS (SELECT uid, count(*) AS n, count(*) FILTER (invalid) AS n_invalid, CASE WHEN count(*) <> 6 THEN 'incomplete' WHEN count(*) FILTER (invalid) > 0 THEN 'sampling_invalid' WHEN max(reward) - min(reward) <= 1e-12 THEN 'constant' ELSE 'kept' END AS status FROM rollouts GROUP BY 1)"
 
 
 @query("g_1", f"WITH {ROLLOUTS}, {STATUS} SELECT * FROM g")
@@ -127,20 +128,15 @@ def _(spark, d):
     return groups.pad(v, "v", ["b"], 0, left=True).select("trajectory", F.array_join(F.col("padded").cast("array<string>"), ",").alias("padded"), F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"))
 
 
-@query("g_8", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS index FROM conversations WHERE conv_id % 2 = 0")
+@query("g_8", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS index FROM conversations")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    c = read(spark, d, "conversations").where("conv_id % 2 = 0")
-    return c.select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1).cast("long").alias("index"))
+    return groups.training_rows(read(spark, d, "conversations"), "role", ["conv_id", "turn"], "conv_id").select("conv_id", "turn", "role", "index")
 
 
 @query("g_8_all", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS index FROM conversations")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    c = read(spark, d, "conversations")
-    return c.select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1).cast("long").alias("index"))
+    made = groups.training_rows(read(spark, d, "conversations"), "role", ["conv_id", "turn"], "conv_id", {"extra_info": ["conv_id", "turn", "role"]})
+    return made.select("extra_info.conv_id", "extra_info.turn", "extra_info.role", "index")
 
 
 # Replay
@@ -165,6 +161,34 @@ def f_1(spark, d):
     return control.replay(turns(spark, d), "trajectory", "turn")
 
 
+def talk(spark, d):
+    """turns() as calls, feedback and a first message: what public_control takes."""
+    b, aspect = F.col("bucket").cast("string"), F.element_at(F.array(F.lit("hotel"), F.lit("flight")), (F.abs("bucket") % 2 + 1).cast("int"))
+    content = F.when(F.col("choice") == "search", F.concat(aspect, F.lit(" offer "), b)).when(F.col("choice") == "answer", F.concat(F.upper(F.substr(aspect, F.lit(1), F.lit(1))), b)).otherwise(F.concat(F.lit("which "), aspect, F.lit(" suits "), b))
+    heard = F.when(F.col("outcome") == "normal", "found H1, H2, H3, F1, F2").when(F.col("outcome") == "fallback", "the search backend is unavailable").when(F.col("outcome") == "progress", F.concat(F.lit("reply "), F.col("turn").cast("string"))).when(F.col("outcome") == "empty", "nothing").otherwise("no preference")
+    return turns(spark, d).select("trajectory", "turn", "choice", content.alias("content"), heard.alias("feedback"), F.lit("A flight and a hotel, please").alias("message"))
+
+
+@query("f_1_public")
+def _(spark, d):
+    return public_control.replay(public_control.walk(talk(spark, d), "trajectory", "turn"), "trajectory", "turn")
+
+
+@query("f_2_public")
+def _(spark, d):
+    return public_control.walk(talk(spark, d), "trajectory", "turn").where("refusal IS NOT NULL").select("trajectory", "turn", "phase_before", "refusal")
+
+
+@query("f_5_public")
+def _(spark, d):
+    return public_control.boundaries(public_control.walk(talk(spark, d), "trajectory", "turn", follow=True), "trajectory", "turn")
+
+
+@query("f_12_public")
+def _(spark, d):
+    return public_control.phase_counts(public_control.walk(talk(spark, d), "trajectory", "turn"), "trajectory")
+
+
 @query("f_2", f"WITH {TURNS}, p AS (SELECT trajectory, turn, choice, outcome, CASE bucket WHEN 0 THEN 'done' WHEN 1 THEN 'search_required' WHEN 2 THEN 'retry_required' WHEN 3 THEN 'answer_required' ELSE 'eliciting' END AS phase FROM turns) SELECT trajectory, turn, CASE WHEN phase = 'done' THEN 'episode is complete' WHEN phase = 'search_required' AND choice <> 'search' THEN 'a search is required' WHEN phase = 'retry_required' AND choice <> 'search' THEN 'a revised search is required' WHEN phase = 'answer_required' AND choice <> 'answer' THEN 'an answer is required' WHEN choice = 'answer' AND outcome <> 'visible' THEN 'the answer is not visible' END AS reason FROM p")
 def _(spark, d):
     phase = F.element_at(F.array(*[F.lit(x) for x in (control.DONE, control.SEARCH, control.RETRY, control.ANSWER, control.ELICIT, control.ELICIT, control.ELICIT)]), (F.abs("bucket") + 1).cast("int"))
@@ -206,17 +230,10 @@ def _(spark, d):
 
 @query("f_17", f"WITH {TURNS} SELECT trajectory, aspect, arg_min(CASE bucket % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END, turn)::DOUBLE AS score FROM turns WHERE choice = 'answer' GROUP BY 1, 2")
 def _(spark, d):
-    score = F.when(F.col("bucket") % 3 == 0, 1.0).when(F.col("bucket") % 3 == 1, 0.8).otherwise(0.0)
-    return turns(spark, d).where("choice = 'answer'").groupBy("trajectory", "aspect").agg(F.min_by(score, "turn").alias("score"))
-
-
-@query("f_7", f"WITH {SIGNED} SELECT choice, CASE WHEN trajectory % 5 = 0 THEN 'validation' WHEN outcome IN ('fallback', 'empty') THEN 'rejected' ELSE 'train' END AS part, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY choice)::DOUBLE, 6) AS share FROM signed GROUP BY 1, 2")
-def _(spark, d):
-    from pyspark.sql import Window
-
-    part = F.when(F.col("trajectory") % 5 == 0, "validation").when(F.col("outcome").isin("fallback", "empty"), "rejected").otherwise("train")
-    n = turns(spark, d).groupBy("choice", part.alias("part")).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("choice")), 6))
+    t = turns(spark, d)
+    k = F.col("bucket") % 3
+    score = runs.answer_score(k, F.lit(0), F.array(F.lit(0), F.lit(1)))
+    return runs.first_answers(t, "trajectory", "turn", "aspect", "choice", score)
 
 
 # Contracts
@@ -232,33 +249,6 @@ def _(spark, d):
     return contracts.table_difference(o, o.where("o_orderkey % 10 <> 0"))
 
 
-@query("v_6", """WITH r AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-  s AS (SELECT conv_id, [CASE WHEN arg_max(role, turn) IS NOT NULL AND count(*) FILTER (k = 1 AND role NOT IN ('system', 'user')) > 0 THEN 'bad_first_role' END, CASE WHEN count(*) FILTER (coalesce(trim(text), '') = '') > 0 THEN 'empty_text' END, CASE WHEN count(*) FILTER (role = 'system' AND k > 1) > 0 THEN 'late_system' END, CASE WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'no_assistant' END, CASE WHEN arg_max(role, turn) <> 'assistant' THEN 'not_ended_by_assistant' END, CASE WHEN count(*) FILTER (role = b AND role <> 'system') > 0 THEN 'roles_do_not_alternate' END] AS x FROM r GROUP BY 1)
-  SELECT conv_id, array_to_string(list_filter(x, lambda y: y IS NOT NULL), ',') AS rejections FROM s""")
-def _(spark, d):
-    return contracts.message_rejections(read(spark, d, "conversations"), "conv_id", "turn", "role", "text")
-
-
-CHECKS = "array_to_string(list_filter([CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'wrong_lang' END, CASE WHEN n_chars <> length(text) THEN 'wrong_length' END], lambda y: y IS NOT NULL), ',')"
-
-
-def judged(spark, d):
-    docs = read(spark, d, "documents")
-    return contracts.judge(docs, {"short": F.length("text") < 200, "wrong_lang": F.col("lang") != "en", "wrong_length": F.col("n_chars") != F.length("text")})
-
-
-@query("v_7", f"SELECT doc_id, {CHECKS} AS rejections FROM documents")
-def _(spark, d):
-    return judged(spark, d).select("doc_id", "rejections")
-
-
-@query("v_8", f"WITH j AS (SELECT doc_id, {CHECKS} AS r FROM documents) SELECT doc_id, CASE WHEN r = '' AND doc_id % 3 <> 0 THEN 'gold' WHEN r = '' THEN 'silver' WHEN r = 'wrong_lang' AND doc_id % 3 = 0 AND doc_id % 4 <= 1 AND doc_id % 10 >= 7 THEN 'silver' END AS tier FROM j")
-def _(spark, d):
-    i = F.col("doc_id")
-    j = judged(spark, d)
-    return j.select("doc_id", contracts.tier(j, "rejections", ["wrong_lang"], i % 3 == 0, i % 4, i % 10, 7).alias("tier"))
-
-
 @query("v_11", """SELECT event_id, array_to_string(list_sort(list_filter(coalesce(json_keys(props), []), lambda k: k IN ('referrer', 'page', 'k', 'ref', 'ab'))), ',') AS hidden FROM events""")
 def _(spark, d):
     return contracts.hidden_keys(read(spark, d, "events"), "props", ["referrer", "page", "k", "ref", "ab"]).select("event_id", "hidden")
@@ -289,13 +279,14 @@ def _(spark, d):
 
 @query("v_16", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS parts FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def _(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderstatus").alias("parts")).where("parts > 1")
+    return runs.overlaps(read(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
 @query("v_17", f"WITH {TURNS}, x AS (SELECT trajectory, count(*) FILTER (outcome = 'visible') AS a, count(*) FILTER (outcome = 'fallback') AS f, arg_max(choice, turn) AS l FROM turns GROUP BY 1) SELECT trajectory, a = 0 OR f > 0 OR l <> 'answer' AS failed FROM x")
 def _(spark, d):
     x = turns(spark, d).groupBy("trajectory").agg(F.count_if(F.col("outcome") == "visible").alias("a"), F.count_if(F.col("outcome") == "fallback").alias("f"), F.max_by("choice", "turn").alias("l"))
-    return x.select("trajectory", ((F.col("a") == 0) | (F.col("f") > 0) | (F.col("l") != "answer")).alias("failed"))
+    ended = F.when(F.col("l") == "answer", "completed").otherwise("max_steps")
+    return x.select("trajectory", runs.failed(F.col("a") > 0, F.col("a") / 1.0, F.col("f"), ended).alias("failed"))
 
 
 @query("v_18", "SELECT l_orderkey, l_linenumber, e AS error FROM (SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN l_discount > 0.08 THEN 'discount_range' END, CASE WHEN l_quantity > 45 THEN 'quantity_range' END, CASE WHEN l_tax >= l_discount THEN 'tax_above_discount' END], lambda y: y IS NOT NULL)) AS e FROM lineitem)")
@@ -314,24 +305,20 @@ def _(spark, d):
 
 @query("t_3", "SELECT conv_id, turn, text AS action, nxt AS reply FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND r = 'user'")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, d, "conversations").withColumn("reply", F.lead("text").over(w)).withColumn("r", F.lead("role").over(w))
-    return c.where("role = 'assistant' AND r = 'user'").select("conv_id", "turn", F.col("text").alias("action"), "reply")
+    return runs.replies(read(spark, d, "conversations"), "conv_id", "turn", "role", "text", answer="user")
 
 
 @query("t_5", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS choices FROM conversations GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("choices"))
+    return runs.sequence(read(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
-@query("t_6", r"SELECT doc_id, sha256(source || ':' || lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) AS h FROM documents WHERE lang = 'en'")
+@query("t_6", r"SELECT doc_id, sha256(source || ':' || replace(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))), 'ß', 'ss')) AS h FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.sha2(expr.action_signature(F.col("source"), F.col("text")), 256).alias("h"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(expr.action_signature(F.col("source"), F.col("text")), 256).alias("h"))
 
 
-FORM = "regexp_replace(array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' '), '^search( |$)', '')"
+FORM = "regexp_replace(array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+'), ' '), '^search( |$)', '')"
 
 
 @query("t_7", f"SELECT item_id, {FORM.format('text')} AS form FROM benchmark")
@@ -353,15 +340,16 @@ def _(spark, d):
     return c.select("c_custkey", F.concat(F.lit("x"), F.array_join(expr.option_ids(F.concat(F.lit("R"), F.col("c_custkey").cast("string"), F.lit(" "), F.col("c_name"))), ",")).alias("ids"))
 
 
-@query("t_10", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'apartment' WHEN 1 THEN 'rental_car' WHEN 2 THEN 'flight' WHEN 3 THEN 'hotel' ELSE 'restaurant' END AS aspect FROM customer")
+@query("t_10", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'flight' WHEN 1 THEN 'hotel' WHEN 2 THEN 'apartment' WHEN 3 THEN 'rental_car' ELSE 'restaurant' END AS aspect FROM customer")
 def _(spark, d):
     prefix = F.element_at(F.array(*[F.lit(p) for p in expr.PREFIXES]), (F.col("c_custkey") % 5 + 1).cast("int"))
     return read(spark, d, "customer").select("c_custkey", expr.option_aspect(F.concat(prefix, F.col("c_custkey").cast("string"))).alias("aspect"))
 
 
-@query("t_17", r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS form FROM benchmark")
+@query("t_17", r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss') || ' on the ' || item_id || 'th & 1st_2nd tenth', '\b(\d+)(st|nd|rd|th)\b', '\1', 'g'), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS form FROM benchmark")
 def _(spark, d):
-    return read(spark, d, "benchmark").select("item_id", expr.search_form(F.col("text")).alias("form"))
+    text = F.concat("text", F.lit(" on the "), F.col("item_id").cast("string"), F.lit("th & 1st_2nd tenth"))
+    return read(spark, d, "benchmark").select("item_id", expr.search_form(text).alias("form"))
 
 
 @query("t_22", "SELECT event_id, props AS object FROM events WHERE json_valid(props)")
@@ -378,14 +366,10 @@ def _(spark, d):
 
 @query("x_1", "SELECT l_orderkey, l_linenumber, 'P' || (before + 1) AS first_id, 'P' || (before + n) AS last_id FROM (SELECT l_orderkey, l_linenumber, n, CAST(sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - n AS BIGINT) AS before FROM (SELECT l_orderkey, l_linenumber, 1 + l_partkey % 4 AS n FROM lineitem))")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 4).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    ids = F.transform(F.sequence(upto - F.col("n") + 1, upto), lambda k: F.concat(F.lit("P"), k.cast("string")))
-    return x.withColumn("ids", ids).select("l_orderkey", "l_linenumber", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    x = runs.item_ids(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 4).alias("n")), "l_orderkey", "l_linenumber", "n")
+    return x.select("l_orderkey", "l_linenumber", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
 
 
 @query("x_22", f"WITH {TURNS} SELECT trajectory, CASE WHEN arg_max(outcome, turn) = 'none' THEN 'no_tool_output' ELSE 'actor_stopped' END AS stop FROM turns GROUP BY 1")
 def _(spark, d):
-    return turns(spark, d).groupBy("trajectory").agg(F.max_by("outcome", "turn").alias("o")).select("trajectory", F.when(F.col("o") == "none", "no_tool_output").otherwise("actor_stopped").alias("stop"))
+    return turns(spark, d).groupBy("trajectory").agg(F.max_by("outcome", "turn").alias("o")).select("trajectory", runs.stop_reason(F.col("o") != "none").alias("stop"))

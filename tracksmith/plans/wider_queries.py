@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracksmith.operators import control, recovery
+from tracksmith.operators import control, recovery, rollouts
 from tracksmith.plans.bind import RESULTS, TURNS, read, results, turns
 from tracksmith.plans.splits_queries import ORACLES, query
 from tracksmith.plans.trajectory_queries import f_1
@@ -187,16 +187,14 @@ def _(spark, d):
 
 @query("x_20", "SELECT conv_id, 'system: rules' || chr(10) || string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) || chr(10) || 'user: next step?' AS prompt, count(*) + 2 AS n FROM conversations WHERE role <> 'system' GROUP BY 1")
 def _(spark, d):
-    message = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), F.lit(text).alias("text")))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    c = read(spark, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.concat(message("system", "rules"), said, message("user", "next step?")).alias("m"))
-    return c.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"), F.size("m").cast("long").alias("n"))
+    c = read(spark, d, "conversations").where("role <> 'system'")
+    return rollouts.prompt(c, "conv_id", "turn", "role", "text", [("system", "rules")], [("user", "next step?")])
 
 
 @query("x_21", f"WITH {RESULTS} SELECT round(sum(CASE WHEN valid THEN completion ELSE 0 END) / count(*), 9) AS completion, round(avg(coalesce(CASE WHEN steps % 3 <> 0 THEN terminal END, 0)), 9) AS search_coverage, count(*) AS records FROM results")
 def _(spark, d):
-    coverage = F.coalesce(F.when(F.col("steps") % 3 != 0, F.col("terminal")), F.lit(0.0))
-    return results(spark, d).agg(F.round(F.sum(F.when(F.col("valid"), F.col("completion")).otherwise(0.0)) / F.count("*"), 9).alias("completion"), F.round(F.avg(coverage), 9).alias("search_coverage"), F.count("*").alias("records"))
+    made = rollouts.summary_pick(results(spark, d), F.col("valid"), "completion", F.when(F.col("steps") % 3 != 0, F.col("terminal")))
+    return made.select(F.round("completion", 9).alias("completion"), F.round("search_coverage", 9).alias("search_coverage"), "records")
 
 
 @query("g_9")

@@ -22,8 +22,12 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, ro
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracksmith-")
+    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where none is set and all is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="tracksmith-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -106,6 +110,22 @@ def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def contract(spark: SparkSession, path: str, expected: dict) -> DataFrame:
+    """(name, value) of a JSON configuration, one object a file, which must be what the program expects; values as JSON.
+
+    Key order doesn't matter, what is missing, too much or different is an error that names it.
+    """
+    import json
+
+    given = json.loads(spark.read.text(path, wholetext=True).first()["value"])  # one small file
+    if not isinstance(given, dict):
+        raise ValueError("the configuration is no object")
+    off = sorted(k for k in given.keys() | expected.keys() if k not in given or k not in expected or given[k] != expected[k])
+    if off:
+        raise ValueError(f"not as expected: {', '.join(off)}")
+    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True, separators=(",", ":"))) for k, v in sorted(given.items())], "name string, value string")
+
+
 def last_wins(tables: list[DataFrame], key: str) -> DataFrame:
     """Union of tables; of a key in several, the row of the last table."""
     union = None

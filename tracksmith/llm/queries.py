@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracksmith.llm import bpe, decontaminate, html_text, langid, license, pitman_yor, quality, repetition, simhash, warc
 
 QUERIES = {
@@ -17,4 +19,32 @@ QUERIES = {
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
 }
 
-ORACLES: dict[str, str] = {}
+#: What SQL can say of the operators' results: base columns and held-out flags, taken from the same queries.
+QUERIES |= {
+    "base_op2": lambda spark, d: quality.op2_quality(spark, d).select("doc_id", "held_out"),
+    "base_op3": lambda spark, d: repetition.op3_repetition(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+    "base_op4": lambda spark, d: langid.op4_langid(spark, d).select("doc_id", "held_out"),
+    "base_op8": lambda spark, d: license.op8_license(spark, d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "base_op10": lambda spark, d: pitman_yor.op10_pitman_yor(spark, d).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")),
+}
+
+#: CRC-32 of an id's decimal text: a byte at a time, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "base_op2": f"SELECT doc_id, {_CRC} % 4 = 2 AS held_out FROM documents",
+    "base_op4": f"SELECT doc_id, {_CRC} % 5 = 0 AS held_out FROM documents",
+    "base_op3": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+  l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+  g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2), k AS (SELECT r, i, w[i:i+2] AS x FROM g), n AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM k),
+  c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM n WHERE n > 1) GROUP BY r)
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed FROM d JOIN l USING (r) LEFT JOIN c USING (r)""",
+    "base_op8": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  p AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM d)
+  SELECT doc_id, len(w) AS n_words, len(m) + len(a) + len(g) AS n_base, list_min(list_concat(m, a, g)) - 1 AS first_word, list_max(list_concat(m, a, g)) - 1 AS last_word, array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "base_op10": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOWER)}, '') AS w FROM documents), t AS (SELECT r, held_out, unnest(w) AS w FROM d),
+  c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c), x AS (SELECT r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1)::DOUBLE)) AS base FROM t LEFT JOIN c USING (w), s GROUP BY r)
+  SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 4) AS base_score FROM d JOIN x USING (r), s""",
+}

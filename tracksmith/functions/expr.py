@@ -15,6 +15,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: within lambda functions nothing else keeps a repeated part from it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stable_key(seed: str, key: Column) -> Column:
     """Hex SHA-256 of seed, a zero byte and the key: an order that no run and no layout changes."""
     return F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), key), 256)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracksmith.functions.expr import is_true
+from tracksmith.functions.expr import is_true, let
 from tracksmith.operators import transcripts
 
 MESSAGES = "array<struct<role:string,content:string,name:string,tool_call_id:string,loss_mask:boolean,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>"
@@ -48,46 +48,47 @@ def _not_in(x: Column, low: float, high: float) -> Column:
     return x.isNull() | F.isnan(x.cast("double")) | ~x.between(low, high)
 
 
-def _turns(messages: Column) -> tuple[Column, Column]:
-    """Messages after the first two, and the numbers of their (assistant, tool) pairs."""
+def _pairs(messages: Column, body) -> Column:
+    """body(pair) of each (assistant `a`, tool `t`) of the messages after the first two."""
     rest = F.slice(messages, F.lit(3), F.greatest(F.size(messages) - 2, F.lit(0)))
-    pairs = F.floor(F.size(rest) / 2).cast("int")
-    return rest, F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return let(rest, lambda m: F.transform(F.transform(numbers(F.floor(F.size(m) / 2).cast("int")), lambda i: F.struct(F.get(m, 2 * i).alias("a"), F.get(m, 2 * i + 1).alias("t"))), body))
 
 
 def refusals(content: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(content, F.lit(phrase)), F.lit(name)) for phrase, name in REFUSALS.items()])).cast(_NONE)
 
 
-def _pair(assistant: Column, tool_message: Column, tool: str) -> Column:
+def _pair(pair: Column, tool: str) -> Column:
     """Reasons of one call and its reply."""
+    assistant, reply = pair["a"], pair["t"]
+    own = _names((F.coalesce(assistant["content"], F.lit("")) != "", "assistant_content_must_be_empty"))
+
+    def called(x: Column) -> Column:
+        call, parts = x["call"], x["parts"]
+        named = F.coalesce(call["function"]["name"] == tool, F.lit(False))
+        checks = _names(
+            (F.coalesce(call["type"], F.lit("")) != "function", "wrong_tool_call_type"), (F.coalesce(call["id"], F.lit("")) == "", "invalid_or_duplicate_tool_call_id"), (~named, "wrong_function_name"),
+            (named & ~parts["is_object"], "invalid_tool_arguments_json"), (named & parts["is_object"] & parts["error"].isNotNull(), "invalid_tool_arguments"),
+        )
+        replied = F.when(F.coalesce(reply["role"], F.lit("")) != "tool", "invalid_tool_message").when(~reply["tool_call_id"].eqNullSafe(call["id"]), "tool_call_id_mismatch").when(F.coalesce(reply["name"], F.lit("")) != tool, "wrong_tool_message_name").when(reply["content"].isNull(), "invalid_tool_message_content")
+        return F.concat(checks, F.array_compact(F.array(replied)), refusals(F.coalesce(reply["content"], F.lit(""))))
+
     call = F.get(assistant["tool_calls"], 0)
-    function, said = call["function"], F.coalesce(tool_message["content"], F.lit(""))
-    raw = function["arguments"]
-    is_object = F.coalesce(F.json_object_keys(raw).isNotNull(), F.lit(False))
-    _, _, error = transcripts.call_parts(raw)
-    own = _names(((F.coalesce(assistant["content"], F.lit("")) != ""), "assistant_content_must_be_empty"))
-    one = F.coalesce(F.size(assistant["tool_calls"]) == 1, F.lit(False))
-    named = F.coalesce(function["name"] == tool, F.lit(False))
-    checks = _names(
-        (F.coalesce(call["type"], F.lit("")) != "function", "wrong_tool_call_type"), (F.coalesce(call["id"], F.lit("")) == "", "invalid_or_duplicate_tool_call_id"), (~named, "wrong_function_name"),
-        (named & ~is_object, "invalid_tool_arguments_json"), (named & is_object & error.isNotNull(), "invalid_tool_arguments"),
-    )
-    replied = F.when(F.coalesce(tool_message["role"], F.lit("")) != "tool", "invalid_tool_message").when(~tool_message["tool_call_id"].eqNullSafe(call["id"]), "tool_call_id_mismatch").when(F.coalesce(tool_message["name"], F.lit("")) != tool, "wrong_tool_message_name").when(tool_message["content"].isNull(), "invalid_tool_message_content")
-    whole = F.concat(own, F.when(one, F.concat(checks, F.array_compact(F.array(replied)), refusals(said))).otherwise(F.array(F.lit("assistant_must_contain_one_tool_call"))))
+    one = F.when(F.coalesce(F.size(assistant["tool_calls"]) == 1, F.lit(False)), let(F.struct(call.alias("call"), transcripts.call_parts(call["function"]["arguments"]).alias("parts")), called))
+    whole = F.concat(own, F.coalesce(one, F.array(F.lit("assistant_must_contain_one_tool_call"))))
     return F.when(F.coalesce(assistant["role"], F.lit("")) != "assistant", F.array(F.lit("invalid_assistant_message"))).otherwise(whole)
 
 
 def message_reasons(messages: Column, tool: str) -> Column:
     """Against the message contract: system and user, then pairs of an assistant with one call of the tool and its reply."""
-    rest, pairs = _turns(messages)
-    found = F.flatten(F.transform(pairs, lambda i: _pair(F.get(rest, 2 * i), F.get(rest, 2 * i + 1), tool)))
-    assistants = F.filter(F.transform(pairs, lambda i: F.get(rest, 2 * i)), lambda a: (a["role"] == "assistant") & (F.size(a["tool_calls"]) == 1))
-    ids = F.filter(F.transform(assistants, lambda a: F.get(a["tool_calls"], 0)["id"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    found = F.flatten(_pairs(messages, lambda p: _pair(p, tool)))
+    ids = F.filter(_pairs(messages, lambda p: F.when((p["a"]["role"] == "assistant") & (F.size(p["a"]["tool_calls"]) == 1), F.get(p["a"]["tool_calls"], 0)["id"])), lambda x: F.coalesce(x, F.lit("")) != "")
+    repeated = let(ids, lambda x: F.size(x) != F.size(F.array_distinct(x)))
     first = F.transform(F.slice(messages, 1, 2), lambda x: x["role"])
     whole = _names(
         (~first.eqNullSafe(F.array(F.lit("system"), F.lit("user"))), "invalid_message_prefix"), (F.size(messages) % 2 == 1, "unpaired_assistant_tool_messages"),
-        (F.size(ids) != F.size(F.array_distinct(ids)), "invalid_or_duplicate_tool_call_id"),
+        (repeated, "invalid_or_duplicate_tool_call_id"),
     )
     return F.when(messages.isNull() | (F.size(messages) < 4), F.array(F.lit("invalid_messages"))).otherwise(_sorted(whole, found))
 
@@ -119,11 +120,10 @@ def gold_reasons(tool: str, schema: str, versions: list[str], official: str = "t
 def attempt_reasons(versions: list[str], floor: float = FLOOR) -> Column:
     """Every reason against a collected attempt, before it is stored."""
     c, r, m = F.col, F.col("reward_breakdown"), F.coalesce("messages", F.array().cast(MESSAGES))
-    rest, pairs = _turns(m)
     one = lambda a: F.coalesce(F.size(a["tool_calls"]) == 1, F.lit(False)) & (a["role"] == "assistant")
     pair = lambda a, t: F.when(~one(a), "assistant_must_contain_one_tool_call").when((t["role"] != "tool") | ~t["tool_call_id"].eqNullSafe(F.get(a["tool_calls"], 0)["id"]), "tool_call_id_mismatch")
     first = F.transform(F.slice(m, 1, 2), lambda x: x["role"])
-    contract = F.when((F.size(m) < 4) | ~first.eqNullSafe(F.array(F.lit("system"), F.lit("user"))), F.array(F.lit("invalid_message_prefix"))).otherwise(F.concat(_names((F.size(m) % 2 == 1, "unpaired_assistant_tool_messages")), F.array_compact(F.transform(pairs, lambda i: pair(F.get(rest, 2 * i), F.get(rest, 2 * i + 1))))))
+    contract = F.when((F.size(m) < 4) | ~first.eqNullSafe(F.array(F.lit("system"), F.lit("user"))), F.array(F.lit("invalid_message_prefix"))).otherwise(F.concat(_names((F.size(m) % 2 == 1, "unpaired_assistant_tool_messages")), F.array_compact(_pairs(m, lambda p: pair(p["a"], p["t"])))))
     said = F.flatten(F.transform(F.filter(m, lambda x: x["role"] == "tool"), lambda x: refusals(F.coalesce(x["content"], F.lit("")))))
     own = _names(
         (~is_true(c("terminated")), "not_terminated"), (is_true(c("truncated")), "truncated"),

@@ -33,33 +33,39 @@ def normalise(messages: DataFrame, role: str, text: str, roles: tuple[str, ...]
     return messages.where(F.col(role).isin(*roles)).withColumn(text, F.trim(F.coalesce(F.col(text), F.lit(""))))
 
 
-def call_parts(raw: Column) -> tuple[Column, Column, Column]:
-    """Choice, content and error of a JSON object of thought, choice and content.
+def call_parts(raw: Column) -> Column:
+    """struct<choice, content, error, is_object> of a JSON object of thought, choice and content.
 
     A choice in brackets before the content must be the call's own; the error is null if the call is well formed.
     """
-    keys = F.array_sort(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")))
+    names = F.json_object_keys(raw)
     call = F.from_json(raw, CALL, {"mode": "PERMISSIVE"})
-    choice = F.lower(F.trim(call["choice"]))
-    content = F.trim(call["content"])
-    prefix = F.lower(F.regexp_extract(content, r"(?i)^\[(search|action|answer|finish)\]", 1))
-    rest = F.trim(F.regexp_replace(content, r"(?i)^\[(search|action|answer|finish)\]\s*", ""))
-    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    error = (
-        F.when(F.array_join(keys, ",") != "choice,content,thought", "wrong_parameters")
-        .when(blank(call["thought"]), "empty_thought").when(blank(call["content"]), "empty_content")
-        .when(~F.coalesce(choice.isin(*CHOICES), F.lit(False)), "unknown_choice").when(prefix == "finish", "finish_is_not_a_call")
-        .when((prefix != "") & (prefix != choice), "prefix_conflicts").when(rest == "", "empty_content")
-    )
-    return choice, rest, error
+    read = F.struct(names.alias("names"), F.trim(call["thought"]).alias("thought"), F.lower(F.trim(call["choice"])).alias("choice"), F.trim(call["content"]).alias("content"))
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+
+    def split(c: Column) -> Column:
+        prefix = F.lower(F.regexp_extract(c["content"], r"(?i)^\[(search|action|answer|finish)\]", 1))
+        rest = F.trim(F.regexp_replace(c["content"], r"(?i)^\[(search|action|answer|finish)\]\s*", ""))
+        return F.struct(c.alias("c"), prefix.alias("prefix"), rest.alias("rest"))
+
+    def judged(x: Column) -> Column:
+        c, prefix, rest = x["c"], x["prefix"], x["rest"]
+        keys = F.array_join(F.array_sort(F.coalesce(c["names"], F.array().cast("array<string>"))), ",")
+        error = (
+            F.when(keys != "choice,content,thought", "wrong_parameters").when(blank(c["thought"]), "empty_thought").when(blank(c["content"]), "empty_content")
+            .when(~F.coalesce(c["choice"].isin(*CHOICES), F.lit(False)), "unknown_choice").when(prefix == "finish", "finish_is_not_a_call")
+            .when((prefix != "") & (prefix != c["choice"]), "prefix_conflicts").when(rest == "", "empty_content")
+        )
+        return F.struct(c["choice"].alias("choice"), rest.alias("content"), error.alias("error"), c["names"].isNotNull().alias("is_object"))
+
+    return expr.let(expr.let(read, split), judged)
 
 
 def parse_call(df: DataFrame, arguments: str) -> DataFrame:
     """df with call_choice, call_content and call_error of call_parts(); the first two are null if the call is malformed."""
-    choice, rest, error = call_parts(F.col(arguments))
-    out = df.withColumn("call_error", error)
-    good = F.col("call_error").isNull()
-    return out.withColumn("call_choice", F.when(good, choice)).withColumn("call_content", F.when(good, rest))
+    out = df.withColumn("__call", call_parts(F.col(arguments)))
+    good = F.col("__call.error").isNull()
+    return out.withColumns({"call_error": F.col("__call.error"), "call_choice": F.when(good, F.col("__call.choice")), "call_content": F.when(good, F.col("__call.content"))}).drop("__call")
 
 
 def parse_tagged(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracksmith.operators import contracts, environment, rollouts, targets
+from tracksmith.operators import contracts, environment, probes, rollouts, targets
 from tracksmith.plans.bind import TURNS, read, turns
 from tracksmith.plans.record_queries import cases, expected, put
 from tracksmith.plans.splits_queries import query
+from tracksmith.plans.trajectory_queries import talk
 from tracksmith.sources import tables
 
 FIELDS = {"hotel": {"rating": "star rating", "room": "room type"}, "flight": {"time": "departure time"}, "apartment": {}}
@@ -90,3 +91,35 @@ def _(spark, d):
     path = tables.scratch(spark, "config")
     spark.createDataFrame([(json.dumps(config, indent=1),)], "value string").coalesce(1).write.text(path)
     return tables.contract(spark, path, config)
+
+
+@query("x_4")
+def _(spark, d):
+    t = talk(spark, d)
+    k = F.col("trajectory")
+    kind = F.element_at(F.array(F.lit(probes.ANSWER_PROBE), F.lit(probes.PREFERENCE_PROBE), F.lit(probes.FALLBACK_PROBE)), (k % 3 + 1).cast("int"))
+    each = t.select("trajectory").distinct().withColumn("kind", kind)
+    asked = each.select(k.alias("probe"), F.when(k % 5 == 0, k).alias("transcript"), "kind", F.lit("t").alias("task"), k.alias("context"), (k % 2 == 0).alias("double"), F.lit("hotel by the sea").alias("original"), F.lit("cheap hotel inland").alias("retry"))
+    known = each.select("kind", F.lit("t").alias("task"), k.alias("context"), F.lit(0).alias("ord"), "trajectory", F.lit(None).cast("long").alias("at"), F.lit("hotel").alias("named"), F.lit(None).cast("string").alias("down"))
+    return probes.boundaries(asked, known, t)
+
+
+SESSION = "aspects array<string>, answered array<string>, complete array<string>, searched array<string>, asked array<string>, fields map<string,array<string>>, options map<string,array<string>>"
+
+
+def session() -> dict:
+    return dict(aspects=["hotel", "flight"], answered=[], complete=[], searched=[], asked=[], fields={"hotel": ["rating", "room", "chain"], "flight": ["time"]}, options={"hotel": ["H1", "H2"]})
+
+
+#: Changes of the session: phase, aspect, field (in order, strict, canonical), options, problem.
+PLANS = [
+    (at(), ("elicit", "hotel", "rating", "room", "chain", None, None)), (at(asked=["hotel.room"]), ("elicit", "hotel", "rating", "chain", "chain", None, None)), (at(asked=["hotel.room", "hotel.chain"]), ("elicit", "hotel", "rating", "rating", "rating", None, None)),
+    (at(asked=["hotel.room", "hotel.chain", "hotel.rating"]), (None, None, None, None, None, None, "preference_coverage_unreachable.hotel")), (at(complete=["hotel"]), ("search", "hotel", None, None, None, None, None)), (at(complete=["hotel"], searched=["hotel"]), ("answer", "hotel", None, None, None, "H1,H2", None)),
+    (at(answered=["hotel"]), ("elicit", "flight", "time", "time", "time", None, None)), (at(answered=["hotel"], complete=["flight"], searched=["flight"]), (None, None, None, None, None, None, "search_no_visible_options.flight")), (at(answered=["flight", "hotel"]), (None, None, None, None, None, None, "environment_not_terminated_after_answers")),
+]
+
+
+@query("f_19", expected(PLANS, list, "phase, aspect, field, strict, canonical, options, problem"))
+def _(spark, d):
+    s = cases(spark, d, session(), PLANS, SESSION).select("o_orderkey", environment.next_plan().alias("p"), environment.next_plan(environment.STRICT).alias("s"), environment.next_plan(environment.CANONICAL).alias("c"))
+    return s.select("o_orderkey", "p.phase", "p.aspect", "p.field", F.col("s.field").alias("strict"), F.col("c.field").alias("canonical"), F.array_join("p.options", ",").alias("options"), "p.problem")

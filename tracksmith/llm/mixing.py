@@ -34,7 +34,7 @@ from tracksmith.llm import common, components
 #: Weights of the sources in order, repeating; targets are at most MOST times a source's size.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Bits of a digit, and digits, of the hash.
-BITS, DIGITS = 12, 5
+BITS, DIGITS = 15, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -5,18 +5,17 @@ Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of a r
 contracts, in each piece, the pair of least rank, until no pair of the piece is in the table. An ordered aggregation
 of the tokens' bytes decodes.
 
-The least-rank pair is contracted at its leftmost place; further places of the same step are contracted at once only
-where that provably gives the same tokens: a merged token is *steady* if no longer token that begins or ends with it
-has a smaller rank, so that contracting it cannot bring forth a pair to be preferred.
-
 A piece of over BLOCK bytes is cut into blocks, which are merged side by side, and neighbours are joined in pairs: the
 last tokens of one and the first of the other are decoded and merged anew. A sequence is the encoding of its bytes if and
 only if every two neighbours are the encoding of theirs (the first merge across a border would occur for the two alone as
 well). So where the new tokens begin and end with the old ones, the joined sequence is the encoding; else more tokens are
-taken. A long piece thus costs about as much as its length.
+taken. Where over SHORT bytes at a border would change (a run of one letter that other letters shift, say), the piece is
+merged from left to right in windows of WINDOW bytes, each begun some settled tokens back, with a heap of pairs instead of
+a query: the same contraction, a step for each pair and not for each state. A long piece thus costs about as much as its
+length, whatever it holds.
 
 Nothing is shuffled; the merge table (bounded by the vocabulary) is the only thing sent to executors. Memory is bounded
-by PIECES_KEPT pieces and by the longest text.
+by PIECES_KEPT pieces, by QUERY_ROWS rows of a query (all its states) and by the longest text.
 
 Defined results: a null or empty text has no tokens (hashes of the empty string); repeated rows give repeated rows;
 an empty table gives no rows; other columns of the input are ignored.
@@ -26,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,17 +35,19 @@ from pyspark.sql import functions as F
 
 from tracksmith.llm import common
 
-#: Pieces whose tokens a Python worker remembers, and bytes of pieces given to one query.
+#: Pieces whose tokens a Python worker remembers; bytes of pieces given to one query, and rows of all states of a query.
 PIECES_KEPT = 600_000
 QUERY_BYTES = 400_000
+QUERY_ROWS = 5_000_000
 
-#: Bytes of a block, and tokens on either side of a border that are merged anew at first.
-BLOCK, BORDER = 64, 4
+#: Bytes of a block, tokens on either side of a border that are merged anew at first, and bytes of them at the most.
+BLOCK, BORDER, SHORT = 64, 4, 128
+#: Bytes that one heap holds, and settled tokens before them that are merged anew at first.
+WINDOW, BACK = 65_536, 8
 
-#: Pieces of up to SHORT bytes: k is the byte's place among all bytes of the query, so that a token's right neighbour
-#: is the row of the same piece at k + len; the least number (token, place) is the leftmost pair of least rank.
-SHORT = 128
-MERGE_SHORT = """
+#: k is the byte's place among all bytes of the query, so that a token's right neighbour is the row of the same piece at
+#: k + len; the least number (token, place) is the leftmost pair of least rank.
+MERGE = """
 WITH RECURSIVE state(w, k, id, len, step) AS (
     SELECT w, pos, id, 1::INT, 0::INT FROM byte_rows
   UNION ALL (
@@ -69,37 +71,6 @@ FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, st
 GROUP BY w ORDER BY w
 """
 
-#: Longer pieces: rows are numbered anew in each step, and all places of a steady token are contracted in one step.
-MERGE_LONG = """
-WITH RECURSIVE state(w, pos, id, step) AS (
-    SELECT w, pos, id, 0 FROM byte_rows
-  UNION ALL (
-    WITH paired AS (
-        SELECT w, pos, id, step,
-               lead(id) OVER (PARTITION BY w ORDER BY pos) AS next_id,
-               row_number() OVER (PARTITION BY w ORDER BY pos) AS n
-        FROM state),
-    ranked AS (
-        SELECT p.*, m.token, m.steady, min(m.token) OVER (PARTITION BY p.w) AS least
-        FROM paired p LEFT JOIN merges m ON m.pair = ((p.id::BIGINT << 32) | p.next_id)),
-    places AS (
-        SELECT w, n, steady, row_number() OVER (PARTITION BY w ORDER BY n) AS k
-        FROM ranked WHERE token = least),
-    runs AS (
-        SELECT w, n, steady, k, row_number() OVER (PARTITION BY w, n - k ORDER BY n) AS in_run FROM places),
-    chosen AS (
-        SELECT w, n FROM runs WHERE CASE WHEN steady THEN in_run % 2 = 1 ELSE k = 1 END)
-    SELECT r.w, r.pos, CASE WHEN c.n IS NOT NULL THEN r.least ELSE r.id END, r.step + 1
-    FROM ranked r
-    LEFT JOIN chosen c ON c.w = r.w AND c.n = r.n
-    LEFT JOIN chosen gone ON gone.w = r.w AND gone.n = r.n - 1
-    WHERE r.least IS NOT NULL AND gone.n IS NULL)
-)
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state)
-WHERE step = last GROUP BY w ORDER BY w
-"""
-
 DECODE = """
 SELECT t.w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
 FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM sequences) t
@@ -117,16 +88,7 @@ class Ranks:
         self.digest = hashlib.sha256(raw).hexdigest()
         self.token_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         of = self.token_of
-        least_longer: dict[bytes, int] = {}
-        merges = []
-        for token, rank in of.items():
-            for at in range(1, len(token)):
-                left, right = token[:at], token[at:]
-                if left in of and right in of:
-                    merges.append((of[left], of[right], rank, token))
-                    for part in (left, right):
-                        least_longer[part] = min(rank, least_longer.get(part, rank))
-        self.merges = [(a, b, rank, least_longer.get(token, rank + 1) > rank) for a, b, rank, token in merges]
+        self.merges = [(of[token[:at]], of[token[at:]], rank) for token, rank in of.items() for at in range(1, len(token)) if token[:at] in of and token[at:] in of]
         self.byte_ids = [of[bytes([b])] for b in range(256)]
 
 
@@ -140,8 +102,10 @@ class Codec:
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "600MB", "temp_directory": ""})
         self.byte_ids = ranks.byte_ids
         self.bytes_of = {rank: token for token, rank in ranks.token_of.items()}
-        pair, token, steady = zip(*((a << 32 | b, rank, steady) for a, b, rank, steady in ranks.merges), strict=True)
-        merges = pa.table({"pair": pa.array(pair, pa.int64()), "token": pa.array(token, pa.int32()), "steady": pa.array(steady, pa.bool_())})
+        pair, token = zip(*((a << 32 | b, rank) for a, b, rank in ranks.merges), strict=True)
+        self.merges = ranks.merges
+        self.token_of_pair: dict[int, int] = {}
+        merges = pa.table({"pair": pa.array(pair, pa.int64()), "token": pa.array(token, pa.int32())})
         vocabulary = pa.table({"id": pa.array(ranks.token_of.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks.token_of], pa.string())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
@@ -161,25 +125,24 @@ class Codec:
         short, long = [], []
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
-            (short if len(raw) <= BLOCK else long).append((piece, raw))
+            (short if len(raw) <= SHORT else long).append((piece, raw))
         for (piece, _), ids in zip(short, self.merge([raw for _, raw in short]), strict=True):
             self.known[piece] = ids
-        for piece, raw in long:
-            self.known[piece] = " ".join(map(str, self.merge_long(raw))).encode()
+        for (piece, _), ids in zip(long, self.merge_long([raw for _, raw in long]), strict=True):
+            self.known[piece] = " ".join(map(str, ids)).encode()
 
     def merge(self, raws: list[bytes]) -> list[bytes]:
-        """Decimal ids of byte strings, in queries of a bounded number of bytes."""
-        out: list[bytes] = [b""] * len(raws)
-        for query, places in ((MERGE_SHORT, [k for k, raw in enumerate(raws) if len(raw) <= SHORT]), (MERGE_LONG, [k for k, raw in enumerate(raws) if len(raw) > SHORT])):
-            part, size = [], 0
-            for k in places:
-                part.append(k)
-                size += len(raws[k])
-                if size >= QUERY_BYTES or k == places[-1]:
-                    for at, ids in zip(part, self._query([raws[i] for i in part], query), strict=True):
-                        out[at] = ids
-                    part, size = [], 0
-        return out
+        """Decimal ids of byte strings of up to SHORT bytes, in queries of a bounded number of rows."""
+        out: list[bytes] = []
+        part, size, rows = [], 0, 0
+        for raw in raws:
+            part.append(raw)
+            size += len(raw)
+            rows += len(raw) * (len(raw) + 1) // 2  # a token less a step
+            if size >= QUERY_BYTES or rows >= QUERY_ROWS:
+                out += self._query(part)
+                part, size, rows = [], 0, 0
+        return out + (self._query(part) if part else [])
 
     def _merged(self, raws: list[bytes]) -> list[list[int]]:
         """Ids of byte strings, each different one merged once."""
@@ -187,23 +150,77 @@ class Codec:
         found = dict(zip(different, self.merge(different), strict=True))
         return [list(map(int, found[raw].split())) for raw in raws]
 
-    def merge_long(self, raw: bytes) -> list[int]:
-        """Ids of one long byte string, by blocks that are joined in pairs."""
-        parts = self._merged([raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)])
-        while len(parts) > 1:
-            joined: list[list[int] | None] = [None] * (len(parts) // 2)
+    def merge_long(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of long byte strings, by blocks that are joined in pairs, side by side for all strings."""
+        blocks = [[raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)] for raw in raws]
+        merged = iter(self._merged([block for own in blocks for block in own]))
+        parts = [[next(merged) for _ in own] for own in blocks]
+        while open_ := [(w, k) for w, own in enumerate(parts) for k in range(len(own) // 2)]:
+            joined: dict[tuple[int, int], list[int]] = {}
             border = BORDER
-            while open_ := [k for k, ids in enumerate(joined) if ids is None]:
-                ends = [(parts[2 * k][-border:], parts[2 * k + 1][:border]) for k in open_]
-                for k, (left, right), new in zip(open_, ends, self._merged([b"".join(map(self.bytes_of.__getitem__, left + right)) for left, right in ends]), strict=True):
-                    a, b = parts[2 * k], parts[2 * k + 1]
+            while open_:
+                ends = [(parts[w][2 * k][-border:], parts[w][2 * k + 1][:border]) for w, k in open_]
+                again = [self.bytes(left + right) for left, right in ends]
+                for w in {w for (w, _), raw in zip(open_, again, strict=True) if len(raw) > SHORT and border > BORDER}:
+                    parts[w] = [self.merge_windows(raws[w])]
+                rest = [(at, end, raw) for at, end, raw in zip(open_, ends, again, strict=True) if len(parts[at[0]]) > 1]
+                open_ = []
+                for (w, k), (left, right), new in zip([at for at, *_ in rest], [end for _, end, _ in rest], self._merged([raw for *_, raw in rest]), strict=True):
+                    a, b = parts[w][2 * k], parts[w][2 * k + 1]
                     if (len(a) <= border or new[0] == left[0]) and (len(b) <= border or new[-1] == right[-1]):
-                        joined[k] = a[:-border] + new + b[border:]
+                        joined[w, k] = a[:-border] + new + b[border:]
+                    else:
+                        open_.append((w, k))
                 border *= 2
-            parts = joined + parts[2 * len(joined) :]
-        return parts[0]
-
-    def _query(self, raws: list[bytes], query: str) -> list[bytes]:
+            for w, own in enumerate(parts):
+                if len(own) > 1:
+                    parts[w] = [joined[w, k] for k in range(len(own) // 2)] + own[2 * (len(own) // 2) :]
+        return [own[0] for own in parts]
+
+    def bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def merge_windows(self, raw: bytes) -> list[int]:
+        """Ids of one long byte string, from left to right."""
+        done = self.merge_heap(raw[:WINDOW])
+        for at in range(WINDOW, len(raw), WINDOW):
+            more, back = raw[at : at + WINDOW], BACK
+            while True:
+                old = done[-back:]
+                new = self.merge_heap(self.bytes(old) + more)
+                if len(done) <= back or new[0] == old[0]:
+                    break
+                back *= 2
+            done[-back:] = new
+        return done
+
+    def merge_heap(self, raw: bytes) -> list[int]:
+        """Contract the leftmost pair of least rank until none is left: a heap of (token, place), tokens linked by place."""
+        if not self.token_of_pair:
+            self.token_of_pair = {a << 32 | b: token for a, b, token in self.merges}
+        find = self.token_of_pair.get
+        n = len(raw)
+        ids = [self.byte_ids[b] for b in raw]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [token << 32 | k for k in range(n - 1) if (token := find(ids[k] << 32 | ids[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            token, k = divmod(heapq.heappop(heap), 1 << 32)
+            right = after[k]
+            if ids[k] < 0 or right >= n or find(ids[k] << 32 | ids[right]) != token:
+                continue  # one of the two is part of another token by now
+            ids[k], ids[right] = token, -1
+            end = after[k] = after[right]
+            if end < n:
+                before[end] = k
+                if (new := find(token << 32 | ids[end])) is not None:
+                    heapq.heappush(heap, new << 32 | k)
+            start = before[k]
+            if start >= 0 and (new := find(ids[start] << 32 | token)) is not None:
+                heapq.heappush(heap, new << 32 | start)
+        return [i for i in ids if i >= 0]
+
+    def _query(self, raws: list[bytes]) -> list[bytes]:
         import numpy as np
 
         lengths = np.fromiter(map(len, raws), np.int64)
@@ -214,7 +231,7 @@ class Codec:
             "id": np.asarray(self.byte_ids, np.int32)[flat],
         })
         self.db.register("byte_rows", rows)
-        found = self.db.sql(query).to_arrow_table()
+        found = self.db.sql(MERGE).to_arrow_table()
         self.db.unregister("byte_rows")
         return [ids.encode() for ids in found.column("ids").to_pylist()]
 

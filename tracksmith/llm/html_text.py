@@ -46,15 +46,17 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CHROME = frozenset("nav header footer aside form menu button select option dialog head title fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies share sharing sidebar skip social sponsor sponsored subscribe toc toolbar widget".split())
-NOT_OWN = frozenset("has with without no not hide show".split())  # has-sidebar is no sidebar
+#: Parts of a class or id that say nothing about what an element holds: site-nav is navigation; market-share and has-sidebar are not.
+PLAIN_NAMES = frozenset("area bar block body bottom box btn buttons col column container content desktop global group heading inner item items left link links list main mobile outer page post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg iframe textarea object math canvas audio video".split())
+RAW = frozenset("script style noscript template svg iframe textarea object annotation annotation-xml canvas audio video".split())
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_EMPTY_COMMENT = re.compile("<!---?>")
 #: Cells of a pair's table that is held at a time.
 TABLE_BITS = 200_000_000
 
@@ -72,8 +74,9 @@ def _is_chrome(name: str, attributes: str, zone: str = "other") -> bool:
             return True
         if key in ("class", "id"):
             for word in value.split():
-                parts = _NAME.findall(word)
-                if parts and parts[0] not in NOT_OWN and any(p in CHROME_NAMES and not (zone == "article" and p == "header") for p in parts):
+                parts = set(_NAME.findall(word))
+                named = parts & CHROME_NAMES - ({"header"} if zone == "article" else set())
+                if named and parts <= CHROME_NAMES | PLAIN_NAMES:
                     return True
     return False
 
@@ -83,7 +86,8 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
     at, last, quoted = 0, page.rfind(">"), True
     while (start := page.find("<", at)) >= 0:
         if page.startswith("<!--", start):
-            at = page.find("-->", start + 4) + 3
+            empty = _EMPTY_COMMENT.match(page, start)
+            at = empty.end() if empty else page.find("-->", start + 4) + 3
             at = at if at > 2 else len(page)
             yield start, at, None, False, "comment"
             continue
@@ -107,7 +111,7 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         if end < 0:
             end = page.index(">", tag.end())
         name, attributes, at = tag[2].lower(), page[tag.end() : end], end + 1
-        if name in RAW and not tag[1] and not (name in ("svg", "math") and attributes.endswith("/")):
+        if name in RAW and not tag[1] and not (name == "svg" and attributes.endswith("/")):
             close = _RAW_END[name].search(page, at)
             at = close.end() if close else len(page)
             yield start, at, None, False, ""

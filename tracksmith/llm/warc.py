@@ -159,7 +159,7 @@ def http(block: bytes) -> tuple[str, Headers, bytes]:
         if coding in ("gzip", "x-gzip"):
             body = gzip.decompress(body)
         elif coding == "deflate":
-            body = zlib.decompress(body)
+            body = zlib.decompress(body, zlib.MAX_WBITS if body[:1] and body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0 else -zlib.MAX_WBITS)
     except (OSError, EOFError, zlib.error):
         pass
     return status.decode("utf-8", "replace"), headers, body
@@ -183,7 +183,7 @@ def _decode(headers: Headers, body: bytes) -> str:
     named = _CHARSET.search(get(headers, "Content-Type") or "")
     try:
         return body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError, ValueError):  # unknown, no text codec, or a codec that takes no "replace"
         return body.decode("utf-8", "replace")
 
 

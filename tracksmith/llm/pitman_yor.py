@@ -1,8 +1,9 @@
 """Operator 10: language-model scores from a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Tokens are words and one end a text. A word's restaurants form a tree: the leaf (the word before), its parent (the last two
-bytes of the word before, which leaves share), the root, and the uniform base 1 / (V + 1). A table of a restaurant is a
-customer of its parent. Leaves are told apart by CONTEXT_BITS bits, of the suffix (SUFFIX_BITS) and of the word before.
+Tokens are words and one end a text. A word's restaurants form a tree: the leaf (a class of words before), its parent (the
+last two bytes of the word before, which leaves share), the root, and the uniform base 1 / (V + 1). A table of a restaurant
+is a customer of its parent. Leaves are classes: CONTEXT_BITS bits of hashes, of the suffix (SUFFIX_BITS) and of the word
+before. Their number is fixed; what grows with the corpus are the dishes in them, (word, leaf) and their customers.
 
     p(w | r) = (c(w,r) - d t(w,r) + (theta + d T(r)) p(w | parent(r))) / (theta + C(r))
 
@@ -23,9 +24,9 @@ Layout: map tasks turn texts into one compact row for each (chunk of texts, buck
 counts as well as tokens to be scored, is in the word's bucket, already added up by (word, context) within a text. The
 rows are shuffled once, and checkpointed. One pass a sweep adds up the state's totals over buckets (a number a restaurant,
 bounded by CONTEXT_BITS), repeating the sweeps before; the last pass scores and returns sums for the texts that have tokens
-in a task's buckets, at most one a token. The end token, which every text has, is sent as counts by context only; its
-probabilities are a number a leaf, which is broadcast. Memory: one bucket (about BUCKET_TOKENS tokens, more where one word
-alone has more).
+in a task's buckets, at most one a token. The end token, which every text has, is in no bucket: its counts by leaf are added up
+from the chunks' heads, its restaurants are seated beside the buckets, and its probabilities (a number a leaf) are
+broadcast. Memory: one bucket (about BUCKET_TOKENS tokens, more where one word alone has more).
 
 Defined results: null and empty texts are one end token; null ids count as the empty text for the remainder; with no
 training text every probability is uniform over one word; repeated rows are trained and scored each; an empty table
@@ -111,7 +112,7 @@ def _chunk(name: str, held: list[tuple], buckets: int) -> list[tuple]:
     """Rows of a chunk of texts (codes, contexts, trained, doc_id): one a bucket, and the chunk's head (bucket below 0).
 
     Texts are numbered with those to be trained first. A bucket's row: words, entries a word, and each entry's text,
-    context and count. The end token has one entry a context, its training count, under text 0.
+    context and count. End tokens are in no bucket: the head has the context of each.
     """
     held = sorted(held, key=lambda x: not x[2])
     trained = sum(t for _, _, t, _ in held)
@@ -122,15 +123,12 @@ def _chunk(name: str, held: list[tuple], buckets: int) -> list[tuple]:
     endings = context[last]
     keep = np.ones(len(code), bool)
     keep[last] = False
-    ends, n_ends = np.unique(endings[:trained], return_counts=True)
-    code = np.append(code[keep], np.full(len(ends), END, np.uint64))
-    context, text = np.append(context[keep], ends), np.append(text[keep], np.zeros(len(ends), np.uint32))
-    weight = np.append(np.ones(len(code) - len(ends), np.uint32), n_ends.astype(np.uint32))
+    code, context, text = code[keep], context[keep], text[keep]
     bucket = bucket_of(code, buckets).astype(np.uint32)
     order = np.lexsort((context, text, code, bucket))
-    code, context, text, bucket, weight = code[order], context[order], text[order], bucket[order], weight[order]
+    code, context, text, bucket = code[order], context[order], text[order], bucket[order]
     first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (text[1:] != text[:-1]) | (context[1:] != context[:-1])))) if len(code) else np.empty(0, np.int64)
-    count = np.add.reduceat(weight, first).astype(np.uint32) if len(code) else weight
+    count = np.diff(first, append=len(code)).astype(np.uint32)
     code, context, text, bucket = code[first], context[first], text[first], bucket[first]
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
     small = np.uint16 if len(held) < 65536 else np.uint32
@@ -379,7 +377,43 @@ SLICES = 16
 _SLICE = "slice int, numbers binary"
 
 
-def _state(rows: DataFrame, states: list[Totals]) -> Totals:
+def _added(rows: DataFrame, run) -> np.ndarray | None:
+    """Sum of the arrays that tasks give in slices; a slice a task adds up, and a fixed number of sums comes to the driver."""
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.int64) for b in part["numbers"].to_pylist())
+        return pa.Table.from_batches([common.record_batch(_schema(_SLICE), [(part["slice"][0].as_py(), total.tobytes())])])
+
+    found = {r["slice"]: np.frombuffer(r["numbers"], np.int64) for r in rows.mapInArrow(run, _SLICE).groupBy("slice").applyInArrow(add, _SLICE).collect()}
+    return np.concatenate([found[k] for k in range(SLICES)]) if found else None
+
+
+def _sliced(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if flat.any():
+        yield common.record_batch(_schema(_SLICE), [(k, part.tobytes()) for k, part in enumerate(np.array_split(flat, SLICES))])
+
+
+def end_counts(rows: DataFrame) -> np.ndarray:
+    """How many end tokens of training stand after each leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros(LEAVES, np.int64)
+        for part in common.rows(batches, "n_trained", "contexts", step=16):
+            for trained, contexts in part:
+                flat += np.bincount(np.frombuffer(contexts, np.uint16)[:trained], minlength=LEAVES)
+        yield from _sliced(flat)
+
+    counts = _added(rows.where("bucket < 0"), run)
+    return np.zeros(LEAVES, np.int64) if counts is None else counts
+
+
+def end_model(counts: np.ndarray) -> Bucket:
+    """The end token's restaurants, one table a dish."""
+    leaf = np.flatnonzero(counts)
+    return Bucket(np.full(len(leaf), END, np.uint64), leaf.astype(np.uint16), counts[leaf])
+
+
+def _state(rows: DataFrame, ends: Bucket, states: list[Totals]) -> Totals:
     """Totals of the state after the last of the states."""
     sent = rows.sparkSession.sparkContext.broadcast([s.flat for s in states])
 
@@ -391,39 +425,22 @@ def _state(rows: DataFrame, states: list[Totals]) -> Totals:
             for _ in model.chain(before):
                 pass
             flat += model.totals()
-        if flat.any():
-            yield common.record_batch(_schema(_SLICE), [(k, part.tobytes()) for k, part in enumerate(np.array_split(flat, SLICES))])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in part["numbers"].to_pylist())
-        return pa.Table.from_batches([common.record_batch(_schema(_SLICE), [(part["slice"][0].as_py(), total.tobytes())])])
+        yield from _sliced(flat)
 
-    found = {r["slice"]: np.frombuffer(r["numbers"], np.int64) for r in rows.where("bucket >= 0").mapInArrow(run, _SLICE).groupBy("slice").applyInArrow(add, _SLICE).collect()}
-    return Totals(np.concatenate([found[k] for k in range(SLICES)]) if found else np.zeros(2 * LEAVES + PARENTS + 3, np.int64))
+    total = _added(rows.where("bucket >= 0"), run)
+    if states:
+        ends.sweep(states[-1], len(states))
+    return Totals(ends.totals() if total is None else total + ends.totals())
 
 
 _PART = "chunk string, kind int, n_trained int, texts binary, score binary, logs binary, known binary, sizes binary, ids binary, nulls binary, endings binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _endings(rows: DataFrame, states: list[Totals], buckets: int) -> tuple[np.ndarray, int]:
+def _endings(ends: Bucket, states: list[Totals]) -> tuple[np.ndarray, int]:
     """log10 of the end token's probability after each leaf, and its count in training."""
-    home = int(bucket_of(np.array([END], np.uint64), buckets)[0])
-    sent = rows.sparkSession.sparkContext.broadcast([s.flat for s in states])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_bucket(batches):
-            data = Entries(held)
-            data.trained &= data.code == np.uint64(END)
-            mean, count = data.model().average(np.full(LEAVES, END, np.uint64), np.arange(LEAVES).astype(np.uint16), [Totals(flat) for flat in sent.value])
-            yield common.record_batch(_schema("p binary, n long"), [(np.log10(mean).tobytes(), int(count[0]))])
-
-    found = rows.where(F.col("bucket") == home).mapInArrow(run, "p binary, n long").collect()  # one row
-    if found:
-        return np.frombuffer(found[0]["p"], float), found[0]["n"]
-    none = Bucket(np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint32))
-    mean, _ = none.average(np.full(LEAVES, END, np.uint64), np.arange(LEAVES).astype(np.uint16), states)
-    return np.log10(mean), 0
+    mean, count = ends.average(np.full(LEAVES, END, np.uint64), np.arange(LEAVES).astype(np.uint16), states)
+    return np.log10(mean), int(count[0])
 
 
 def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -432,11 +449,13 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     buckets = max(16, -(-int(size) // (5 * bucket_tokens)))  # a token has some six characters
     rows = common.cut(chunks(docs, buckets).repartition("bucket").sortWithinPartitions("bucket", "chunk"))
     states: list[Totals] = []
+    n_ends = end_counts(rows)
+    ends = end_model(n_ends)
     for _ in range(SWEEPS + 1):
-        states.append(_state(rows, states))
+        states.append(_state(rows, ends, states))
     train_tokens, vocabulary = states[0].tokens, states[0].words
     context = docs.sparkSession.sparkContext
-    sent, ends = context.broadcast([s.flat for s in states]), context.broadcast(_endings(rows, states, buckets))
+    sent, end_scores_of = context.broadcast([s.flat for s in states]), context.broadcast(_endings(end_model(n_ends), states))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_states = [Totals(flat) for flat in sent.value]
@@ -453,7 +472,7 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
         for held in _by_bucket(batches):
             data = Entries(held)
             mean, c = data.model().average(data.code, data.context, model_states)
-            count = np.where(data.code == np.uint64(END), 0, data.count)
+            count = data.count
             values = (count * np.log10(mean), count * np.log10(c + 1.0), count * (c > 0), count)
             edge = np.searchsorted(data.chunk_of, np.arange(len(data.chunks) + 1))
             for k, chunk in enumerate(data.chunks):
@@ -474,7 +493,7 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     heads = rows.where("bucket < 0").select("chunk", F.lit(0).alias("kind"), "n_trained", none.alias("texts"), none.alias("score"), none.alias("logs"), none.alias("known"), F.col("words").alias("sizes"), F.col("runs").alias("ids"), F.col("texts").alias("nulls"), F.col("contexts").alias("endings"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_scores, end_count = ends.value
+        end_scores, end_count = end_scores_of.value
 
         def whole(head: dict, sums: np.ndarray) -> pa.RecordBatch:
             n = np.frombuffer(head["sizes"], np.int64)

@@ -62,7 +62,7 @@ def test_bpe_round_trip(docs):
 
 
 def test_bpe_long_pieces():
-    """Pieces over SHORT bytes take the other query; random letters and runs of one letter."""
+    """Pieces over SHORT bytes are cut into blocks; random letters and runs of one letter."""
     import tiktoken
 
     path, pattern = tokenizer()
@@ -96,6 +96,37 @@ def test_bpe_very_long_pieces():
 
 # 2
 
+def test_bpe_shifted_runs():
+    """A run that other letters shift by a byte, and many different long pieces: near linear, equal to tiktoken."""
+    import string
+    import time
+
+    import tiktoken
+
+    path, pattern = tokenizer()
+    ranks = bpe.Ranks(path)
+    codec = bpe.Codec(ranks, pattern)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.token_of, special_tokens={})
+    rng = np.random.default_rng(8)
+    texts = [head + run * 4_000 + tail for head in string.ascii_letters for run, tail in (("o", ""), ("e", "k"))]
+    texts += [head + run * n for head, run, n in (("g", "o", 8_001), ("g", "o", 30_001), ("l", "o", 15_001), ("h", "e", 15_001), ("q", "ha", 100_000), ("", "o", 200_000), ("ab", "cab", 30_000))]
+    texts += ["".join(rng.choice(list(string.ascii_lowercase), n)) for n in rng.integers(65, 600, 500)]
+    began = time.perf_counter()
+    found = codec.encode(texts)
+    assert time.perf_counter() - began < 60
+    for text, runs in zip(texts, found, strict=True):
+        if len(text) < 100_000:  # tiktoken itself takes long
+            assert b" ".join(runs).decode() == " ".join(map(str, encoding.encode_ordinary(text)))
+    assert codec.decode(found) == [t.encode() for t in texts]
+    for text in texts[:60:7]:  # the heap in small windows
+        whole = codec.merge_heap(text.encode())
+        bpe.WINDOW, kept = 100, bpe.WINDOW
+        try:
+            assert codec.merge_windows(text.encode()) == whole
+        finally:
+            bpe.WINDOW = kept
+
+
 def test_quality_learns_held_out(spark, no_docs):
     good = [(i, prose(i), 1) for i in range(120)]
     bad = [(200 + i, " ".join(w + "%%%" for w in prose(i).split()), 0) for i in range(120)]
@@ -279,6 +310,12 @@ def test_lines():
     assert html_text.main_text(html_text.lines("<p>menu</p><p>own</p><p>foot</p>"), html_text.lines("<p>menu</p><p>other</p><p>foot</p>")) == "own"
 
 
+def test_words_of_classes_inside_an_article():
+    """Only whole names of what holds no main text count; formulas and empty comments are read over."""
+    page = "<article><h1>T</h1><div class='market-share'>a</div><p class='social-history'>b</p><section id='reply-to-critics'>c</section><div class='ad-banner'>x</div><div id='main-comments'>x</div><ul class='share-buttons'><li>x</li></ul><p>x is <math><mi>y</mi><annotation encoding='tex'>Y</annotation></math> so</p><!--><p>d</p><!---><p>e</p><!-- x --></article>"
+    assert html_text.main_text(html_text.lines(page), None) == "T\na\nb\nc\nx is y so\nd\ne"
+
+
 def test_difference_decides_beside_an_article():
     """The body in plain divs stays beside an article zone, what the partner shares of it goes."""
     def page(k):
@@ -499,6 +536,47 @@ def test_warc(spark, tmp_path):
 
 # 8
 
+def independent_records(raw):
+    """WARC records of bytes by a reader of its own: version, named fields, block by its length, two line ends."""
+    out = []
+    while raw:
+        head, raw = raw.split(b"\r\n\r\n", 1)
+        version, *fields = head.decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(f.split(": ", 1) for f in fields)
+        n = int(fields["Content-Length"])
+        out.append((fields, raw[:n]))
+        assert raw[n : n + 4] == b"\r\n\r\n"
+        raw = raw[n + 4 :]
+    return out
+
+
+def test_warc_records_by_another_reader(spark):
+    import base64
+    import hashlib
+    import zlib
+
+    def sha1(block):
+        return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+    pages = [(1, "http://a.example/1", "<html><body><article><p>one &amp; two</p></article></body></html>"), (2, "http://a.example/2", "<p>é</p>"), (3, None, None)]
+    made = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert len(made) == 6
+    for r in made:
+        ((fields, block),) = independent_records(bytes(r["record"]))
+        assert fields["WARC-Type"] == r["kind"] and fields["WARC-Record-ID"] == r["record_id"] and fields["WARC-Refers-To"] == r["refers_to"]
+        assert fields.get("WARC-Target-URI") == r["target_uri"] and block.decode() == r["block"] and len(block) == r["n_bytes"]
+        assert fields["WARC-Block-Digest"] == r["block_digest"] and (not r["block_digest"].startswith("sha1:") or r["block_digest"] == sha1(block))
+    assert {r["refers_to"] for r in made if r["kind"] == "metadata"} == {r["refers_to"] for r in made if r["kind"] == "conversion"}
+
+    packed = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = packed.compress(b"plain words") + packed.flush()
+    for kind, body in (("text/plain; charset=undefined", b"plain words"), ("text/plain; charset=idna", b"plain words"), ("text/plain; charset=rot13", b"plain words"), ("text/plain; charset=no-such", b"plain words"), ("text/plain\r\nContent-Encoding: deflate", raw), ("text/plain\r\nContent-Encoding: deflate", zlib.compress(b"plain words"))):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + body
+        derived = warc.derivatives([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], block)
+        assert derived[1][2] == b"plain words"
+
+
 def test_license_base_equals_brute_force(docs, no_docs, spark):
     more = spark.createDataFrame([(200, "MIT license, mit-license. Apache License; GENERAL public\nlicense general public licenses"), (201, "mit mit license license apache"), (202, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction")], "doc_id long, text string")
     given = docs.select("doc_id", "text").unionByName(more)

@@ -216,14 +216,18 @@ def test_probe_boundaries(spark):
     from tracksmith.operators import probes
 
     talk = [("action", "which hotel stars", "Three."), ("search", "flight to Rome", "F1"), ("search", "hotel in Rome", "H1 and H2"), ("answer", "H1", "ok")]
-    turns = spark.createDataFrame([("t", k, *x, "A hotel and a flight") for k, x in enumerate(talk)], "trajectory string, turn long, choice string, content string, feedback string, message string")
+    failing = [("search", "hotel in Rome", "the search backend is unavailable"), ("action", "which hotel stars", "I have no preference"), ("search", "cheap hotel Rome", "the search backend is unavailable")]
+    turns = spark.createDataFrame([(name, k, *x, "A hotel and a flight") for name, told in (("t", talk), ("u", failing)) for k, x in enumerate(told)], "trajectory string, turn long, choice string, content string, feedback string, message string")
     kinds = (probes.ANSWER_PROBE, probes.PREFERENCE_PROBE, probes.FALLBACK_PROBE)
     rows = [(1, "t", kinds[0], "x", 0, False, None, None), (2, None, kinds[0], "x", 1, False, None, None), (3, None, kinds[1], "x", 2, False, None, None), (4, None, kinds[2], "x", 3, False, "hotel in Rome", None), (5, None, kinds[2], "x", 3, True, "hotel in Rome", "cheap hotel Rome"), (6, None, kinds[2], "x", 3, False, None, None), (7, None, kinds[0], "x", 99, False, None, None)]
+    rows.append((8, "u", kinds[2], "x", 0, False, None, None))
     given = spark.createDataFrame(rows, "probe long, transcript string, kind string, task string, context long, double boolean, original string, retry string")
     meta = [(kinds[0], "x", 1, 0, "t", 3, None, None), (kinds[0], "x", 1, 1, "t", None, "hotel", None), (kinds[1], "x", 2, 0, "t", 2, None, None), (kinds[2], "x", 3, 0, "t", 77, "hotel", "")]
     metadata = spark.createDataFrame(meta, "kind string, task string, context long, ord long, trajectory string, at long, named string, down string")
     got = {(r["probe"], r["turn"], r["label"], r["phase"]) for r in probes.boundaries(given, metadata, turns).collect()}
     walked = public_control.walk(turns, "trajectory", "turn", follow=True)
-    own = {(1, r["turn"], label, r["phase_before"]) for r in walked.collect() for label in r["labels"]}
-    assert {x for x in got if x[0] == 1} == own and len(own) >= 3
-    assert {x for x in got if x[0] > 1} == {(2, 2, "valid_search_to_answer", ANSWER), (3, 2, "preference_complete_to_search", ELICIT), (4, 2, "first_fallback", RETRY), (5, 3, "second_fallback", SWITCH)}
+    after = ("first_fallback", "second_fallback", "explicit_no_preference")  # these show the state that the turn led to
+    own = {({"t": 1, "u": 8}[r["trajectory"]], r["turn"], label, r["phase" if label in after else "phase_before"]) for r in walked.collect() for label in r["labels"]}
+    assert {x for x in got if x[0] in (1, 8)} == own and len(own) >= 6
+    assert {(8, 0, "first_fallback", RETRY), (8, 2, "second_fallback", SWITCH)} <= own and (8, 0, "first_fallback", ELICIT) not in own
+    assert {x for x in got if x[0] not in (1, 8)} == {(2, 2, "valid_search_to_answer", ANSWER), (3, 2, "preference_complete_to_search", ELICIT), (4, 2, "first_fallback", RETRY), (5, 3, "second_fallback", SWITCH)}

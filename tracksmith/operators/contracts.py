@@ -55,15 +55,14 @@ def hidden_paths(df: DataFrame, key: str, json: str, hidden: list[str]) -> DataF
 
     names = frozenset(hidden)
 
-    def walk(value, path: str):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                if k in names:
-                    yield f"{path}.{k}"
-                yield from walk(v, f"{path}.{k}")
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                yield from walk(v, f"{path}[{i}]")
+    def walk(value):
+        stack = [("$", None, value)]
+        while stack:
+            path, own, value = stack.pop()
+            if own in names:
+                yield path
+            children = [(f"{path}.{k}", k, v) for k, v in value.items()] if isinstance(value, dict) else [(f"{path}[{i}]", None, v) for i, v in enumerate(value)] if isinstance(value, list) else []
+            stack += reversed(children)
 
     def run(parts):
         import json as parser
@@ -73,9 +72,9 @@ def hidden_paths(df: DataFrame, key: str, json: str, hidden: list[str]) -> DataF
             for k, raw in part.itertuples(index=False):
                 try:
                     value = parser.loads(raw) if raw else None
-                except ValueError:
+                except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
                     continue
-                out += [(k, p) for p in walk(value, "$")]
+                out += [(k, p) for p in walk(value)]
             yield pd.DataFrame(out, columns=["key", "path"])
 
     return df.select(F.col(key).alias("key"), F.col(json).alias("json")).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, path string")

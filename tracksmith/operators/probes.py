@@ -9,6 +9,8 @@ from tracksmith.operators import public_control, rollouts, targets
 
 # Kinds of probes and the label that each gives; the text of a backend that is down.
 ANSWER_PROBE, PREFERENCE_PROBE, FALLBACK_PROBE = "search_answer_probe", "preference_boundary_probe", "fallback_recovery_probe"
+#: Labels of a transcript that show the state after their turn.
+AFTER = ("first_fallback", "second_fallback", "explicit_no_preference")
 DOWN = "Currently the searching backend is experiencing some issues. Please try again later."
 
 
@@ -26,7 +28,8 @@ def event_turns(asked: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def boundaries(probes: DataFrame, metadata: DataFrame, turns: DataFrame, down: str = DOWN) -> DataFrame:
-    """(probe, turn, label, phase): labels of probes, and the phase before the turn (after it, for answers and fallbacks).
+    """(probe, turn, label, phase): labels of probes, and the phase before the turn (after it for fallbacks and no preference,
+    and for the answer of a probe without a transcript).
 
     probes: probe, transcript (a trajectory of turns, or null), kind, task, context, double (whether a second search failed),
     original and retry (searches). metadata: kind, task, context, ord (of several rows the last counts), trajectory, at,
@@ -35,7 +38,8 @@ def boundaries(probes: DataFrame, metadata: DataFrame, turns: DataFrame, down: s
     """
     walked = public_control.walk(turns, "trajectory", "turn", follow=True)
     seen = probes.where("transcript IS NOT NULL").select("probe", F.col("transcript").alias("trajectory")).join(walked, "trajectory")
-    own = seen.select("probe", "turn", F.explode("labels").alias("label"), F.col("phase_before").alias("phase"))
+    own = seen.select("probe", "turn", F.explode("labels").alias("label"), "phase", "phase_before")
+    own = own.select("probe", "turn", "label", F.when(F.col("label").isin(*AFTER), F.col("phase")).otherwise(F.col("phase_before")).alias("phase"))
     last = rollouts.last_of_key(metadata, ["kind", "task", "context"], "ord", ["trajectory", "at", "named", "down"])
     asked = probes.where("transcript IS NULL").join(last, ["kind", "task", "context"])
     placed = asked.join(event_turns(asked, turns), "probe")

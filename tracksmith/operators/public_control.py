@@ -260,6 +260,33 @@ class Episode:
             self.ledgers[aim].complete = True
             self.at, self.mode, self.left = aim, SEARCH, None
 
+    def hear(self, choice: str, feedback: str) -> None:
+        """An observation that no call came with; choice: what it answers."""
+        if self.done:
+            return
+        self.left = None
+        kind, ids = observe(choice, feedback)
+        if kind == "search_normal":
+            self.idle = 0
+        elif kind in ("search_fallback", "fallback", "search_empty"):
+            self.no_progress()
+        self.heard.add((kind, _plain(feedback), ids))
+
+    def event(self, kind: str, choice: str | None, content: str | None, feedback: str | None, aspect: str | None) -> str | None:
+        """One public event of a live session: call, observation, no_progress or complete. The refusal of a call, or null."""
+        refusal = None
+        if kind == "call":
+            self.advance()
+            refusal = self.refusal(choice, content or "")
+            self.turn(choice, content or "", feedback)
+        elif kind == "observation":
+            self.hear(choice or "search", feedback or "")
+        elif kind == "no_progress" and not self.done:
+            self.no_progress()
+        elif kind == "complete" and not self.done and (aspect or self.at) in self.ledgers:
+            self.complete(aspect)
+        return refusal
+
     def advance(self) -> bool:
         """From a closed aspect to the next open one after it; none ends the episode. Whether there was anything to do."""
         here = self.current
@@ -397,3 +424,32 @@ def phase_counts(walked: DataFrame, trajectory: str) -> DataFrame:
         there = F.col("phase_before") == phase
         counts += [F.count_if(there).alias(f"{name}_chances"), F.count_if(there & F.col("refusal").isNull()).alias(f"{name}_successes")]
     return walked.groupBy(trajectory).agg(*counts, F.count_if("switched").alias("switches"))
+
+
+LIVE = "refusal string, " + _STATE
+
+
+def live_row(episode: Episode, refusal: str | None) -> tuple:
+    """The columns of LIVE after an event."""
+    here = episode.current or Ledger()
+    return refusal, episode.phase, episode.at, episode.of(ANSWERED), episode.of(BLOCKED), sorted(here.visible), list(episode.submitted), here.fallbacks, here.attempts, episode.idle, episode.most_idle, episode.done
+
+
+def live(events: DataFrame, limit: int = 4) -> DataFrame:
+    """(trajectory, at, and LIVE): the state after each event of live sessions, in order of `at`.
+
+    events: trajectory long, at long, kind (call, observation, no_progress, complete), choice, content, feedback, aspect and
+    the user's first message. Unlike recorded turns, events may come without a call.
+    """
+    kinds = [c.split(" ", 1) for c in LIVE.split(", ")]
+
+    def fold(part: pa.Table) -> pa.Table:
+        columns = ("at", "kind", "choice", "content", "feedback", "aspect", "message")
+        rows = sorted(zip(*(part[c].to_pylist() for c in columns), strict=True), key=lambda r: r[0])
+        episode = Episode.begin(rows[0][-1] or "", limit)
+        out = [live_row(episode, episode.event(*row[1:-1])) for row in rows]
+        first = [pa.array([part["trajectory"][0].as_py()] * len(out), pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
+        return pa.Table.from_arrays(first + [pa.array(list(c), _arrow(k)) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=["trajectory", "at", *[n for n, _ in kinds]])
+
+    given = events.select(F.col("trajectory").cast("long").alias("trajectory"), F.col("at").cast("long").alias("at"), "kind", "choice", "content", "feedback", "aspect", "message")
+    return given.groupBy("trajectory").applyInArrow(fold, f"trajectory long, at long, {LIVE}")

@@ -95,7 +95,7 @@ def option_details(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame
         while at >= 0:
             try:
                 yield decode(raw, at)[0]
-            except ValueError:
+            except (ValueError, RecursionError):  # no object, or nested deeper than the parser goes
                 pass
             at = raw.find("{", at + 1)
 

@@ -45,8 +45,8 @@ BLOCK, BORDER, SHORT = 64, 4, 128
 #: Bytes that one heap holds, and settled tokens before them that are merged anew at first.
 WINDOW, BACK = 65_536, 8
 
-#: k is the byte's place among all bytes of the query, so that a token's right neighbour is the row of the same piece at
-#: k + len; the least number (token, place) is the leftmost pair of least rank.
+#: k is the byte's place among all bytes of the query, with one place left out between pieces, so that the row at k + len
+#: is a token's right neighbour; the least number (token, place) is the leftmost pair of least rank.
 MERGE = """
 WITH RECURSIVE state(w, k, id, len, step) AS (
     SELECT w, pos, id, 1::INT, 0::INT FROM byte_rows
@@ -56,7 +56,7 @@ WITH RECURSIVE state(w, k, id, len, step) AS (
                arg_min(b.k, (m.token::BIGINT << 32) | a.k) AS gone,
                arg_min(a.len + b.len, (m.token::BIGINT << 32) | a.k) AS len
         FROM state a
-        JOIN state b ON b.k = a.k + a.len AND b.w = a.w
+        JOIN state b ON b.k = a.k + a.len
         JOIN merges m ON m.pair = ((a.id::BIGINT << 32) | b.id)
         GROUP BY a.w)
     SELECT s.w, s.k,
@@ -73,8 +73,7 @@ GROUP BY w ORDER BY w
 
 DECODE = """
 SELECT t.w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
-FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM sequences) t
-JOIN vocabulary v ON v.id = t.id
+FROM sequences t JOIN vocabulary v ON v.id = t.id
 GROUP BY t.w ORDER BY t.w
 """
 
@@ -225,9 +224,10 @@ class Codec:
 
         lengths = np.fromiter(map(len, raws), np.int64)
         flat = np.frombuffer(b"".join(raws), np.uint8)
+        w = np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
         rows = pa.table({
-            "w": np.repeat(np.arange(len(raws), dtype=np.int32), lengths),
-            "pos": np.arange(len(flat), dtype=np.int32),
+            "w": w,
+            "pos": np.arange(len(flat), dtype=np.int32) + w,
             "id": np.asarray(self.byte_ids, np.int32)[flat],
         })
         self.db.register("byte_rows", rows)
@@ -248,10 +248,14 @@ class Codec:
         """The bytes of token sequences, each given as runs of decimal ids; each distinct run is aggregated once."""
         if len(self.decoded) > PIECES_KEPT:
             self.decoded.clear()
+        import numpy as np
+
         fresh = list({run for s in sequences for run in s}.difference(self.decoded))
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            self.db.register("sequences", pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": pa.array([list(map(int, run.split())) for run in part], pa.list_(pa.int32()))}))
+            ids = np.array(b" ".join(part).split(), np.int32)
+            sizes = np.fromiter((run.count(b" ") + 1 for run in part), np.int64, len(part))
+            self.db.register("sequences", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             raw = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
             self.db.unregister("sequences")
             self.decoded.update(zip(part, raw, strict=True))

@@ -15,7 +15,7 @@ a query: the same contraction, a step for each pair and not for each state. A lo
 length, whatever it holds.
 
 Nothing is shuffled; the merge table (bounded by the vocabulary) is the only thing sent to executors. Memory is bounded
-by PIECES_KEPT pieces, by QUERY_ROWS rows of a query (all its states) and by the longest text.
+by PIECES_KEPT pieces and RUNS_KEPT runs, by QUERY_ROWS rows of a query (all its states) and by the longest text.
 
 Defined results: a null or empty text has no tokens (hashes of the empty string); repeated rows give repeated rows;
 an empty table gives no rows; other columns of the input are ignored.
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tracksmith.llm import common
 
-#: Pieces whose tokens a Python worker remembers; bytes of pieces given to one query, and rows of all states of a query.
-PIECES_KEPT = 600_000
+#: Pieces whose tokens a Python worker remembers, and runs of tokens whose bytes; bytes of pieces given to one query, and
+#: rows of all states of a query.
+PIECES_KEPT, RUNS_KEPT = 1_000_000, 600_000
 QUERY_BYTES = 400_000
 QUERY_ROWS = 5_000_000
 
@@ -120,7 +121,6 @@ class Codec:
         """Encode pieces that are not known yet."""
         if len(self.known) > PIECES_KEPT:
             self.known.clear()
-            self.decoded.clear()
         short, long = [], []
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
@@ -246,7 +246,7 @@ class Codec:
 
     def decode(self, sequences: list[list[bytes]]) -> list[bytes]:
         """The bytes of token sequences, each given as runs of decimal ids; each distinct run is aggregated once."""
-        if len(self.decoded) > PIECES_KEPT:
+        if len(self.decoded) > RUNS_KEPT:
             self.decoded.clear()
         import numpy as np
 

@@ -168,3 +168,28 @@ def test_json_that_is_nested_deeper_than_the_parser_goes(spark):
     assert contracts.hidden_paths(rows, "k", "j", ["secret"]).where("key = 4").count() == 0
     text = spark.createDataFrame([(1, "[" * 5000 + ' {"id":"H1","cost":3}')], "k long, t string")
     assert [r["option"] for r in recovery.option_details(text, "k", "t", "H").collect()] == ["H1"]
+
+
+def test_dumps_of_other_tasks_are_refused(spark):
+    from tracksmith.operators import evaluation
+
+    tasks = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "task_id string, composition string")
+    dump = lambda *ids: spark.createDataFrame([(i, k == 0, None, 0.5) for k, i in enumerate(ids)], "task_id string, reward_valid boolean, terminal double, score double")
+    problems = lambda *ids: sorted(tuple(r) for r in evaluation.dump_problems(tasks, dump(*ids), "task_id", 3).collect())
+    assert problems("a", "b") == []
+    assert problems("a", "a", "z", None) == [("repeated_result", "a", 2), ("unknown_task", "", 1), ("unknown_task", "z", 1)]
+    assert [tuple(r) for r in evaluation.dump_problems(tasks, dump("a"), "task_id", 132).collect()] == [("wrong_size", None, 3)]
+    with pytest.raises(ValueError, match="repeated_result"):
+        evaluation.dump_results(tasks, dump("a", "a"), "task_id", "composition", {"terminal": "score"})
+    got = {r["task_id"]: (r["composition"], r["valid"], r["terminal"], r["guard_rejections"]) for r in evaluation.dump_results(tasks, dump("a", "b"), "task_id", "composition", {"terminal": "score"}).collect()}
+    assert got == {"a": ("x", True, 0.5, 0), "b": ("y", False, 0.5, 0)}
+
+
+def test_stored_summaries_are_held_to_recomputed_ones(spark):
+    from tracksmith.operators import evaluation
+
+    schema = "k string, n long, m double, only_here long"
+    old = spark.createDataFrame([("a", 1, 0.5, 1), (None, 2, None, 1), ("gone", 3, 1.0, 1)], schema)
+    new = spark.createDataFrame([("a", 1, 0.5 + 1e-12), (None, 2, 0.1)], "k string, n long, m double")
+    found = {(r["k"], r["metric"]): r["same"] for r in evaluation.consistency(old, new, ["k"]).collect()}
+    assert found == {("a", "n"): True, ("a", "m"): True, (None, "n"): True, (None, "m"): False, ("gone", "n"): False, ("gone", "m"): False}

@@ -136,3 +136,53 @@ def digest(df: DataFrame, by: list[str], order: str, content: str) -> DataFrame:
     """SHA-256 over the ordered rows' own hashes, by group."""
     own = df.select(*by, F.col(order).alias("o"), F.sha2(F.col(content), 256).alias("h"))
     return own.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+
+
+def dump_problems(tasks: DataFrame, dump: DataFrame, task: str, size: int | None = None) -> DataFrame:
+    """(problem, task_id, n): why a validation dump is no result of these tasks; no rows if it is.
+
+    wrong_size (another number of tasks than `size`, in n) and repeated_task of the tasks; unknown_task and repeated_result
+    of the dump, whose null ids count as the empty text. A task without a result is no problem: it counts 0.
+    """
+    name = F.coalesce(F.col(task).cast("string"), F.lit("")).alias("task_id")
+    asked = tasks.groupBy(name).agg(F.count("*").alias("asked"))
+    given = dump.groupBy(name).agg(F.count("*").alias("given"))
+    both = asked.join(given, "task_id", "full")
+    kinds = F.array_compact(F.array(
+        F.when(F.col("asked") > 1, F.struct(F.lit("repeated_task").alias("problem"), F.col("asked").alias("n"))), F.when(F.col("asked").isNull(), F.struct(F.lit("unknown_task").alias("problem"), F.col("given").alias("n"))),
+        F.when(F.col("asked").isNotNull() & (F.col("given") > 1), F.struct(F.lit("repeated_result").alias("problem"), F.col("given").alias("n")))))
+    found = both.select("task_id", F.explode(kinds).alias("x")).select("x.problem", "task_id", "x.n")
+    if size is None:
+        return found
+    return found.unionByName(tasks.agg(F.count("*").alias("n")).where(F.col("n") != size).select(F.lit("wrong_size").alias("problem"), F.lit(None).cast("string").alias("task_id"), "n"))
+
+
+def dump_results(tasks: DataFrame, dump: DataFrame, task: str, stratum: str, metrics: dict[str, str | None], size: int | None = None) -> DataFrame:
+    """(task, stratum, valid, metrics, guard_rejections): a validation dump as results; ValueError if it has problems.
+
+    metrics: a name and the column that takes its place where it is null (or None: 0). Only a reward that is said to be valid
+    makes a result valid. A dump has no guard counts, so these are 0.
+    """
+    bad = dump_problems(tasks, dump, task, size).orderBy("problem", "task_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"not a dump of these tasks: {[tuple(r) for r in bad]}")
+    zero = F.lit(0.0)
+    value = {m: F.coalesce(F.col(m).cast("double"), F.col(other).cast("double") if other else zero, zero) for m, other in metrics.items()}
+    rows = dump.select(task, F.coalesce(F.col("reward_valid"), F.lit(False)).alias("valid"), *[v.alias(m) for m, v in value.items()])
+    return rows.join(tasks.select(task, stratum), task).withColumn("guard_rejections", F.lit(0).cast("long"))
+
+
+def consistency(stored: DataFrame, recomputed: DataFrame, key: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(key, metric, stored, recomputed, same) of every column but the key that both summaries have, null-safe.
+
+    A row that only one of them has is compared with nulls, so a stratum that was dropped or made up shows.
+    """
+    common = [c for c in stored.columns if c in recomputed.columns and c not in key]
+    long = lambda df, name: df.select(*key, *[F.col(c).cast("double").alias(c) for c in common]).unpivot(key, common, "metric", name)
+    left, right = long(stored, "stored"), long(recomputed, "recomputed")
+    condition = F.col("a.metric") == F.col("b.metric")
+    for c in key:
+        condition &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = left.alias("a").join(right.alias("b"), condition, "full")
+    same = F.coalesce(F.abs(F.col("a.stored") - F.col("b.recomputed")) <= tolerance, F.col("a.stored").isNull() & F.col("b.recomputed").isNull())
+    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in key], F.coalesce("a.metric", "b.metric").alias("metric"), "a.stored", "b.recomputed", same.alias("same"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracksmith.operators import contexts, control, digests, public_control
+from tracksmith.operators import contexts, control, digests, evaluation, public_control
 from tracksmith.plans.bind import RESULTS, TASKS, read, results, tasks, turns
 from tracksmith.plans.splits_queries import query
 from tracksmith.plans.trajectory_queries import SIGNED, signed, talk
@@ -123,3 +123,39 @@ def _(spark, d):
     path = tables.scratch(spark, "evaluation")
     digests.write_run(results(spark, d).select("task_id", "valid"), path, {"loaded": False, "finished": True})
     return digests.complete(spark, path, tasks(spark, d).where("ord % 3 <> 0"), "task_id", "valid")
+
+
+# Validation dumps and stored summaries
+
+def dump(spark, d):
+    """Results as a dump: some tasks twice, some of no task."""
+    r = results(spark, d).select("task_id", F.col("valid").alias("reward_valid"), F.when(F.col("steps") % 4 != 0, F.col("terminal")).alias("terminal"), F.col("completion").alias("score"))
+    return r, r.unionByName(r.where("task_id % 50 = 0")).unionByName(r.where("task_id % 70 = 0").withColumn("task_id", F.concat(F.lit("x"), "task_id")))
+
+
+@query("a_6_problems", f"WITH {TASKS}, {RESULTS} SELECT 'repeated_result' AS problem, task_id, 2::BIGINT AS n FROM results WHERE task_id::INT % 50 = 0 UNION ALL SELECT 'unknown_task', 'x' || task_id, 1 FROM results WHERE task_id::INT % 70 = 0 UNION ALL SELECT 'wrong_size', NULL, count(*) FROM tasks")
+def _(spark, d):
+    return evaluation.dump_problems(tasks(spark, d), dump(spark, d)[1], "task_id", 132)
+
+
+@query("a_6_dump", f"WITH {TASKS}, {RESULTS}, r AS (SELECT task_id, valid, CASE WHEN steps % 4 <> 0 THEN terminal ELSE completion END AS t FROM results) SELECT composition, count(*) AS expected, count(valid) AS completed, count(*) FILTER (valid) AS valid_n, round(sum(CASE WHEN valid THEN t ELSE 0 END) / count(*), 9) AS mean_terminal, 0.0::DOUBLE AS mean_guard_rejections FROM tasks LEFT JOIN r USING (task_id) GROUP BY GROUPING SETS ((composition), ())")
+def _(spark, d):
+    t = tasks(spark, d)
+    made = evaluation.dump_results(t, dump(spark, d)[0], "task_id", "composition", {"terminal": "score"}, t.count())
+    out = evaluation.summary(t, made, "task_id", "composition", ["terminal", "guard_rejections"])
+    return out.select("composition", "expected", "completed", "valid_n", F.round("mean_terminal", 9).alias("mean_terminal"), "mean_guard_rejections")
+
+
+_SUMMARY = "SELECT composition, count(*) AS expected, count(valid) AS completed, count(*) FILTER (valid) AS valid_n, sum(CASE WHEN valid THEN terminal ELSE 0 END) / count(*) AS mean_terminal FROM {0} GROUP BY GROUPING SETS ((composition), ())"
+
+
+@query("v_20_summary", f"""WITH {TASKS}, {RESULTS}, a AS (SELECT * FROM tasks LEFT JOIN results USING (task_id)), b AS (SELECT ord, composition, CASE WHEN composition <> 'BUILDING' OR ord % 9 <> 0 THEN valid END AS valid, terminal FROM a),
+  old AS (UNPIVOT (SELECT composition, expected::DOUBLE AS expected, completed::DOUBLE AS completed, valid_n::DOUBLE AS valid_n, mean_terminal FROM ({_SUMMARY.format("b")})) ON expected, completed, valid_n, mean_terminal INTO NAME metric VALUE v), new AS (UNPIVOT (SELECT composition, expected::DOUBLE AS expected, completed::DOUBLE AS completed, valid_n::DOUBLE AS valid_n, mean_terminal FROM ({_SUMMARY.format("a")})) ON expected, completed, valid_n, mean_terminal INTO NAME metric VALUE v)
+  SELECT old.composition, old.metric, round(old.v, 9) AS stored, round(new.v, 9) AS recomputed, abs(old.v - new.v) <= 1e-9 AS same FROM old JOIN new ON old.composition IS NOT DISTINCT FROM new.composition AND old.metric = new.metric""")
+def _(spark, d):
+    t, r, path = tasks(spark, d), results(spark, d), tables.scratch(spark, "summary")
+    columns = ["composition", "expected", "completed", "valid_n", "mean_terminal"]
+    stale = r.join(t.where("composition = 'BUILDING' AND ord % 9 = 0").select("task_id"), "task_id", "anti")
+    evaluation.summary(t, stale, "task_id", "composition", ["terminal"]).select(*columns).write.parquet(path)
+    found = evaluation.consistency(spark.read.parquet(path), evaluation.summary(t, r, "task_id", "composition", ["terminal"]).select(*columns), ["composition"])
+    return found.withColumns({c: F.round(c, 9) for c in ("stored", "recomputed")})

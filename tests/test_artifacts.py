@@ -193,3 +193,11 @@ def test_stored_summaries_are_held_to_recomputed_ones(spark):
     new = spark.createDataFrame([("a", 1, 0.5 + 1e-12), (None, 2, 0.1)], "k string, n long, m double")
     found = {(r["k"], r["metric"]): r["same"] for r in evaluation.consistency(old, new, ["k"]).collect()}
     assert found == {("a", "n"): True, ("a", "m"): True, (None, "n"): True, (None, "m"): False, ("gone", "n"): False, ("gone", "m"): False}
+
+
+def test_visible_options_of_aspects_without_an_answer(spark):
+    from tracksmith.operators import rollouts
+
+    rows = [(1, 0, "search", "hotel", "H1, H2 xF9 and F3; F3"), (1, 1, "action", "ask", "R1"), (1, 2, "search", "flight", "F3 A4"), (1, 3, "answer", "H7", "ok"), (2, 0, "search", None, None)]
+    found = rollouts.visible_options(spark.createDataFrame(rows, "k long, turn long, choice string, content string, feedback string"), "k", "turn", "choice", "content", "feedback")
+    assert sorted(map(tuple, found.collect())) == [(1, "A4", "apartment", 2), (1, "F3", "flight", 0)]

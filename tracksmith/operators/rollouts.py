@@ -167,6 +167,18 @@ def open_options(turns: DataFrame, key: str, aspect: str, visible: Column, answe
     return s.select(key, F.array_sort(F.array_except("v", "a")).alias("options"))
 
 
+def visible_options(turns: DataFrame, key: str, turn: str, choice: str, content: str, feedback: str) -> DataFrame:
+    """(key, option, aspect, first_turn): option ids that searches have shown, of aspects that no answer named.
+
+    The aspect of an option is its letter's; ids stand free of other letters and digits, and each counts once.
+    """
+    found = lambda c: expr.option_ids(F.coalesce(c, F.lit("")))
+    shown = turns.where(F.col(choice) == "search").select(key, turn, F.explode(found(F.col(feedback))).alias("option"))
+    shown = shown.groupBy(key, "option").agg(F.min(turn).alias("first_turn")).withColumn("aspect", expr.option_aspect(F.col("option")))
+    answered = turns.where(F.col(choice) == "answer").select(key, F.explode(found(F.col(content))).alias("option")).select(key, expr.option_aspect(F.col("option")).alias("aspect")).distinct()
+    return shown.join(answered, [key, "aspect"], "anti").select(key, "option", "aspect", "first_turn")
+
+
 def stop_reason(called: Column) -> Column:
     """Why the actor stopped: its last message had no call, or it chose to."""
     return F.when(~expr.is_true(called), "no_tool_output").otherwise("actor_stopped")

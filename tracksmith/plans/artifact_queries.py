@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracksmith.operators import contexts, control, digests, evaluation, public_control
-from tracksmith.plans.bind import RESULTS, TASKS, read, results, tasks, turns
+from tracksmith.operators import contexts, control, digests, evaluation, public_control, rollouts
+from tracksmith.plans.bind import RESULTS, TASKS, TURNS, read, results, tasks
 from tracksmith.plans.splits_queries import query
 from tracksmith.plans.trajectory_queries import SIGNED, signed, talk
 from tracksmith.sources import tables
@@ -69,6 +69,13 @@ def _(spark, d):
     return public_control.live(talk(spark, d).select("trajectory", F.col("turn").alias("at"), kind.alias("kind"), "choice", "content", "feedback", F.lit(None).cast("string").alias("aspect"), "message"))
 
 
+@query("x_11_options", f"""WITH {TURNS}, t AS (SELECT trajectory * 1000 + turn // 8 AS trajectory, turn, choice, outcome, bucket FROM turns), s AS (SELECT trajectory, unnest(['H1', 'H2', 'H3', 'F1', 'F2']) AS option, first_turn FROM (SELECT trajectory, min(turn) AS first_turn FROM t WHERE choice = 'search' AND outcome = 'normal' GROUP BY 1)), a AS (SELECT DISTINCT trajectory, CASE WHEN abs(bucket) % 2 = 0 THEN 'H' ELSE 'F' END AS l FROM t WHERE choice = 'answer' AND bucket >= 0)
+  SELECT trajectory, option, CASE option[1] WHEN 'H' THEN 'hotel' ELSE 'flight' END AS aspect, first_turn FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.trajectory = s.trajectory AND l = option[1])""")
+def _(spark, d):
+    eights = talk(spark, d).withColumn("trajectory", F.expr("trajectory * 1000 + turn DIV 8"))  # eight turns in a row are a session
+    return rollouts.visible_options(eights, "trajectory", "turn", "choice", "content", "feedback")
+
+
 # Token examples: a stand-in tokeniser, a number a word.
 
 _IDS = "list_transform(list_filter(string_split({}, ' '), lambda x: x <> ''), lambda x: 1000 * unicode(x) + length(x))"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracksmith.operators import invariants
-from tracksmith.plans.bind import read
+from tracksmith.operators import invariants, notes
+from tracksmith.plans.bind import TURNS, read, turns
 from tracksmith.plans.splits_queries import query
 
 # Results: an order is a result, its line numbers are aspects; 26 of 31 keep their figures, with one fault each. Both dialects read these texts.
@@ -66,3 +66,46 @@ _BROKEN = ", ".join(f"CASE WHEN NOT coalesce({good}, false) THEN {{'problem': '{
 def _(spark, d):
     found = invariants.result_problems(stored(spark, d), ["k"])
     return found.withColumns({c: F.round(c, 7) for c in ("stored", "derived")})
+
+
+# Notes: after each turn of eight comes a note on a state made from the event's columns; every sixth refuses the call first.
+
+_P = "CASE event_id % 11 WHEN 0 THEN 'ELICITING' WHEN 1 THEN 'SEARCH_REQUIRED' WHEN 2 THEN 'SEARCH_RETRY_REQUIRED' WHEN 3 THEN 'ANSWER_REQUIRED' WHEN 4 THEN 'SWITCH_ASPECT_REQUIRED' WHEN 5 THEN 'ANSWERED' WHEN 6 THEN 'SEARCH_REQUIRED' WHEN 7 THEN 'ANSWER_REQUIRED' WHEN 8 THEN 'SWITCH_ASPECT_REQUIRED' ELSE 'ELICITING' END"
+_STATE = f"""{TURNS}, st AS (SELECT trajectory * 1000 + turn // 8 AS trajectory, turn, choice, event_id, CASE WHEN event_id % 13 <> 0 THEN aspect END AS aspect, {_P} AS phase, event_id % 17 = 0 AS done, event_id % 2 = 0 AS blocked, event_id % 4 AS f,
+  CASE WHEN event_id % 3 = 0 THEN 'H10,H' || bucket END AS ids, CASE WHEN event_id % 5 = 0 THEN 'old' END AS prior FROM turns), notes AS (SELECT *, 'Public control | Current public aspect: ' || coalesce(aspect, 'none') || ' | Current control state: ' || phase
+  || ' | Current aspect fallback count: ' || CASE WHEN aspect IS NULL THEN 0 ELSE f END || ' | Current visible option IDs: ' || CASE WHEN aspect IS NULL OR ids IS NULL THEN 'none' WHEN ids < 'H10,H10' THEN array_to_string(list_sort(string_split(ids, ',')), ',') ELSE ids END
+  || ' | Allowed next tool calls: ' || CASE WHEN done THEN 'none' WHEN aspect IS NULL THEN 'action' WHEN phase = 'ELICITING' THEN 'action, search, answer (visible ID only)' WHEN phase = 'SEARCH_REQUIRED' THEN 'search' WHEN phase = 'SEARCH_RETRY_REQUIRED' THEN 'search (revised query)' WHEN phase = 'ANSWER_REQUIRED' THEN 'answer (one visible option ID)'
+     WHEN phase = 'ANSWERED' THEN 'none for this aspect' ELSE 'none for this aspect; next public aspect only' END
+  || CASE WHEN prior IS NULL THEN '' ELSE chr(10) || 'Transition: SWITCH_ASPECT_REQUIRED | Previous public aspect: old is ' || CASE WHEN f > 1 THEN 'BLOCKED' ELSE 'ANSWERED' END || '; do not call that aspect again. Continue only with current public aspect: ' || coalesce(aspect, 'none') || '.' END
+  || CASE WHEN NOT done AND phase = 'ELICITING' AND aspect IS NULL THEN '' ELSE chr(10) || 'Constraint: ' || CASE WHEN done THEN 'Do not issue another tool call or fabricate completion.' WHEN phase = 'ELICITING' THEN 'Ask only for a missing preference visible in the conversation; do not repeat an answered or declined preference.'
+     WHEN phase = 'SEARCH_REQUIRED' THEN 'Do not call action; search using information already visible in the conversation.' WHEN phase = 'SEARCH_RETRY_REQUIRED' THEN 'Rewrite the query materially once; do not repeat the previous query.' WHEN phase = 'ANSWER_REQUIRED' THEN 'Answer with exactly one ID from the visible option list; do not search or call action.'
+     WHEN phase = 'ANSWERED' THEN 'This aspect is answered; do not call a tool for it again.' WHEN blocked THEN 'The current aspect is blocked; do not search or answer it, and do not fabricate an answer.' ELSE 'The current aspect is terminal; do not call it again; continue with the next public aspect.' END END AS note FROM st)"""
+
+
+def noted(spark, d):
+    """(trajectory, turn, choice, event_id, note): eight turns in a row are a session."""
+    t, e = turns(spark, d), F.col("event_id")
+    phase = F.expr(_P)
+    ids = F.when(e % 3 == 0, F.array(F.lit("H10"), F.concat(F.lit("H"), F.col("bucket").cast("string"))))
+    note = notes.render(F.when(e % 13 != 0, F.col("aspect")), phase, e % 4, ids, e % 17 == 0, e % 2 == 0, F.when(e % 5 == 0, "old"), F.when(e % 4 > 1, "blocked").otherwise("answered"))
+    return t.select(F.expr("trajectory * 1000 + turn DIV 8").alias("trajectory"), "turn", "choice", "event_id", note.alias("note"))
+
+
+@query("t_25_notes", f"WITH {_STATE} SELECT trajectory, turn, note FROM notes")
+def _(spark, d):
+    return noted(spark, d).select("trajectory", "turn", "note")
+
+
+@query("f_14_notes", f"""WITH {_STATE}, m AS (SELECT trajectory, 2 * turn AS turn, choice, NULL AS note, false AS refused, NULL AS phase, NULL AS blocked, false AS switched FROM notes UNION ALL
+  SELECT trajectory, 2 * turn + 1, NULL, note, event_id % 6 = 0, phase, CASE WHEN phase = 'SWITCH_ASPECT_REQUIRED' AND ((f >= 2 AND aspect IS NOT NULL) OR (blocked AND NOT done)) THEN coalesce(aspect, 'none') END, prior IS NOT NULL FROM notes),
+  o AS (SELECT *, coalesce(last_value(phase IGNORE NULLS) OVER (PARTITION BY trajectory ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'ELICITING') AS p, coalesce(lead(refused) OVER (PARTITION BY trajectory ORDER BY turn), false) AS bad FROM m),
+  c AS (SELECT trajectory, count(*) FILTER (p = 'SEARCH_REQUIRED' AND choice = 'search' AND NOT bad) AS search_required_successes, count(*) FILTER (p = 'SEARCH_REQUIRED' AND choice IS NOT NULL) AS search_required_opportunities, count(*) FILTER (p = 'SEARCH_RETRY_REQUIRED' AND choice = 'search' AND NOT bad) AS retry_search_successes,
+  count(*) FILTER (p = 'SEARCH_RETRY_REQUIRED' AND choice IS NOT NULL) AS retry_search_opportunities, count(*) FILTER (p = 'ANSWER_REQUIRED' AND choice = 'answer' AND NOT bad) AS candidate_answer_successes, count(*) FILTER (p = 'ANSWER_REQUIRED' AND choice IS NOT NULL) AS candidate_answer_opportunities,
+  count(*) FILTER (switched) AS aspect_switch_successes, count(*) FILTER (switched) AS aspect_switch_opportunities, count(DISTINCT blocked) AS blocked_aspects FROM o GROUP BY 1)
+  SELECT *, CASE WHEN search_required_opportunities + retry_search_opportunities + candidate_answer_opportunities + aspect_switch_opportunities = 0 THEN 1 ELSE (search_required_successes + retry_search_successes + candidate_answer_successes + aspect_switch_successes) / (search_required_opportunities + retry_search_opportunities + candidate_answer_opportunities + aspect_switch_opportunities) END AS score FROM c""")
+def _(spark, d):
+    n = noted(spark, d)
+    refusal = F.when(F.col("event_id") % 6 == 0, "Public Control rejected this call.\n").otherwise("")
+    calls = n.select("trajectory", (2 * F.col("turn")).alias("turn"), F.lit("assistant").alias("role"), "choice", F.lit(None).cast("string").alias("text"))
+    answers = n.select("trajectory", (2 * F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.lit(None).cast("string").alias("choice"), F.concat(refusal, "note").alias("text"))
+    return notes.metrics(calls.unionByName(answers), "trajectory", "turn", "role", "choice", "text")

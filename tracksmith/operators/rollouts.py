@@ -18,6 +18,13 @@ PROFILES = {"validation": (0.0, 1.0), "training": (0.7, 0.9)}
 # Quality of the best, another correct and a wrong answer.
 BEST, CORRECT, WRONG = 1.0, 0.8, 0.0
 
+# How the environment says that its judge, its reply or its search fell back: in notes, in feedback, in printed output.
+JUDGE_FAILED = "Judging of agent's latest utterance failed"
+REPLY_FAILED = "Responding system met some issues"
+REPLY_UNSURE = "not sure how to respond to your latest utterance"
+SEARCH_FAILED = "searching backend is experiencing some issues"
+PRINTED = {"judgment_fallbacks": "By default turn to normal conversation", "search_fallbacks": "By default will return N/A"}
+
 
 def _in_order(turn: str, *columns: str) -> Column:
     """An aggregate: the rows' structs in order of turn."""
@@ -121,6 +128,33 @@ def fallback_counts(rows: DataFrame, key: str, any_fallback: Column, in_search:
     return rows.groupBy(key).agg(F.count_if(any_fallback).alias("fallbacks"), F.count_if(in_search).alias("search_fallbacks"))
 
 
+def feedback_fallbacks(feedback: Column, note: Column) -> list[Column]:
+    """Of a step: 1 if the judge, the reply or the search fell back, by the feedback and the note on the actor's last message.
+
+    A null text is empty.
+    """
+    f, n = F.coalesce(feedback, F.lit("")), F.coalesce(note, F.lit(""))
+    marks = {"judgment_fallbacks": n.startswith(JUDGE_FAILED), "response_fallbacks": n.startswith(REPLY_FAILED) | F.contains(f, F.lit(REPLY_UNSURE)), "search_fallbacks": F.contains(f, F.lit(SEARCH_FAILED))}
+    return [c.cast("int").alias(name) for name, c in marks.items()]
+
+
+def output_fallbacks(output: Column) -> list[Column]:
+    """Of printed output: how often the judge and the search said that they fell back."""
+    times = lambda phrase: F.coalesce(F.regexp_count(output, F.lit("\\Q" + phrase + "\\E")), F.lit(0))
+    return [times(phrase).alias(name) for name, phrase in PRINTED.items()]
+
+
+def step_fallbacks(messages: DataFrame, key: str, turn: str, role: str, note: str, feedback: str, actor: str = "agent") -> DataFrame:
+    """(key, steps, judgment_fallbacks, response_fallbacks, search_fallbacks): sums over the rows with feedback.
+
+    The note is that of the actor's latest message up to the row, also where it is null.
+    """
+    w = Window.partitionBy(key).orderBy(turn)
+    latest = F.last(F.when(F.col(role) == actor, F.struct(F.col(note).alias("n"))), ignorenulls=True).over(w)
+    steps = messages.withColumn("__note", latest["n"]).where(F.col(feedback).isNotNull()).select(key, *feedback_fallbacks(F.col(feedback), F.col("__note")))
+    return steps.groupBy(key).agg(F.count("*").alias("steps"), *[F.sum(c).alias(c) for c in ("judgment_fallbacks", "response_fallbacks", "search_fallbacks")])
+
+
 # Turns
 
 def turn_flags(turns: DataFrame, key: str, turn: str, state: str, value: str) -> DataFrame:
@@ -135,6 +169,15 @@ def terminated(chosen: Column, aspects: Column, steps: Column, most: int = 20) -
     return (chosen == aspects) | (steps > most)
 
 
+def one_choice_terminated(ended: Column, one_choice: Column, aspects: Column, chosen: Column) -> Column:
+    """Whether an episode is over where a step may leave out the check of one choice an aspect: ended, or as many chosen as aspects.
+
+    aspects, chosen: arrays; where one of them is null or no aspect is there, the step's own word holds.
+    """
+    full = (F.size(aspects) > 0) & (F.size(chosen) >= F.size(aspects)) & aspects.isNotNull() & chosen.isNotNull()
+    return expr.is_true(ended) | (expr.is_true(one_choice) & expr.is_true(full))
+
+
 def answer_score(answer: Column, best: Column, correct: Column) -> Column:
     """BEST, CORRECT or WRONG; correct: an array."""
     return F.when(answer == best, BEST).when(F.array_contains(correct, answer), CORRECT).otherwise(WRONG)
@@ -234,6 +277,31 @@ def teacher_summary(rows: DataFrame, accepted: Column, gold: Column) -> DataFram
     return r.withColumn("rate", expr.ratio(F.col("accepted"), F.col("attempted")))
 
 
+def teacher_run(attempts: DataFrame, task: str) -> DataFrame:
+    """(kind, name, n) of a run of the teacher: `total` rows, and counters of `rejection` and `generation` reasons and of `usage`.
+
+    Columns: accepted, tier (of the accepted attempt), rejections, diagnostics (arrays of reasons; a null reason is `unknown`), steps,
+    requests, usage (map). A task is accepted if one of its attempts is, with the
+    best tier of those (gold before silver); requests that were not recorded are estimated as
+    steps and diagnostics. The rate is not here, as n counts: see teacher_summary(). Three small aggregations, one shuffle by task.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    said = F.coalesce(F.size("diagnostics"), F.lit(0))
+    own = F.greatest(said, F.lit(0))
+    asked = request_estimate(F.col("requests").cast("long"), known("steps"), own.cast("long"), F.lit(0).cast("long"))
+    good = expr.is_true(F.col("accepted"))
+    per = attempts.groupBy(task).agg(F.count("*").alias("attempts"), F.max(good).alias("ok"), F.min(F.when(good, F.col("tier"))).alias("tier"), F.sum(known("steps")).alias("steps"), F.sum(asked).alias("requests"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    totals = per.agg(
+        F.count("*").alias("tasks"), F.count_if("ok").alias("accepted"), F.count_if(F.col("ok") & (F.col("tier") == "gold")).alias("gold"), F.count_if(F.col("ok") & (F.col("tier") == "silver")).alias("silver"), F.count_if(~F.col("ok")).alias("rejected"),
+        zero(F.sum("attempts")).alias("attempts"), zero(F.sum("steps")).alias("environment_steps"), zero(F.sum("requests")).alias("teacher_requests"))
+    rows = totals.unpivot([], totals.columns, "name", "n").select(F.lit("total").alias("kind"), "name", "n")
+    for kind, column in (("rejection", "rejections"), ("generation", "diagnostics")):
+        rows = rows.unionByName(attempts.select(F.explode(column).alias("x")).groupBy(F.coalesce("x", F.lit("unknown")).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n"))
+    used = attempts.select(F.explode("usage").alias("name", "v")).groupBy("name").agg(zero(F.sum("v")).alias("n"))
+    return rows.unionByName(used.select(F.lit("usage").alias("kind"), "name", "n"))
+
+
 def counts_by(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows by each of the columns alone, the others null: one pass over the rows."""
     return rows.groupingSets([[c] for c in columns], *columns).agg(F.count("*").alias("n"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracksmith.operators import invariants, notes
-from tracksmith.plans.bind import TURNS, read, turns
+from tracksmith.operators import invariants, notes, pools, rollouts
+from tracksmith.plans.bind import TASKS, TURNS, read, tasks, turns
 from tracksmith.plans.splits_queries import query
 
 # Results: an order is a result, its line numbers are aspects; 26 of 31 keep their figures, with one fault each. Both dialects read these texts.
@@ -109,3 +109,108 @@ def _(spark, d):
     calls = n.select("trajectory", (2 * F.col("turn")).alias("turn"), F.lit("assistant").alias("role"), "choice", F.lit(None).cast("string").alias("text"))
     answers = n.select("trajectory", (2 * F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.lit(None).cast("string").alias("choice"), F.concat(refusal, "note").alias("text"))
     return notes.metrics(calls.unionByName(answers), "trajectory", "turn", "role", "choice", "text")
+
+
+# A run of the teacher: an order is an attempt at its customer's task.
+
+_ATTEMPT = {
+    "accepted": "k % 5 = 0", "tier": "CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 THEN 'gold' ELSE 'silver' END END", "steps": "CASE WHEN k % 13 <> 0 THEN k % 9 END", "requests": "CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN k % 20 WHEN 2 THEN NULL ELSE 7 END",
+    "r1": "CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'fallback' ELSE 'repeat' END END", "r2": "CASE WHEN k % 7 = 1 THEN 'ambiguous' END", "g1": "CASE WHEN k % 6 < 2 THEN 'teacher_protocol_retry' END", "g2": "CASE WHEN k % 10 = 3 THEN 'malformed' END", "tokens": "k % 100",
+}
+
+
+@query("a_16_run", f"""WITH a AS (SELECT o_orderkey AS k, o_custkey AS task FROM orders), b AS (SELECT task, {', '.join(f'{e} AS {c}' for c, e in _ATTEMPT.items())}, k % 17 = 0 AS hidden FROM a),
+  p AS (SELECT *, coalesce(nullif(requests, 0), coalesce(steps, 0) + (g1 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT + hidden::INT) AS asked FROM b), t AS (SELECT task, bool_or(accepted) AS ok, min(tier) FILTER (accepted) AS tier, count(*) AS attempts, sum(coalesce(steps, 0)) AS steps, sum(asked) AS requests FROM p GROUP BY 1),
+  n AS (SELECT count(*) AS tasks, count(*) FILTER (ok) AS accepted, count(*) FILTER (ok AND tier = 'gold') AS gold, count(*) FILTER (ok AND tier = 'silver') AS silver, count(*) FILTER (NOT ok) AS rejected, sum(attempts)::BIGINT AS attempts, sum(steps)::BIGINT AS environment_steps, sum(requests)::BIGINT AS teacher_requests FROM t)
+  SELECT 'total' AS kind, name, n FROM (UNPIVOT n ON COLUMNS(*) INTO NAME name VALUE n) UNION ALL SELECT 'rejection', x, count(*) FROM (SELECT r1 AS x FROM b UNION ALL SELECT r2 FROM b) WHERE x IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'generation', x, count(*) FROM (SELECT g1 AS x FROM b UNION ALL SELECT g2 FROM b UNION ALL SELECT 'unknown' FROM b WHERE hidden) WHERE x IS NOT NULL GROUP BY 2 UNION ALL SELECT 'usage', 'input', sum(tokens)::BIGINT FROM b UNION ALL SELECT 'usage', 'output', sum(2 * tokens)::BIGINT FROM b WHERE tokens % 2 = 0""")
+def _(spark, d):
+    a = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("task"))
+    a = a.selectExpr("*", *[f"{e} AS {c}" for c, e in _ATTEMPT.items()])
+    hidden = F.when(F.col("k") % 17 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    usage = F.when(F.col("tokens") % 2 == 0, F.create_map(F.lit("input"), F.col("tokens"), F.lit("output"), 2 * F.col("tokens"))).otherwise(F.create_map(F.lit("input"), F.col("tokens")))
+    a = a.withColumns({"rejections": F.array_compact(F.array("r1", "r2")), "diagnostics": F.concat(F.array_compact(F.array("g1", "g2")), hidden), "usage": usage})
+    return rollouts.teacher_run(a, "task")
+
+
+# Sources and pools: an order is a row, its line numbers are its scenario's aspects.
+
+_BEST = "CASE WHEN l_orderkey % 23 = 9 AND l_linenumber % 2 = 1 THEN NULL ELSE 'H' || min(l_partkey) END"
+
+
+@query("v_3_sources", f"""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS i, {_BEST} AS best FROM lineitem WHERE l_orderkey % 37 <> 0 GROUP BY 1, 2), s AS (SELECT k, count(*) AS n, count(best) AS known, list(best ORDER BY i DESC) FILTER (best IS NOT NULL) AS ids FROM lines GROUP BY 1),
+  r AS (SELECT o_orderkey AS k, n, known, ids, o_orderkey % 23 AS f FROM orders LEFT JOIN s ON s.k = o_orderkey), p AS (SELECT k, unnest(list_filter([CASE WHEN f = 1 THEN 'other_ability' END, CASE WHEN f = 2 THEN 'other_style' END, CASE WHEN f IN (3, 4, 5) THEN 'roles' END, CASE WHEN f = 6 THEN 'content_missing' END,
+  CASE WHEN f = 7 THEN 'no_task_id' END, CASE WHEN f = 8 THEN 'other_split' END, CASE WHEN f = 14 THEN 'tool_task_id' END, CASE WHEN n IS NULL AND f <> 7 THEN 'no_scenario' END, CASE WHEN f <> 7 AND n > known THEN 'best_id_missing' END, CASE WHEN f IN (10, 13) THEN 'ground_truth_no_list' END,
+  CASE WHEN f <> 7 AND n = known AND (f = 11 OR (f = 12 AND (n <> 2 OR ids[1] <> ids[2]))) THEN 'ground_truth_differs' END, CASE WHEN f = 15 AND n IS NOT NULL THEN 'no_difficulty' END], lambda x: x IS NOT NULL)) AS problem FROM r) SELECT k, problem FROM p""")
+def _(spark, d):
+    lines = read(spark, d, "lineitem").where("l_orderkey % 37 <> 0").groupBy("l_orderkey", "l_linenumber").agg(F.expr(_BEST.replace("l_orderkey %", "any_value(l_orderkey) %").replace("l_linenumber %", "any_value(l_linenumber) %")).alias("best"))
+    known = pools.scenarios(lines.withColumn("aspect", F.concat(F.lit("a"), F.col("l_linenumber").cast("string"))), "l_orderkey", "aspect", "best")
+    k, f = F.col("o_orderkey"), F.col("o_orderkey") % 23
+    quoted = F.concat(F.lit("['"), F.array_join("best_ids", "', '"), F.lit("']"))
+    more = F.concat(F.lit("['more', '"), F.array_join("best_ids", "', '"), F.lit("']"))
+    twice = F.concat(F.lit("['"), F.get("best_ids", F.lit(0)), F.lit("', '"), F.get("best_ids", F.lit(0)), F.lit("']"))
+    truth = F.when(f == 10, F.lit("['H1', 'H2'")).when(f == 13, F.lit("[1, 'H2']")).when(F.col("best_ids").isNull() | (F.size("best_ids") == 0), F.lit("[]")).when(f == 11, more).when(f == 12, twice).otherwise(quoted)
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    system, user = message("system", F.lit("s")), message("user", F.when(f != 6, F.lit("u")))
+    prompt = F.when(f == 3, F.array(user, system)).when(f == 4, F.array(system, user, user)).when(f != 5, F.array(system, user))
+    sources = read(spark, d, "orders").join(known, k == F.col("l_orderkey"), "left").select(
+        k.alias("k"), prompt.alias("prompt"), F.when(f != 7, k.cast("string")).alias("task_id"), F.when(f == 14, "other").when(f != 7, k.cast("string")).alias("tool_task_id"), F.when(f == 8, "test").otherwise("train").alias("split"), truth.alias("ground_truth"),
+        F.when(f != 1, "interaction").otherwise("x").alias("ability"), F.when(f != 2, "rule").alias("style"))
+    scenarios = known.select(F.col("l_orderkey").cast("string").alias("task_id"), "aspects", "best_ids", F.when(F.col("l_orderkey") % 23 != 15, "hard").otherwise("").alias("difficulty"))
+    return pools.source_problems(sources, scenarios, "k", {"ability": "interaction", "style": "rule"}, "train")
+
+
+_POOL = {"id": "CASE k % 29 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'twin' || CAST(k % 7 AS VARCHAR(20)) ELSE CAST(k AS VARCHAR(20)) END", "composition": "CASE WHEN k % 11 = 0 THEN NULL ELSE '22' END", "difficulty": "CASE WHEN k % 13 = 0 THEN '' ELSE 'hard' END", "source": "CASE k % 17 WHEN 0 THEN 'test' WHEN 1 THEN NULL ELSE 'train' END"}
+
+
+@query("x_12_pool", f"""WITH o AS (SELECT o_orderkey AS k FROM orders), p AS (SELECT k, {', '.join(f'{e} AS {c}' for c, e in _POOL.items())} FROM o), q AS (SELECT id, unnest(list_filter([CASE WHEN coalesce(id, '') = '' THEN 'no_id' END, CASE WHEN k % 19 = 0 THEN 'roles' END, CASE WHEN composition IS NULL THEN 'no_composition' END,
+  CASE WHEN difficulty = '' THEN 'no_difficulty' END, CASE WHEN source IS NULL THEN 'no_source' END, CASE WHEN source = 'test' THEN 'other_split' END], lambda x: x IS NOT NULL)) AS problem FROM p) SELECT id, problem, count(*) AS n FROM q GROUP BY 1, 2 UNION ALL SELECT id, 'repeated_id', count(*) FROM p WHERE id <> '' GROUP BY 1 HAVING count(*) > 1""")
+def _(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("*", *[f"{e} AS {c}" for c, e in _POOL.items()])
+    roles = F.when(F.col("k") % 19 == 0, F.array(F.lit("user"))).otherwise(F.array(F.lit("system"), F.lit("user")))
+    return pools.pool_problems(rows.withColumn("prompt", F.transform(roles, lambda r: F.struct(r.alias("role")))), "id", "prompt", ["composition", "difficulty"], "source", "train")
+
+
+@query("x_13_subset", f"""WITH {TASKS}, d AS (SELECT *, CASE WHEN ord % 50 = 1 THEN '0' ELSE task_id END AS d_id FROM tasks WHERE ord % 47 <> 5), e AS (SELECT ord, task_id AS id, CASE WHEN ord % 41 = 3 THEN 'other' ELSE composition END AS s FROM tasks),
+  q AS (SELECT composition, count(*) + (composition = 'BUILDING')::INT AS quota FROM tasks GROUP BY 1), c AS (SELECT composition, count(*) AS n FROM d GROUP BY 1)
+  SELECT 'id' AS problem, ord::VARCHAR AS place, id AS stated, d_id AS found FROM e LEFT JOIN d USING (ord) WHERE id IS DISTINCT FROM d_id UNION ALL SELECT 'stratum', ord::VARCHAR, s, composition FROM e LEFT JOIN d USING (ord) WHERE s IS DISTINCT FROM composition
+  UNION ALL SELECT 'repeated_id', d_id, '1', count(*)::VARCHAR FROM d GROUP BY d_id HAVING count(*) > 1 UNION ALL SELECT 'quota', composition, quota::VARCHAR, n::VARCHAR FROM q JOIN c USING (composition) WHERE quota <> n
+  UNION ALL SELECT 'selected_task_count', NULL, (SELECT count(*) FROM tasks)::VARCHAR, (SELECT count(*) FROM d)::VARCHAR UNION ALL SELECT 'source_task_count', NULL, '471', '470'""")
+def _(spark, d):
+    t = tasks(spark, d)
+    entries = t.select("ord", F.col("task_id").alias("id"), F.when(F.col("ord") % 41 == 3, "other").otherwise(F.col("composition")).alias("stratum"))
+    quotas = t.groupBy(F.col("composition").alias("stratum")).agg((F.count("*") + F.when(F.col("stratum") == "BUILDING", 1).otherwise(0)).alias("quota"))
+    changed = t.where("ord % 47 <> 5").withColumn("task_id", F.when(F.col("ord") % 50 == 1, "0").otherwise(F.col("task_id")))
+    header = {"schema_version": "subset-v1", "source_task_count": 470, "selected_task_count": t.count()}
+    return pools.subset_problems(changed, entries, quotas, header, {"schema_version": "subset-v1", "source_task_count": 471}, "ord", "task_id", "composition")
+
+
+# Fallbacks by text, and episodes whose last step leaves out the check of one choice.
+
+_SAID = {
+    "note": f"CASE event_id % 9 WHEN 0 THEN 'Judging of agent''s latest utterance failed: x' WHEN 1 THEN 'Responding system met some issues' WHEN 2 THEN 'so: Responding system met some issues' WHEN 3 THEN NULL ELSE 'fine' END",
+    "feedback": "CASE event_id % 8 WHEN 0 THEN 'I am not sure how to respond to your latest utterance.' WHEN 1 THEN 'The searching backend is experiencing some issues' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'ok' END",
+    "output": "repeat('By default will return N/A', event_id % 3) || CASE WHEN event_id % 5 = 0 THEN 'By default turn to normal conversation' ELSE '' END",
+}
+
+
+@query("t_23_texts", f"""WITH {TURNS}, s AS (SELECT trajectory, turn, choice, event_id, {', '.join(f'{e} AS {c}' for c, e in _SAID.items())} FROM turns), l AS (SELECT *, max(CASE WHEN choice <> 'action' THEN turn END) OVER (PARTITION BY trajectory ORDER BY turn) AS at FROM s),
+  j AS (SELECT l.trajectory, l.feedback, s.note FROM l LEFT JOIN s ON s.trajectory = l.trajectory AND s.turn = l.at WHERE l.feedback IS NOT NULL)
+  SELECT trajectory, count(*) AS steps, count(*) FILTER (note LIKE 'Judging%') AS judgment_fallbacks, count(*) FILTER (note LIKE 'Responding%' OR feedback LIKE '%not sure%') AS response_fallbacks, count(*) FILTER (feedback LIKE '%backend%') AS search_fallbacks FROM j GROUP BY 1""")
+def _(spark, d):
+    said = turns(spark, d).selectExpr("trajectory", "turn", "CASE WHEN choice <> 'action' THEN 'agent' ELSE 'env' END AS role", *[f"{e.replace(chr(39) * 2 + 's', chr(92) + chr(39) + 's')} AS {c}" for c, e in _SAID.items()])
+    return rollouts.step_fallbacks(said, "trajectory", "turn", "role", "note", "feedback")
+
+
+@query("t_23_output", "SELECT event_id, event_id % 3 AS search_fallbacks, (event_id % 5 = 0)::INT AS judgment_fallbacks FROM events")
+def _(spark, d):
+    said = read(spark, d, "events").selectExpr("event_id", f"{_SAID['output'].replace('event_id % 3', 'CAST(event_id % 3 AS INT)')} AS output")
+    return said.select("event_id", *rollouts.output_fallbacks(F.col("output")))
+
+
+@query("f_16_choices", "WITH c AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n, count(DISTINCT CASE WHEN l_quantity > 20 THEN l_linenumber END) AS m FROM lineitem GROUP BY 1) SELECT k, k % 11 = 0 OR (k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND m >= n) AS terminated FROM c")
+def _(spark, d):
+    held = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_linenumber").alias("aspects"), F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_linenumber"))).alias("chosen"))
+    k = F.col("k")
+    aspects = F.when(k % 5 != 0, F.when(k % 7 == 0, F.array().cast("array<int>")).otherwise(F.col("aspects")))
+    return held.select("k", rollouts.one_choice_terminated(F.when(k % 2 == 0, k % 11 == 0).when(k % 11 == 0, True), k % 3 != 0, aspects, F.col("chosen")).alias("terminated"))

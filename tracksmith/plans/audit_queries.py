@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracksmith.operators import invariants, notes, pools, rollouts
+from tracksmith.operators import events, invariants, notes, pools, rollouts
 from tracksmith.plans.bind import TASKS, TURNS, read, tasks, turns
 from tracksmith.plans.splits_queries import query
 
@@ -214,3 +215,48 @@ def _(spark, d):
     k = F.col("k")
     aspects = F.when(k % 5 != 0, F.when(k % 7 == 0, F.array().cast("array<int>")).otherwise(F.col("aspects")))
     return held.select("k", rollouts.one_choice_terminated(F.when(k % 2 == 0, k % 11 == 0).when(k % 11 == 0, True), k % 3 != 0, aspects, F.col("chosen")).alias("terminated"))
+
+
+# Turn events: cumulative counters and texts made from an event's columns; a quarter of the calls is refused.
+
+_TURN = {
+    "category": "CASE event_id % 16 WHEN 0 THEN 'guard_rejection' WHEN 4 THEN 'public_phase_guard' WHEN 8 THEN 'unknown_tool' WHEN 12 THEN 'no_tool_output' END",
+    "reason": "CASE event_id % 5 WHEN 0 THEN 'This  query was ALREADY attempted' WHEN 1 THEN 'Do not repeat the query' WHEN 2 THEN 'use the current public aspect only' WHEN 3 THEN 'Answer ID is not visible' END",
+    "content": "CASE event_id % 7 WHEN 0 THEN 'H1' WHEN 1 THEN ' H2 ,' WHEN 2 THEN 'H1, H2' WHEN 3 THEN NULL ELSE 'H9' END", "no_preference": "event_id % 6 = 1", "normal_search": "CASE WHEN event_id % 4 <> 3 THEN outcome = 'normal' END", "n_shown": "event_id % 3",
+    "phase_before": "CASE WHEN event_id % 2 = 0 THEN 'search_retry_required' ELSE 'eliciting' END", "aspect_before": "CASE WHEN event_id % 9 <> 0 THEN aspect END", "aspect_after": "CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 11 = 0 THEN 'other' ELSE aspect END END",
+}
+_GROWS = {"preferences": "outcome = 'progress'", "answers": "choice = 'answer'", "exact_repeats": "event_id % 7 = 2", "semantic_repeats": "event_id % 9 = 4", "infrastructure_errors": "event_id % 23 = 1", "wrong_answers": "choice = 'answer' AND event_id % 5 = 1"}
+
+
+@query("f_13_events", f"""WITH {TURNS}, s AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _TURN.items())}, count(*) FILTER (outcome = 'fallback') OVER (PARTITION BY trajectory, aspect ORDER BY turn) AS fallbacks FROM turns), m AS (SELECT *, category IS NULL AS made, CASE event_id % 7 WHEN 0 THEN 'H1' WHEN 1 THEN 'H2' WHEN 4 THEN 'H9' WHEN 5 THEN 'H9' WHEN 6 THEN 'H9' END AS id,
+  outcome = 'progress' OR (choice = 'action' AND no_preference) AS resolved, coalesce(normal_search, false) AND n_shown > 0 AS normal, outcome = 'fallback' AND category IS NULL AS fell FROM s)
+  SELECT trajectory, turn, made AND resolved AS field_resolved, made AND normal AS normal_candidates, made AND choice = 'answer' AND coalesce(id IN ('H1', 'H2'), false) AS answer_visible, fell AND fallbacks = 1 AS first_fallback, fell AND fallbacks >= 2 AS second_fallback, made AND normal AND event_id % 2 = 0 AS rewritten_retry,
+  made AND aspect_before IS NOT NULL AND aspect_after IS DISTINCT FROM aspect_before AS switched_aspect, made AND choice = 'action' AND NOT resolved AS no_progress_action, CASE WHEN made THEN event_id % 7 = 2 ELSE choice = 'search' AND event_id % 5 < 2 END AS exact_query_repeat, made AND event_id % 9 = 4 AS semantic_repeat,
+  made AND event_id % 23 = 1 AS infrastructure_failure, made AND choice = 'answer' AND coalesce(id = 'H1', false) AS correct_answer, made AND choice = 'answer' AND event_id % 5 = 1 AS wrong_answer, event_id % 16 IN (0, 4) AS guard_rejected, event_id % 16 = 8 AS malformed_tool_call, event_id % 16 = 12 AS no_tool_output,
+  NOT made AND choice IN ('search', 'answer') AND event_id % 5 = 2 AS wrong_aspect, NOT made AND choice = 'answer' AND event_id % 5 = 3 AS invisible_answer_id, (made AND outcome = 'progress')::BIGINT AS new_preferences FROM m""")
+def _(spark, d):
+    w = Window.partitionBy("trajectory").orderBy("turn")
+    t = turns(spark, d).selectExpr("*", *[f"{e} AS {c}" for c, e in _TURN.items()])
+    t = t.withColumns({c: F.count_if(F.expr(e)).over(w) for c, e in _GROWS.items()}).withColumn("search_fallbacks", F.count_if(F.col("outcome") == "fallback").over(Window.partitionBy("trajectory", "aspect").orderBy("turn")))
+    t = t.withColumns({"shown": F.slice(F.array(F.lit("H1"), F.lit("H2")), F.lit(1), F.col("n_shown").cast("int")), "visible": F.array(F.lit("H1"), F.lit("H2")), "correct_ids": F.array(F.lit("H1"))})
+    return events.turn_events(t, "trajectory", "turn")
+
+
+# Probes: an event is the call at a probe's place, the three before it are what the actor did before.
+
+_KIND = "CASE event_id % 5 WHEN 0 THEN 'normal_search_result' WHEN 1 THEN 'preference_complete' WHEN 2 THEN 'first_fallback' WHEN 3 THEN 'second_fallback' ELSE 'confused_history' END"
+_CALLED = "CASE choice WHEN 'answer' THEN CASE WHEN bucket < 3 THEN 'H' || bucket WHEN bucket < 5 THEN 'H1, H2' ELSE 'none' END ELSE CASE WHEN bucket % 2 = 0 THEN 'Search  hotels in ' ELSE 'search flight to ' END || CASE WHEN bucket < 4 THEN 'Rome' ELSE 'Oslo' END END"
+_NAMED = "(choice <> 'answer' AND bucket % 2 = {0})"
+
+
+@query("m_15_probes", f"""WITH {TURNS}, s AS (SELECT *, {_KIND} AS category, {_CALLED} AS content, event_id % 13 <> 0 AS ok FROM turns), b AS (SELECT *, list(choice || ':' || content) OVER w AS sigs, list(choice || ':' || content) FILTER (choice = 'search') OVER w AS q FROM s WINDOW w AS (PARTITION BY trajectory ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT *, choice || ':' || content AS sig, ok AND choice = 'search' AS search FROM b)
+  SELECT trajectory, turn, ok AS protocol_valid, event_id % 5 = 0 AND ok AND choice = 'answer' AS answer_at_1, event_id % 5 = 0 AND ok AND choice = 'answer' AND bucket IN (1, 2) AS visible_id_only, event_id % 5 = 1 AND search AS search_at_1, event_id % 5 = 1 AND search AS clean_search_at_1, event_id % 5 = 1 AND search AND bucket % 2 = 0 AS search_targets_current_aspect,
+  event_id % 5 = 2 AND search AND coalesce(len(q), 0) > 0 AND q[-1] <> sig AS changed_query, event_id % 5 = 2 AND search AND coalesce(list_contains(q, sig), false) AS exact_query_repeat, event_id % 5 = 3 AND ok AND {_NAMED.format(1)} AS switch_aspect, event_id % 5 = 3 AND search AND bucket % 2 = 0 AS same_aspect_search,
+  event_id % 5 = 4 AND ok AND coalesce(list_contains(sigs, sig), false) AS repeated_action, event_id % 5 = 4 AND search AND coalesce(list_contains(q, sig), false) AS repeated_search FROM m""")
+def _(spark, d):
+    w = Window.partitionBy("trajectory").orderBy("turn").rowsBetween(-3, -1)
+    t = turns(spark, d).selectExpr("trajectory", "turn", "event_id", "choice", f"{_KIND} AS category", f"{_CALLED} AS content")
+    t = t.withColumn("earlier", F.collect_list(F.struct("choice", "content")).over(w)).withColumn("choice", F.when(F.col("event_id") % 13 != 0, F.col("choice")))
+    aspects = {"current": F.lit("hotel"), "failed": F.when(F.col("event_id") % 2 == 0, "hotel"), "following": F.lit("flight"), "visible": F.array(F.lit("H1"), F.lit("H2"))}
+    return events.probe_flags(t.withColumns(aspects), ["trajectory", "turn"])

@@ -87,7 +87,7 @@ def _(spark, d):
     return transcripts.parse_call(e, "arguments").select("event_id", "call_choice", "call_content", "call_error")
 
 
-@query("t_4")
+@query("t_4", "SELECT event_id AS key, 0::BIGINT AS ord, 'search' AS choice, trim(event_type) AS content, trim(props) AS response FROM events")
 def _(spark, d):
     text = F.concat(F.lit("<tool_call><function=f><parameter=choice>search</parameter><parameter=content>"), F.col("event_type"), F.lit("</parameter></function></tool_call> .. <tool_response>"), F.col("props"), F.lit("</tool_response>"))
     return transcripts.parse_tagged(read(spark, d, "events").select("event_id", text.alias("text")), "event_id", "text")
@@ -151,7 +151,7 @@ def _(spark, d):
     return read(spark, d, "nation").groupBy("n_regionkey").agg(options.alias("o")).select("n_regionkey", transcripts.render_candidates("Options:", F.col("o")).alias("text"))
 
 
-@query("t_20")
+@query("t_20", r"SELECT item_id AS key, list_transform(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}]+'), lambda w: CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN w[:-2] ELSE w END) AS tokens FROM benchmark")
 def _(spark, d):
     return transcripts.alias_tokens(read(spark, d, "benchmark"), "item_id", "text")
 

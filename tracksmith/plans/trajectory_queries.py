@@ -254,7 +254,7 @@ def _(spark, d):
     return contracts.hidden_keys(read(spark, d, "events"), "props", ["referrer", "page", "k", "ref", "ab"]).select("event_id", "hidden")
 
 
-@query("v_11_deep")
+@query("v_11_deep", "SELECT event_id AS key, t.fullkey AS path FROM events, json_tree(props) AS t WHERE t.key IN ('referrer', 'page', 'k', 'ref', 'ab')")
 def _(spark, d):
     return contracts.hidden_paths(read(spark, d, "events"), "event_id", "props", ["referrer", "page", "k", "ref", "ab"])
 

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tracksmith.operators import invariants, notes, pools, rollouts
+from tracksmith.operators import events, invariants, notes, pools, rollouts
+from tracksmith.sources import tables
 
 PHASE = "struct<successes:long,opportunities:long,rate:double>"
 COUNTS = "guard_rejections invalid_actions exact_repeats semantic_repeats blocked_aspects ambiguous_actions unsearched_answers wrong_answers".split()
@@ -146,3 +147,70 @@ def test_fallback_texts_and_endings(spark):
     assert [tuple(r) for r in out.collect()] == [(0, 2), (0, 0)]
     ends = spark.createDataFrame([(True, False, None, None), (None, True, ["a"], ["a"]), (False, True, [], []), (False, None, ["a"], ["a"]), (False, True, ["a", "b"], ["a"]), (False, True, ["a"], None)], "e boolean, o boolean, a array<string>, c array<string>")
     assert [r[0] for r in ends.select(rollouts.one_choice_terminated(*[F.col(c) for c in "eoac"])).collect()] == [True, True, False, False, False, False]
+
+
+TURN = {"category": None, "reason": None, "choice": "search", "content": None, "aspect": "hotel", "no_preference": None, "normal_search": None, "shown": None, "visible": None, "correct_ids": None, "phase_before": None, "aspect_before": None, "aspect_after": None,
+        "search_fallbacks": None, "preferences": None, "answers": None, "exact_repeats": None, "semantic_repeats": None, "infrastructure_errors": None, "wrong_answers": None}
+TURN_SCHEMA = ("k long, t long, category string, reason string, choice string, content string, aspect string, no_preference boolean, normal_search boolean, shown array<string>, visible array<string>, correct_ids array<string>, phase_before string, aspect_before string, aspect_after string, "
+               "search_fallbacks long, preferences long, answers long, exact_repeats long, semantic_repeats long, infrastructure_errors long, wrong_answers long")
+
+
+def test_turn_events(spark):
+    """Each turn with the flags that are true; a null counter has not grown, and the next is compared with the last known one."""
+    told = [
+        ({"choice": "action", "preferences": 2}, {"field_resolved"}, 2), ({"choice": "action", "preferences": None}, {"no_progress_action"}, 0), ({"choice": "action", "preferences": 2, "no_preference": True}, {"field_resolved"}, 0),
+        ({"search_fallbacks": 1, "aspect_before": "hotel", "aspect_after": "hotel"}, {"first_fallback"}, 0), ({"aspect": "flight", "search_fallbacks": 1, "aspect_before": "flight"}, {"first_fallback", "switched_aspect"}, 0), ({"search_fallbacks": 2, "exact_repeats": 1}, {"second_fallback", "exact_query_repeat"}, 0),
+        ({"normal_search": True, "shown": ["H1"], "phase_before": "search_retry_required", "search_fallbacks": 2, "exact_repeats": 1}, {"normal_candidates", "rewritten_retry"}, 0), ({"normal_search": True, "shown": []}, set(), 0),
+        ({"choice": "answer", "content": " H1, ", "visible": ["H1"], "correct_ids": ["H1"], "answers": 1}, {"answer_visible", "correct_answer"}, 0), ({"choice": "answer", "content": "H1,H2", "visible": ["H1"], "correct_ids": ["H1"], "answers": 2, "wrong_answers": 1}, {"wrong_answer"}, 0),
+        ({"category": "public_phase_guard", "reason": "The QUERY  would repeat", "preferences": 9, "search_fallbacks": 3}, {"guard_rejected", "exact_query_repeat"}, 0), ({"category": "unknown_tool", "reason": "already attempted", "choice": None}, {"malformed_tool_call"}, 0),
+        ({"category": "guard_rejection", "choice": "answer", "reason": "unseen or already answered option; current public aspect only"}, {"guard_rejected", "wrong_aspect", "invisible_answer_id"}, 0), ({"category": "parallel_tool_calls"}, {"no_tool_output"}, 0)]
+    df = spark.createDataFrame([(1, k, *{**TURN, **given}.values()) for k, (given, _, _) in enumerate(told)] + [(2, 0, *TURN.values())], TURN_SCHEMA)
+    got = {(r["k"], r["t"]): r for r in events.turn_events(df, "k", "t").collect()}
+    for k, (given, flags, fresh) in enumerate(told):
+        assert {f for f in events.FLAGS if got[1, k][f]} == flags and got[1, k]["new_preferences"] == fresh, given
+    assert not any(got[2, 0][f] for f in events.FLAGS)
+
+
+def test_probe_flags(spark):
+    cases = [
+        (("normal_search_result", "answer", " H1 ,", None, None, None, ["H1"], []), {"answer_at_1", "visible_id_only"}), (("normal_search_result", "answer", "h1", None, None, None, ["h1"], None), {"answer_at_1"}), (("preference_complete", "search", "Rental_Cars in Oslo", "rental_car", None, None, [], []), {"search_at_1", "clean_search_at_1", "search_targets_current_aspect"}),
+        (("preference_complete", "search", "hotelier", "hotel", None, None, [], []), {"search_at_1", "clean_search_at_1"}), (("first_fallback", "search", "Search hotels b", None, None, None, [], [("search", "hotels a"), ("action", "x"), ("search", "hotels a b")]), {"changed_query"}),
+        (("first_fallback", "search", "a  Hotels", None, None, None, [], [("search", "A HOTELS"), ("search", "hotels a b")]), {"changed_query", "exact_query_repeat"}), (("first_fallback", "search", "a", None, None, None, [], [("action", "a")]), set()),
+        (("second_fallback", "search", "flights", "hotel", None, "flight", [], []), {"switch_aspect"}), (("second_fallback", "search", "the hotel", "hotel", None, None, [], None), {"same_aspect_search"}), (("confused_history", "search", " a", None, None, None, [], [("search", "A")]), {"repeated_action", "repeated_search"}),
+        (("confused_history", "action", "a", None, None, None, [], [("search", "a"), ("action", "A ")]), {"repeated_action"}), (("confused_history", None, "a", None, None, None, [], [("search", "a")]), None), ((None, "search", None, None, None, None, None, None), set())]
+    df = spark.createDataFrame([(k, *c) for k, (c, _) in enumerate(cases)], "k long, category string, choice string, content string, current string, failed string, following string, visible array<string>, earlier array<struct<choice:string,content:string>>")
+    for r in events.probe_flags(df, ["k"]).collect():
+        expected = cases[r["k"]][1]
+        assert {c for c, v in r.asDict().items() if c != "k" and v} == (set() if expected is None else {"protocol_valid", *expected}), cases[r["k"]]
+
+
+def test_manifest_counts(spark):
+    schema = "task_id string, boundary_type string, c string, project_split string, composition string, training_eligible boolean, source_kinds array<string>"
+    df = spark.createDataFrame([("a", "x", "1", "evaluation", "22", True, ["t", None]), ("a", "x", "1", "evaluation", "22", None, ["t"]), ("b", None, "1", None, None, False, None)], schema)
+    got = {(r["section"], r["name"]): r["n"] for r in rollouts.boundary_manifest(df, ["task_id", "boundary_type", "c"], ["train", "evaluation"]).collect()}
+    assert got == {
+        ("total", "raw_candidates"): 3, ("total", "unique_contexts"): 2, ("total", "duplicates_removed"): 1, ("by_boundary_type", "x"): 1, ("by_boundary_type", "unknown"): 1, ("by_project_split", "evaluation"): 1, ("by_project_split", "unknown"): 1, ("by_composition", "22"): 1, ("by_composition", "unknown"): 1,
+        ("by_source_kind", "t"): 2, ("by_source_kind", "unknown"): 1, ("checks", "evaluation_contexts"): 1, ("checks", "training_contexts"): 1, ("checks", "evaluation_marked_training"): 1, ("checks", "unresolved_tasks"): 1}
+    assert {r["n"] for r in rollouts.boundary_manifest(df.limit(0), ["task_id", "boundary_type", "c"], ["train"]).collect()} <= {0}
+
+
+def test_states_options_and_sinks(spark, tmp_path):
+    schema = "k string, o long, d string, lists array<array<string>>, best string, correct array<string>"
+    df = spark.createDataFrame([("t", 2, "flight", [["f", "s", "p", "i", "x"], ["f", "s", "p"]], "F1", ["F1", "F2"]), ("t", 1, "hotel", [["h", "s", "p", "i"]], None, None), ("u", 1, "hotel", None, None, [])], schema)
+    got = {r["k"]: r for r in rollouts.initial_state(df, "k", "o", "d", "lists", "best", "correct").collect()}
+    assert [(p["id"], p["dimension"], p["implicit_elicitation"], p["elicited"]) for p in got["t"]["preferences"]] == [("P1", "hotel", "i", False), ("P2", "flight", "i", False)]
+    assert (got["t"]["search_arguments"], got["t"]["best_options"], got["t"]["correct_options"], got["u"]["preferences"]) == (["hotel", "flight"], ["F1"], ["F1", "F2"], [])
+    options = spark.createDataFrame([("t", kind, f"{kind}{i % 7}", "x") for kind in ("correct", "wrong", "noise") for i in range(8)], "task string, kind string, option string, reason string")
+    listed = tables.option_lists(options, ["task"], "kind", "option", "s", {"wrong": 3, "noise": 0})
+    assert sorted(listed.columns) == ["option", "place", "task"]
+    rows = sorted((r["place"], r["option"]) for r in listed.collect())
+    assert [p for p, _ in rows] == list(range(11)) and sum(o.startswith("correct") for _, o in rows) == 8 and not any(o.startswith("noise") for _, o in rows)
+    assert sorted(r["option"] for r in tables.option_lists(options.repartition(7), ["task"], "kind", "option", "s", {"wrong": 3, "noise": 0}).collect()) == sorted(o for _, o in rows)
+    paths = {n: f"{tmp_path}/{n}" for n in ("gold", "silver", "rejected", "diagnostics")}
+    outcomes = spark.createDataFrame([(1, "gold"), (2, None), (3, "odd"), (4, "silver")], "id long, tier string")
+    with pytest.raises(ValueError):
+        tables.write_collection(outcomes, outcomes, {**paths, "silver": paths["gold"] + "/"}, "tier")
+    tables.write_collection(outcomes, outcomes, paths, "tier")
+    assert {n: sorted(r["id"] for r in spark.read.json(p).collect()) for n, p in paths.items()} == {"gold": [1], "silver": [4], "rejected": [2, 3], "diagnostics": [1, 2, 3, 4]}
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        tables.write_collection(outcomes, outcomes, paths, "tier")

@@ -258,6 +258,22 @@ def counted_lists(rows: DataFrame, key: str, size: Column, least: int = 4) -> Da
     return rows.groupBy(key).agg(F.count("*").alias("all_items"), F.count_if(size >= least).alias("counted"))
 
 
+def initial_state(dimensions: DataFrame, key: str, order: str, dimension: str, lists: str, best: str, correct: str, least: int = 4) -> DataFrame:
+    """(key, preferences, search_arguments, best_options, correct_options): a task's state before its first step.
+
+    lists: of each dimension an array of preferences, each an array of texts (aspect, subcategory, preference, implicit elicitation, ...);
+    only those of `least` or more get a number P1, P2, ... over the task's dimensions in order. A null list, best id or array is empty.
+    """
+    one = _in_order(order, dimension, lists, best, correct)
+    held = dimensions.groupBy(key).agg(one.alias("d"))
+    long = F.filter(F.flatten(F.transform("d", lambda x: F.transform(F.coalesce(x[lists], F.array().cast("array<array<string>>")), lambda p: F.struct(x[dimension].alias("dimension"), p.alias("p"))))), lambda y: F.size(y["p"]) >= least)
+    names = ("aspect", "subcategory", "preference", "implicit_elicitation")
+    made = F.transform(long, lambda y, i: F.struct(F.concat(F.lit("P"), (i + 1).cast("string")).alias("id"), *[y["p"][k].alias(n) for k, n in enumerate(names)], y["dimension"].alias("dimension"), F.lit(False).alias("elicited")))
+    return held.select(
+        key, made.alias("preferences"), F.transform("d", lambda x: x[dimension]).alias("search_arguments"), F.filter(F.transform("d", lambda x: x[best]), lambda b: b.isNotNull()).alias("best_options"),
+        F.flatten(F.transform("d", lambda x: F.coalesce(x[correct], F.array().cast("array<string>")))).alias("correct_options"))
+
+
 def last_of_key(rows: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
     """One row a key: the columns of its last row."""
     return rows.groupBy(*key).agg(F.max(F.struct(order, *columns)).alias("r")).select(*key, F.col(f"r.{order}").alias(order), *[F.col(f"r.{c}").alias(c) for c in columns])
@@ -307,6 +323,32 @@ def counts_by(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupingSets([[c] for c in columns], *columns).agg(F.count("*").alias("n"))
 
 
+def boundary_manifest(candidates: DataFrame, context: list[str], known_splits: list[str], evaluation: str = "evaluation") -> DataFrame:
+    """(section, name, n) of boundary contexts, of which copies (equal in `context`) count once with all their provenance.
+
+    Columns besides `context`, which holds task_id and boundary_type: project_split, composition, training_eligible, source_kinds (an entry
+    a provenance). Sections: total, by_boundary_type, by_project_split, by_composition, by_source_kind (an entry each), checks. Null counts as
+    unknown. Copies take split and composition that are first by name; one shuffle by context, then sums of a few rows.
+    """
+    kinds = F.flatten(F.collect_list(F.coalesce("source_kinds", F.array().cast("array<string>"))))
+    unique = candidates.groupBy(*context).agg(F.count("*").alias("__n"), F.min("project_split").alias("project_split"), F.min("composition").alias("composition"), F.max(expr.is_true(F.col("training_eligible"))).alias("eligible"), kinds.alias("kinds"))
+    cell = lambda section, name, n: F.struct(F.lit(section).alias("section"), F.coalesce(name, F.lit("unknown")).alias("name"), n.cast("long").alias("n"))
+    one, extra = F.lit(1), F.col("__n") - 1
+    held, trained, strange = F.col("project_split") == evaluation, F.col("eligible"), ~expr.is_true(F.col("project_split").isin(known_splits))
+    cells = [cell("total", F.lit("raw_candidates"), F.col("__n")), cell("total", F.lit("unique_contexts"), one), cell("total", F.lit("duplicates_removed"), extra)]
+    cells += [cell(f"by_{c}", F.col(c).cast("string"), one) for c in ("boundary_type", "project_split", "composition")]
+    cells += [cell("checks", F.lit(name), expr.is_true(c).cast("long")) for name, c in (("evaluation_contexts", held), ("training_contexts", trained), ("evaluation_marked_training", held & trained))]
+    many = F.transform("kinds", lambda k: cell("by_source_kind", k, one))
+    sums = unique.select(F.explode(F.concat(F.array(*cells), many)).alias("c")).groupBy("c.section", "c.name").agg(F.sum("c.n").alias("n"))
+    unresolved = unique.where(strange).agg(F.countDistinct("task_id").alias("n")).select(F.lit("checks").alias("section"), F.lit("unresolved_tasks").alias("name"), "n")
+    return sums.unionByName(unresolved)
+
+
+def source_inventory(files: DataFrame, kind: str, counts: list[str]) -> DataFrame:
+    """(kind, files, sums of the counts) of source files; a null count is 0."""
+    return files.groupBy(kind).agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts])
+
+
 def last_scores(rows: DataFrame, key: str, turn: str, score: str, top: float) -> DataFrame:
     """(key, last_score, top): the last rollout's score, and how many of the key's scores equal `top`."""
     return rows.groupBy(key).agg(F.max_by(score, turn).alias("last_score"), F.count_if(F.col(score) == top).alias("top"))

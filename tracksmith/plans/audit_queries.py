@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators import events, invariants, notes, pools, rollouts
-from tracksmith.plans.bind import TASKS, TURNS, read, tasks, turns
+from tracksmith.plans.bind import RESULTS, TASKS, TURNS, read, results, tasks, turns
 from tracksmith.plans.splits_queries import query
+from tracksmith.sources import tables
 
 # Results: an order is a result, its line numbers are aspects; 26 of 31 keep their figures, with one fault each. Both dialects read these texts.
 
@@ -260,3 +261,69 @@ def _(spark, d):
     t = t.withColumn("earlier", F.collect_list(F.struct("choice", "content")).over(w)).withColumn("choice", F.when(F.col("event_id") % 13 != 0, F.col("choice")))
     aspects = {"current": F.lit("hotel"), "failed": F.when(F.col("event_id") % 2 == 0, "hotel"), "following": F.lit("flight"), "visible": F.array(F.lit("H1"), F.lit("H2"))}
     return events.probe_flags(t.withColumns(aspects), ["trajectory", "turn"])
+
+
+# Boundary contexts: an order is a candidate; copies have customer, kind and month in common.
+
+_CANDIDATE = {"boundary_type": "CASE o_orderkey % 3 WHEN 0 THEN 'first_fallback' WHEN 1 THEN 'second_fallback' ELSE 'preference_complete' END", "eligible": "o_orderkey % 4 = 0", "task": "o_custkey % 60"}
+_SPLIT = "CASE task % 7 WHEN 0 THEN 'evaluation' WHEN 1 THEN 'other' WHEN 2 THEN NULL ELSE 'train' END"
+
+
+@query("a_18_manifest", f"""WITH o AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _CANDIDATE.items())} FROM orders), k AS (SELECT task, boundary_type, o_orderstatus, count(*) AS n, bool_or(eligible) AS eligible, count(*) FILTER (o_orderkey % 2 = 0) AS teachers, count(*) FILTER (o_orderkey % 5 = 0) AS failed, count(*) FILTER (o_orderkey % 9 = 0 AND o_orderkey % 10 <> 7) AS none FROM o GROUP BY 1, 2, 3),
+  u AS (SELECT *, {_SPLIT} AS split, CASE WHEN task % 11 <> 0 THEN '22' END AS composition FROM k)
+  SELECT * FROM (SELECT 'total' AS section, 'raw_candidates' AS name, sum(n)::BIGINT AS n FROM u UNION ALL SELECT 'total', 'unique_contexts', count(*) FROM u UNION ALL SELECT 'total', 'duplicates_removed', sum(n - 1)::BIGINT FROM u UNION ALL SELECT 'by_boundary_type', boundary_type, count(*) FROM u GROUP BY 2
+  UNION ALL SELECT 'by_project_split', coalesce(split, 'unknown'), count(*) FROM u GROUP BY 2 UNION ALL SELECT 'by_composition', coalesce(composition, 'unknown'), count(*) FROM u GROUP BY 2 UNION ALL SELECT 'by_source_kind', 'teacher', sum(teachers)::BIGINT FROM u UNION ALL SELECT 'by_source_kind', 'failed', sum(failed)::BIGINT FROM u UNION ALL SELECT 'by_source_kind', 'unknown', sum(none)::BIGINT FROM u
+  UNION ALL SELECT 'checks', 'evaluation_contexts', count(*) FILTER (split = 'evaluation') FROM u UNION ALL SELECT 'checks', 'training_contexts', count(*) FILTER (eligible) FROM u UNION ALL SELECT 'checks', 'evaluation_marked_training', count(*) FILTER (split = 'evaluation' AND eligible) FROM u UNION ALL SELECT 'checks', 'unresolved_tasks', count(DISTINCT task) FILTER (split IS NULL OR split = 'other') FROM u)""")
+def _(spark, d):
+    o = read(spark, d, "orders").selectExpr("*", *[f"{e} AS {c}" for c, e in _CANDIDATE.items()])
+    k = F.col("o_orderkey")
+    kinds = F.concat(F.array_compact(F.array(F.when(k % 2 == 0, "teacher"), F.when(k % 5 == 0, "failed"))), F.when(k % 9 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    rows = o.select(F.col("task").alias("task_id"), "boundary_type", "o_orderstatus", F.expr(_SPLIT).alias("project_split"), F.when(F.col("task") % 11 != 0, "22").alias("composition"), F.col("eligible").alias("training_eligible"), F.when(k % 10 != 7, kinds).alias("source_kinds"))
+    return rollouts.boundary_manifest(rows, ["task_id", "boundary_type", "o_orderstatus"], ["train", "validation", "evaluation"])
+
+
+@query("a_18_inventory", "SELECT source, count(*) AS files, sum(coalesce(n_chars, 0))::BIGINT AS n_chars FROM documents GROUP BY 1")
+def _(spark, d):
+    return rollouts.source_inventory(read(spark, d, "documents").select("source", "n_chars"), "source", ["n_chars"])
+
+
+# States, options and sinks
+
+@query("x_2_state", """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey) AS p, count(*) AS n FROM lineitem GROUP BY 1, 2), x AS (SELECT k, i, p, unnest(generate_series(1, CASE WHEN p % 5 = 0 THEN 0 ELSE n END)) AS j FROM l),
+  y AS (SELECT *, 'P' || row_number() OVER (PARTITION BY k ORDER BY i, j) AS id FROM x WHERE (p + j) % 6 >= 4), z AS (SELECT k, string_agg(id || ':' || 'd' || i || ':' || 't' || j, ',' ORDER BY i, j) AS preferences FROM y GROUP BY 1)
+  SELECT k, coalesce(preferences, '') AS preferences, string_agg('d' || i, ',' ORDER BY i) AS search_arguments, coalesce(string_agg('B' || p, ',' ORDER BY i) FILTER (p % 4 <> 0), '') AS best_options, coalesce(string_agg('C' || p || ',D' || p, ',' ORDER BY i) FILTER (p % 3 <> 0), '') AS correct_options FROM l LEFT JOIN z USING (k) GROUP BY k, preferences""")
+def _(spark, d):
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.min("l_partkey").alias("p"), F.count("*").alias("n"))
+    text = lambda prefix: F.concat(F.lit(prefix), F.col("p").cast("string"))
+    one = lambda j: F.slice(F.array(F.lit("a"), F.lit("s"), F.concat(F.lit("t"), j.cast("string")), F.lit("e"), F.lit("m")), F.lit(1), ((F.col("p") + j) % 6).cast("int"))
+    lists = F.when(F.col("p") % 5 != 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), one))
+    rows = lines.select("k", "i", F.concat(F.lit("d"), F.col("i").cast("string")).alias("dimension"), lists.alias("lists"), F.when(F.col("p") % 4 != 0, text("B")).alias("best"), F.when(F.col("p") % 3 != 0, F.array(text("C"), text("D"))).alias("correct"))
+    made = rollouts.initial_state(rows, "k", "i", "dimension", "lists", "best", "correct")
+    said = F.transform("preferences", lambda x: F.concat_ws(":", x["id"], x["dimension"], x["preference"]))
+    return made.select("k", F.array_join(said, ",").alias("preferences"), *[F.array_join(c, ",").alias(c) for c in ("search_arguments", "best_options", "correct_options")])
+
+
+@query("io_14_options", """WITH o AS (SELECT o_custkey AS task, CASE o_orderstatus WHEN 'F' THEN 'correct' WHEN 'O' THEN 'wrong' ELSE 'noise' END AS kind, o_orderkey AS option FROM orders), h AS (SELECT *, sha256('seed' || chr(0) || task || '|' || kind || '|' || option) AS h FROM o),
+  n AS (SELECT *, row_number() OVER (PARTITION BY task, kind ORDER BY h) AS n FROM h), k AS (SELECT * FROM n WHERE kind = 'correct' OR (kind = 'wrong' AND n <= 3) OR (kind = 'noise' AND n <= 2)) SELECT task, option, row_number() OVER (PARTITION BY task ORDER BY sha256(h), n) - 1 AS place FROM k""")
+def _(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "correct").when(F.col("o_orderstatus") == "O", "wrong").otherwise("noise")
+    options = read(spark, d, "orders").select(F.col("o_custkey").alias("task"), kind.alias("kind"), F.col("o_orderkey").alias("option"), F.lit("t").alias("type"), F.lit("r").alias("reason"))
+    return tables.option_lists(options, ["task"], "kind", "option", "seed", {"wrong": 3, "noise": 2})
+
+
+@query("io_9_written", f"WITH {RESULTS}, t AS (SELECT task_id, CASE WHEN valid AND completion >= 0.6 THEN 'gold' WHEN valid AND completion >= 0.3 THEN 'silver' ELSE 'rejected' END AS tier FROM results) SELECT tier, count(*) AS n, sum(task_id::BIGINT)::BIGINT AS ids FROM t GROUP BY 1 UNION ALL SELECT 'diagnostics', count(*), sum(o_orderkey)::BIGINT FROM orders")
+def _(spark, d):
+    tier = F.when(F.col("valid"), F.when(F.col("completion") >= 0.6, "gold").when(F.col("completion") >= 0.3, "silver"))
+    base = tables.scratch(spark, "collection")
+    paths = {name: f"{base}/{name}" for name in ("gold", "silver", "rejected", "diagnostics")}
+    tables.write_collection(results(spark, d).select("task_id", tier.alias("tier")), read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("task_id")), paths, "tier")
+    found = [spark.read.schema("task_id string").json(path).select(F.lit(name).alias("tier"), F.col("task_id").cast("long").alias("id")) for name, path in paths.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("tier").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("io_10_written", "SELECT c_mktsegment, count(*)::VARCHAR AS n, (count(*) FILTER (c_nationkey % 2 = 0))::VARCHAR AS by_even, CASE WHEN count(*) FILTER (c_nationkey % 25 = 0) > 0 THEN (count(*) FILTER (c_nationkey % 25 = 0))::VARCHAR END AS by_first FROM customer GROUP BY 1")
+def _(spark, d):
+    path, even, first = tables.scratch(spark, "comparison"), F.count_if(F.col("c_nationkey") % 2 == 0), F.count_if(F.col("c_nationkey") % 25 == 0)
+    by = F.map_filter(F.create_map(F.lit("even"), even, F.lit("first"), first), lambda k, v: (v > 0) | (k == "even"))
+    tables.write_csv(read(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), by.alias("by")), path, "by", ["even", "first"])
+    return spark.read.option("header", "true").csv(path)

@@ -9,6 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.storagelevel import StorageLevel
+
+from tracksmith.functions.expr import stable_key
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
@@ -97,6 +100,41 @@ def write_tiers(df: DataFrame, path: str, tier: str, mode: str = "errorifexists"
     df.write.mode(mode).partitionBy(tier).option("compression", "zstd").parquet(path)
 
 
+def write_collection(outcomes: DataFrame, attempts: DataFrame, paths: dict[str, str], tier: str, mode: str = "errorifexists") -> None:
+    """JSON lines of gold and silver outcomes, of those with neither tier (rejected), and of all attempts (diagnostics).
+
+    paths: a folder for each of the four names, all different (else ValueError). A null tier is rejected. The outcomes are kept
+    for the three writes, so that they are worked out once; a folder that exists already stops with mode errorifexists.
+    """
+    names = ("gold", "silver", "rejected", "diagnostics")
+    if set(paths) != set(names) or len({p.rstrip("/") for p in paths.values()}) != len(names):
+        raise ValueError(f"{', '.join(names)} need a folder each")
+    own = F.when(F.col(tier).isin("gold", "silver"), F.col(tier)).otherwise("rejected")
+    kept = outcomes.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for name in names[:3]:
+            kept.where(own == name).write.mode(mode).json(paths[name])
+    finally:
+        kept.unpersist()
+    attempts.write.mode(mode).json(paths["diagnostics"])
+
+
+def option_lists(options: DataFrame, by: list[str], kind: str, option: str, seed: str, most: dict[str, int], left_out: tuple[str, ...] = ("type", "reason")) -> DataFrame:
+    """options in a shuffled order: `place` from 0 within `by`, without the columns `left_out` and the kind.
+
+    Of a kind in `most` only so many stay. Both the choice and the order are by hash of seed and option, which no layout changes;
+    the same option of another kind hashes apart. Ties (an option twice) keep both.
+    """
+    hashed = options.withColumn("__h", stable_key(seed, F.concat_ws("|", *[F.col(c).cast("string") for c in by], kind, F.col(option).cast("string"))))
+    limit = F.lit(None).cast("int")
+    for k, n in most.items():
+        limit = F.when(F.col(kind) == k, n).otherwise(limit)
+    nth = F.row_number().over(Window.partitionBy(*by, kind).orderBy("__h"))
+    kept = hashed.withColumn("__n", nth).where(limit.isNull() | (F.col("__n") <= limit))
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2("__h", 256), "__n")) - 1)
+    return placed.drop("__h", "__n", kind, *left_out)
+
+
 def write_csv(df: DataFrame, path: str, flat: str | None = None, keys: list[str] | None = None) -> None:
     """CSV with a header; a map column becomes a column for each key."""
     if flat:

@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from tracksmith.llm import centroids, collocations, mixing
+from tracksmith.llm import centroids, collocations, common, mixing, quality
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -228,3 +228,17 @@ def test_best_is_exact_with_few_slices(spark):
     found = collocations.best(rows, "g", [F.desc("s"), F.asc("p")], 40, 5).collect()
     want = sorted(rows.collect(), key=lambda r: (r["g"], -r["s"], r["p"]))
     assert sorted((r["g"], r["rank"], r["p"]) for r in found) == sorted((g, k, r["p"]) for g in (0, 1) for k, r in enumerate([r for r in want if r["g"] == g][:40], 1))
+
+
+def test_quality_fits_on_so_many_rows_of_one_id(spark):
+    """An id that many rows repeat gives no more than the sample to the fit, the same ones in every layout."""
+    import numpy as np
+
+    rows = [(1, f"good words number {i}") for i in range(60)] + [(2, f"BAD!! words {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    learnt = labels.where(common.remainder_column(F.col("doc_id"), quality.HELD_OUT[0]) != quality.HELD_OUT[1]).count()
+    few = [quality.train(docs.repartition(n), labels, sample=10) for n in (1, 7)]
+    assert learnt and np.array_equal(few[0][0], few[1][0]) and few[0][1] == few[1][1]
+    whole, wider = quality.train(docs, labels), quality.train(docs, labels, sample=65)
+    assert np.array_equal(whole[0], wider[0]) and not np.array_equal(whole[0], few[0][0])

@@ -123,7 +123,11 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fit on the labelled rows that are not held out, or on `sample` of them."""
+    """Fit on the labelled rows that are not held out, or on `sample` of them.
+
+    The bound holds for labelled ids and again for their rows in docs, as one id may have any number of them: of more than
+    `sample` rows those with the least hash of id and features are taken, so each task sends and the fitting one keeps so many.
+    """
     modulus, held = HELD_OUT
     learnt = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
     learnt = learnt.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (common.remainder_column(F.col("doc_id"), modulus) != held))
@@ -147,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         yield common.record_batch(weighed, [(weights.tobytes(), bias)])
 
     numbers = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
-    fitted = numbers.mapInArrow(featurise, "doc_id long, label int, bucket binary, value binary").repartition(1).mapInArrow(fit, "weights binary, bias double").collect()
+    examples = numbers.mapInArrow(featurise, "doc_id long, label int, bucket binary, value binary")
+    bounded = examples.orderBy(F.xxhash64(*example.names), "doc_id").limit(sample)
+    fitted = bounded.coalesce(1).mapInArrow(fit, "weights binary, bias double").collect()
     return (np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"]) if fitted else (np.zeros(BUCKETS, np.float32), 0.0)
 
 

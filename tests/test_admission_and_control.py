@@ -191,6 +191,35 @@ def test_waves_equal_a_loop(spark):
     assert got == {s: (a, u, number, a < q) for s, (q, a, u) in state.items()}
 
 
+def test_many_waves_take_few_jobs(spark, monkeypatch):
+    """Against a loop, where what succeeds depends on the wave; jobs are counted, as a job a wave is too many for large strata."""
+    from tracksmith.operators import splits
+
+    start = [("a", 700, 0, 900), ("b", 90, 20, 80), ("c", 500, 5, 450)]
+    state = {s: [q, a, u] for s, q, a, u in start}
+    number = 0
+    while any(a < q and u > 0 for q, a, u in state.values()):
+        number += 1
+        capacity = {s: min(max(0, q - a), u) for s, (q, a, u) in state.items()}
+        offers = sorted(((capacity[s] / k, capacity[s], s) for s in state for k in range(1, capacity[s] + 1)), reverse=True)[:20]
+        for s in state:
+            n = sum(o[2] == s for o in offers)
+            state[s][1] += n - n * (number % 3) // 4
+            state[s][2] -= n
+    assert number > 60
+    frame = spark.createDataFrame(start, "stratum string, quota bigint, accepted bigint, untried bigint")
+    monkeypatch.setattr(splits, "WAVE_ROWS", 21 * 25, raising=False)
+    spark.sparkContext.setJobGroup("many-waves", "")
+    try:
+        got = {r["stratum"]: (r["accepted"], r["untried"], r["waves"], r["exhausted"]) for r in splits.waves(frame, 20, F.expr("seats - seats * (wave_no % 3) DIV 4")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-waves"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {s: (a, u, number, a < q) for s, (q, a, u) in state.items()}
+    assert jobs < number
+    assert splits.waves(frame.limit(0), 20, F.col("seats")).count() == 0
+
+
 def test_contract_names_what_differs(spark, tmp_path):
     from tracksmith.sources import tables
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tracksmith.functions import expr
 
 DIGITS = 2
+#: Values of `accept` (a wave's seats by waves) that waves() works out in one job.
+WAVE_ROWS = 100_000
 
 
 def hash_rank(df: DataFrame, strata: list[str], key: str, tie: str, out: str = "rank") -> DataFrame:
@@ -139,19 +141,50 @@ def next_wave(state: DataFrame, wave: int) -> DataFrame:
     return state.select("stratum").join(ranked.where(f"place <= {wave}").groupBy("stratum").agg(F.count("*").alias("seats")), "stratum", "left").select("stratum", F.coalesce("seats", F.lit(0)).alias("seats"))
 
 
+def _wave(state: Column, wave: int, accepts: Column) -> Column:
+    """An array of strata (in order of their names) after one wave, by the rule of next_wave(); accepts: of 0, 1, ... seats."""
+    capacity = F.transform(state, lambda s: F.least(F.greatest(F.lit(0), s["quota"] - s["accepted"]), s["untried"]))
+    nothing = F.array().cast("array<struct<average:double,capacity:bigint,place:int>>")
+
+    def offers(c: Column, place: Column) -> Column:
+        seats = F.transform(F.sequence(F.lit(1), F.least(c, F.lit(wave))), lambda seat: F.struct((c / seat).alias("average"), c.cast("long").alias("capacity"), place.alias("place")))
+        return F.when(c > 0, seats).otherwise(nothing)
+
+    def seated(best: Column) -> Column:
+        def moved(s: Column, place: Column) -> Column:
+            own = F.size(F.filter(best, lambda o: o["place"] == place))
+            return expr.let(own, lambda n: F.struct(s["stratum"].alias("stratum"), s["quota"].alias("quota"), (s["accepted"] + F.get(accepts, n)).cast("long").alias("accepted"), (s["untried"] - n).cast("long").alias("untried")))
+
+        return F.transform(state, moved)
+
+    return expr.let(F.slice(F.sort_array(F.flatten(F.transform(capacity, offers)), False), 1, wave), seated)
+
+
 def waves(state: DataFrame, wave: int, accept: Column) -> DataFrame:
     """Waves until every quota is met or nothing is left to try: (stratum, accepted, untried, waves, exhausted).
 
-    `accept` says how many of a wave's seats succeed, from columns seats and wave_no. State is a row a stratum.
+    `accept` says how many of a wave's seats succeed, from columns seats and wave_no. State is a row a stratum. A wave needs
+    the one before, so the strata are folded over as many waves at a time as WAVE_ROWS values of `accept` allow: a job each.
     """
-    now = state.select("stratum", "quota", "accepted", "untried")
-    number = 0
-    while not now.where("accepted < quota AND untried > 0").isEmpty():
-        number += 1
-        seats = next_wave(now, wave)
-        now = now.join(seats, "stratum").withColumn("wave_no", F.lit(number)).select("stratum", "quota", (F.col("accepted") + accept).cast("long").alias("accepted"), (F.col("untried") - F.col("seats")).alias("untried"))
-        now = now.sparkSession.createDataFrame(now.collect(), now.schema)  # a row a stratum
-    return now.select("stratum", "accepted", "untried", F.lit(number).cast("long").alias("waves"), (F.col("accepted") < F.col("quota")).alias("exhausted"))
+    spark = state.sparkSession
+    long = [F.col(c).cast("long").alias(c) for c in ("quota", "accepted", "untried")]
+    now = state.select(F.sort_array(F.collect_list(F.struct("stratum", *long))).alias("strata"), F.lit(0).cast("long").alias("number"))
+    waiting = lambda strata: F.exists(strata, lambda s: expr.is_true((s["accepted"] < s["quota"]) & (s["untried"] > 0)))
+    size = max(1, WAVE_ROWS // (wave + 1))
+
+    def step(acc: Column, accepts: Column) -> Column:
+        return F.when(waiting(acc["strata"]), F.struct(_wave(acc["strata"], wave, accepts).alias("strata"), (acc["number"] + 1).alias("number"))).otherwise(acc)
+
+    first = 1
+    now = spark.createDataFrame(now.collect(), now.schema)  # one row, a struct a stratum
+    while not now.where(waiting(F.col("strata"))).isEmpty():
+        seats = spark.range(size * (wave + 1)).select((F.col("id") % (wave + 1)).alias("seats"), (F.floor(F.col("id") / (wave + 1)) + first).cast("int").alias("wave_no"))
+        each = seats.select("wave_no", F.struct("seats", accept.alias("n")).alias("s")).groupBy("wave_no").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["n"]).alias("accepts"))
+        table = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("wave_no", "accepts"))), lambda w: w["accepts"]).alias("accepts"))
+        now = now.crossJoin(table).select(F.aggregate("accepts", F.struct("strata", "number"), step).alias("s")).select("s.*")
+        now = spark.createDataFrame(now.collect(), now.schema)
+        first += size
+    return now.select(F.explode("strata").alias("s"), F.col("number").alias("waves")).select("s.stratum", "s.accepted", "s.untried", "waves", (F.col("s.accepted") < F.col("s.quota")).alias("exhausted"))
 
 
 def proportional_subset(df: DataFrame, stratum: str, task: str, seed: str, target: int) -> DataFrame:

@@ -214,3 +214,21 @@ def test_states_options_and_sinks(spark, tmp_path):
     assert {n: sorted(r["id"] for r in spark.read.json(p).collect()) for n, p in paths.items()} == {"gold": [1], "silver": [4], "rejected": [2, 3], "diagnostics": [1, 2, 3, 4]}
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         tables.write_collection(outcomes, outcomes, paths, "tier")
+
+
+def test_zeros_have_the_sign_of_the_sql(spark, tmp_path):
+    """A figure that rounds to zero from below is -0.0 in SQL; where a raw reward is zero, the order of its terms decides."""
+    import math
+
+    from tests.oracle import connect
+    from tracksmith.plans import catalog
+
+    keys = [22933, 24193, 13615, 6]
+    spark.createDataFrame([(k, 1, 3.0) for k in keys], "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["v_18_derived"]).fetchall()
+    got = [tuple(r[c] for c in ("k", "problem", "stored", "derived")) for r in catalog.QUERIES["v_18_derived"](spark, str(tmp_path)).collect()]
+    signs = lambda rows: sorted((k, p, *[None if v is None else (v, math.copysign(1, v)) for v in vs]) for k, p, *vs in rows)
+    assert signs(got) == signs(want)
+    assert any(v == 0 and math.copysign(1, v) < 0 for _, _, *vs in got for v in vs if v is not None)

@@ -15,6 +15,12 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
+def signed_round(x: Column, digits: int) -> Column:
+    """x rounded; a zero has the sign of x, as IEEE 754 and SQL's round have it (F.round gives a positive one)."""
+    rounded = F.round(x, digits)
+    return F.when(rounded == 0, x * F.lit(0.0)).otherwise(rounded)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value worked out once: within lambda functions nothing else keeps a repeated part from it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,6 +6,8 @@ infinite breaks its own rule, never one that it is only an input of; a result wi
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -61,9 +63,7 @@ def result_problems(df: DataFrame, key: list[str]) -> DataFrame:
     expected_rate = lambda p: F.when(p["opportunities"] == 0, 1.0).otherwise(F.try_divide(p["successes"].cast("double"), p["opportunities"]))
     counted = is_true((c("attempts") >= 0) & (c("steps") >= 0) & (c("guard_rejections") >= 0) & (c("guard_rejections") <= c("attempts")) & (c("steps") <= c("attempts")))
     effective = reward.effective_steps(c("steps"), c("attempts"), c("guard_rejections"))
-    raw = -c("__penalty")
-    for name, weight in reward.WEIGHTS.items():
-        raw += weight * c(INPUTS[name])
+    raw = functools.reduce(operator.add, [weight * c(INPUTS[name]) for name, weight in reward.WEIGHTS.items()]) - c("__penalty")
     given = finite(c("policy_penalty"))
     for name in INPUTS.values():
         given &= finite(c(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracksmith.functions import expr
 from tracksmith.operators import events, invariants, notes, pools, rollouts
 from tracksmith.plans.bind import RESULTS, TASKS, TURNS, read, results, tasks, turns
 from tracksmith.plans.splits_queries import query
@@ -67,7 +68,7 @@ _BROKEN = ", ".join(f"CASE WHEN NOT coalesce({good}, false) THEN {{'problem': '{
   p AS (SELECT k, unnest(list_filter([{_BROKEN}], lambda x: x IS NOT NULL)) AS p FROM s) SELECT k, p.problem AS problem, round(p.stored, 7) AS stored, round(p.derived, 7) AS derived FROM p""")
 def _(spark, d):
     found = invariants.result_problems(stored(spark, d), ["k"])
-    return found.withColumns({c: F.round(c, 7) for c in ("stored", "derived")})
+    return found.withColumns({c: expr.signed_round(F.col(c), 7) for c in ("stored", "derived")})
 
 
 # Notes: after each turn of eight comes a note on a state made from the event's columns; every sixth refuses the call first.

@@ -742,6 +742,46 @@ def test_copies_that_differ_in_a_passage_are_linked(spark):
     assert all(i // 8 == c // 8 for i, c in got.items())
 
 
+def test_groups_have_the_links_of_fingerprints_and_of_similarity(spark):
+    """Against all pairs: what the fingerprints link at 4 bits, by the anchors, is linked at any similarity; so are texts of 0.8."""
+    rng = np.random.default_rng(21)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(3000)]
+
+    def some(n):
+        return [str(w) for w in rng.choice(vocabulary, n)]
+
+    texts = []
+    for family in range(12):
+        passage = some(11)
+        texts += [passage * 14 + some(40 + 12 * k) for k in range(3)]  # a repeated passage rules the fingerprint, not the set
+        words = some(200)
+        texts += [words, words[:170], words[:100] + some(1) + words[101:], some(150)]
+    texts = [" ".join(t) for t in texts]
+    prints = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    by_print = unlike = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near, alike = bin(prints[i] ^ prints[j]).count("1") <= 4, similarity(texts[i], texts[j]) >= 0.8
+            unlike += near and not alike and prints[i] != prints[j]
+            by_print += near and not alike
+            if near or alike:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    assert by_print > unlike > 0
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(frame).collect()} == {i: find(i) for i in range(len(texts))}
+    assert {r["doc_id"] for r in simhash.keep_one(frame).collect()} == {find(i) for i in range(len(texts))}
+    classes = collections.Counter(r["component_id"] for r in simhash.classes(frame).collect())
+    assert len(classes) >= len({find(i) for i in range(len(texts))})
+
+
 def test_links_connect_all_within_radius(spark):
     """Chains and dense groups of near fingerprints, among random ones."""
     rng = np.random.default_rng(9)

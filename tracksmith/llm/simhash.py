@@ -14,9 +14,10 @@ anchors are compared by shifts over the whole batch; in a large one (a big group
 drops what it has reached, so that dense groups cost about as much as they have members. A batch of anchors emits each
 fingerprint with the least that it reaches there, not all pairs; connected components of these are those of all links.
 
-classes() has these fingerprints. similar() and keep_one() are for texts of a similarity of 0.8 or more in five-word
-shingles, which lie about 10 of 64 bits apart, too far for any index of 4. So there a text has two things, both of its set
-of five-word shingles alone, so that it doesn't matter whether copies differ in scattered words or in one passage:
+classes() has these fingerprints. similar() and keep_one() have them too, found by the same anchors: whatever classes()
+links is linked there. Besides, they link texts of a similarity of 0.8 or more in five-word shingles, most of which lie about
+10 of 64 bits apart, too far for any index of 4. For these a text has two more things, both of its set of five-word
+shingles alone, so that it doesn't matter whether copies differ in scattered words or in one passage:
 
 * BANDS keys, each of the least values that BAND_ROWS hashes take on the set. Two sets have such a least value in common
   with a probability of their similarity, so a pair at 0.8 has no key in common with a probability of (1 - 0.8^5)^40,
@@ -25,8 +26,9 @@ of five-word shingles alone, so that it doesn't matter whether copies differ in
   the most, 39 at 0.8; the smallest sets (four of five shingles) in 48, as a tie gives a zero, with a standard deviation
   of 6. LIKE_RADIUS (80) lies five above that.
 
-Two texts are candidates if they share a key and LIKE holds; those connected make a class. Texts are linked if the Jaccard
-similarity of their sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
+Two texts are candidates if they share a key and LIKE holds; those connected make a class. Such texts are linked if the
+Jaccard similarity of their sets of five-word shingles, taken within the classes (confirm.py), really is 0.8 or more.
+Groups are the connected components of both kinds of links together.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; rows with a null
 doc_id have a fingerprint but no component and link nobody; repeated rows give repeated rows; rows of one id and different
@@ -168,16 +170,16 @@ _SIGNATURE = [f"w{k}" for k in range(LIKE_WORDS)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, size, w0, w1, ..., bands) of every row; numbers as signed longs, bands as the keys' bytes."""
+    """(doc_id, text_hash, fp, node, size, w0, w1, ..., bands) of every row; numbers as signed longs, bands as the keys' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.rows(batches, "doc_id", "text", "text_hash"):
             found = [signature(t) for _, t, _ in part]
             prints = np.array([p for _, _, p, _ in found], np.uint64).reshape(len(part), -1).view(np.int64)
-            own = {"doc_id": pa.array([i for i, *_ in part], pa.int64()), "text_hash": pa.array([h for *_, h in part], pa.int64()), "node": pa.array([n for n, *_ in found], pa.int64()), "size": pa.array([n for _, n, *_ in found], pa.int64())}
+            own = {"doc_id": pa.array([i for i, *_ in part], pa.int64()), "text_hash": pa.array([h for *_, h in part], pa.int64()), "fp": np.array([fingerprint(t) for _, t, _ in part], np.uint64).view(np.int64), "node": pa.array([n for n, *_ in found], pa.int64()), "size": pa.array([n for _, n, *_ in found], pa.int64())}
             yield pa.RecordBatch.from_pydict(own | {w: prints[:, k] for k, w in enumerate(_SIGNATURE)} | {"bands": pa.array([b.tobytes() for *_, b in found], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, ", ".join(["doc_id long", "text_hash long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE], "bands binary"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, ", ".join(["doc_id long", "text_hash long", "fp long", "node long", "size long", *[f"{w} long" for w in _SIGNATURE], "bands binary"]))
 
 
 def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -370,6 +372,14 @@ def classes(docs: DataFrame) -> DataFrame:
     return spread_join(found, named, "fp", limit).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _fingerprint_links(found: DataFrame, limit: int) -> DataFrame:
+    """(a, b): links between nodes that have one fingerprint, or fingerprints within RADIUS; enough to connect all of them."""
+    held = common.cut(found.select("fp", "node").distinct())
+    first = common.cut(held.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = spread_join(held, first, "fp", limit).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return common.cut(links(first.select(F.col("first").alias("node"), "fp"), "node").unionByName(same).where("a <> b"))
+
+
 def _grouped(docs: DataFrame, chunk: int) -> DataFrame:
     """(doc_id, text_hash, best) of every row of docs with an id; best is the least (doc_id, text_hash) of the row's group."""
     found = common.cut(signatures(docs).where("doc_id is not null"))
@@ -378,7 +388,8 @@ def _grouped(docs: DataFrame, chunk: int) -> DataFrame:
     nodes = common.cut(found.groupBy("node").agg(row, F.count("*").alias("n")).select("node", "n", F.struct("row.doc_id", "row.text_hash").alias("own"), F.col("row.doc_id").alias("least"), "row.size", *[f"row.{w}" for w in _SIGNATURE], "row.bands"))
     members = nodes.drop("bands", "n", "own").join(components(links(nodes, "node", _SIGNATURE, SIMILAR)), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = components(confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk))
+    alike = confirm.confirmed(texts, members, _SIGNATURE, shingle_set, set_name, _alike, SIMILARITY, chunk)
+    groups = components(_fingerprint_links(found, limit).unionByName(alike))
     joined = nodes.select("node", "own", F.col("n").alias("rows")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = spread_join(joined, joined.groupBy("component").agg(F.min("own").alias("best"), F.count("*").alias("n")), "component", limit)
     named = common.cut(named.select("node", "best", F.col("rows").alias("n")))
@@ -386,7 +397,7 @@ def _grouped(docs: DataFrame, chunk: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, chunk: int = confirm.CHUNK) -> DataFrame:
-    """(doc_id, component_id) of every row of docs; texts of similarity 0.8 are linked, a component is named by its least id."""
+    """(doc_id, component_id) of every row of docs: what classes() links and texts of similarity 0.8 are linked, a component is named by its least id."""
     nameless = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id")).where("doc_id is null")
     return _grouped(docs, chunk).select("doc_id", F.col("best.doc_id").alias("component_id")).unionByName(nameless)
 

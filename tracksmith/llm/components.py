@@ -1,10 +1,14 @@
 """Connected components of links in a table, by alternating large-star and small-star steps.
 
-Each step is an aggregation with map-side sums and a join; nothing but two numbers a step comes to the driver.
+Each step is an aggregation with map-side sums and a join; nothing but two numbers a step comes to the driver. A step has
+several shuffles, each with as many tasks as there are shuffle partitions on both sides, and each task leaves files. So where
+PART links a task make fewer tasks than that, the steps run in so few: every row takes part as before.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from tracksmith.llm import common
 MOST_STEPS = 60
 #: A key that has more than one row in HEAVY (and over 1,000) is joined by broadcast; there are fewer than HEAVY of these.
 HEAVY = 20_000
+#: Links a task, where that makes fewer tasks than there are shuffle partitions.
+PART = 20_000
 
 
 def most(rows: int) -> int:
@@ -41,13 +47,20 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = common.cut(edges), None
     total = edges.count()
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(df: DataFrame) -> DataFrame:
+        tasks = max(1, math.ceil(total / PART))
+        return df.coalesce(tasks) if tasks < partitions else df
+
     for _ in range(MOST_STEPS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), least, "u", most(total)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.cut(small)
+        edges = packed(edges)
+        both = packed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = packed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = packed(packed(spread_join(both.where("v > u"), least, "u", most(total)).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        least = packed(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = common.cut(packed(packed(small).distinct()))
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         total = sums["n"]
         if before == (sums["n"], sums["s"]):
@@ -55,4 +68,4 @@ def components(links: DataFrame) -> DataFrame:
         before = (sums["n"], sums["s"])
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(packed(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

@@ -94,6 +94,47 @@ def test_bpe_very_long_pieces():
     assert codec.decode(found) == [t.encode() for t in texts]
 
 
+def test_bpe_merges_new_pieces_of_many_texts_together(monkeypatch):
+    """1,500 texts of a few new words each cost one query of merges and one of bytes, not two for every 256 texts."""
+    import pyarrow as pa
+    import tiktoken
+
+    path, pattern = tokenizer()
+    ranks = bpe.Ranks(path)
+    codec = bpe.Codec(ranks, pattern)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.token_of, special_tokens={})
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("etaoinshr  .7é\n"), 60)) for _ in range(1_497)] + [None, "", "x" * 300 + " x"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(at, at + 300)), "text": pa.array(texts[at : at + 300], pa.string())}) for at in range(0, 1_500, 300)]
+
+    class Counted:
+        def __init__(self, db):
+            self.db, self.asked = db, []
+
+        def sql(self, text):
+            self.asked.append(text)
+            return self.db.sql(text)
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+    def run():
+        return [(doc_id, *pair) for part in bpe._parts(iter(batches)) for (doc_id, _), pair in zip(part, codec.round_trip([t for _, t in part]), strict=True)]
+
+    expected = [(k, " ".join(map(str, encoding.encode_ordinary(t or ""))).encode(), (t or "").encode()) for k, t in enumerate(texts)]
+    assert len(list(bpe._parts(iter(batches)))) == 1
+    short = [batch.slice(0, 298) for batch in batches]
+    codec.db = Counted(codec.db)
+    part = [row for batch in short for row in zip(*batch.to_pydict().values(), strict=True)]
+    list(codec.round_trip([t for _, t in part]))
+    assert codec.db.asked == [bpe.MERGE, bpe.DECODE]
+    assert run() == expected
+    monkeypatch.setattr(bpe, "PIECES_KEPT", 50)  # forgetting, and parts of few texts, change nothing
+    monkeypatch.setattr(bpe, "PART_CHARS", 20_000)
+    assert len(list(bpe._parts(iter(batches)))) > 5
+    assert run() == expected
+
+
 # 2
 
 def test_bpe_shifted_runs():

@@ -1,9 +1,9 @@
 """Operator 1: byte-level BPE encoding and decoding with DuckDB inside each partition.
 
-Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of a run of documents become rows
-(piece, position, token), at first one row a byte. A recursive query joins neighbouring rows with the merge table and
-contracts, in each piece, the pair of least rank, until no pair of the piece is in the table. An ordered aggregation
-of the tokens' bytes decodes.
+Texts are cut into pieces by the tokenizer's pattern. Each distinct piece of a run of documents becomes a row of two
+lists: its tokens, at first its bytes, and the tokens that neighbours would make. A recursive query contracts, in each
+piece, the leftmost pair of least rank and joins the new token and its two neighbours with the merge table, until no pair
+of the piece is in the table. An ordered aggregation of the tokens' bytes decodes.
 
 A piece of over BLOCK bytes is cut into blocks, which are merged side by side, and neighbours are joined in pairs: the
 last tokens of one and the first of the other are decoded and merged anew. A sequence is the encoding of its bytes if and
@@ -15,7 +15,8 @@ a query: the same contraction, a step for each pair and not for each state. A lo
 length, whatever it holds.
 
 Nothing is shuffled; the merge table (bounded by the vocabulary) is the only thing sent to executors. Memory is bounded
-by PIECES_KEPT pieces and RUNS_KEPT runs, by QUERY_ROWS rows of a query (all its states) and by the longest text.
+by PIECES_KEPT pieces and RUNS_KEPT runs, by QUERY_TOKENS tokens of a query (all its states), by PART_CHARS characters of
+texts that are encoded together and by the longest text.
 
 Defined results: a null or empty text has no tokens (hashes of the empty string); repeated rows give repeated rows;
 an empty table gives no rows; other columns of the input are ignored.
@@ -36,47 +37,42 @@ from pyspark.sql import functions as F
 from tracksmith.llm import common
 
 #: Pieces whose tokens a Python worker remembers, and runs of tokens whose bytes; bytes of pieces given to one query, and
-#: rows of all states of a query.
+#: tokens of all states of a query.
 PIECES_KEPT, RUNS_KEPT = 1_000_000, 600_000
 QUERY_BYTES = 400_000
-QUERY_ROWS = 5_000_000
+QUERY_TOKENS = 5_000_000
+#: Characters of texts whose new pieces are merged together (a step of a query costs the same for few pieces and for many);
+#: each text counts as TEXT_CHARS more.
+PART_CHARS, TEXT_CHARS = 4_000_000, 100
 
 #: Bytes of a block, tokens on either side of a border that are merged anew at first, and bytes of them at the most.
 BLOCK, BORDER, SHORT = 64, 4, 128
 #: Bytes that one heap holds, and settled tokens before them that are merged anew at first.
 WINDOW, BACK = 65_536, 8
 
-#: k is the byte's place among all bytes of the query, with one place left out between pieces, so that the row at k + len
-#: is a token's right neighbour; the least number (token, place) is the leftmost pair of least rank.
-MERGE = """
-WITH RECURSIVE state(w, k, id, len, step) AS (
-    SELECT w, pos, id, 1::INT, 0::INT FROM byte_rows
-  UNION ALL (
-    WITH best AS (
-        SELECT a.w, min((m.token::BIGINT << 32) | a.k) AS best,
-               arg_min(b.k, (m.token::BIGINT << 32) | a.k) AS gone,
-               arg_min(a.len + b.len, (m.token::BIGINT << 32) | a.k) AS len
-        FROM state a
-        JOIN state b ON b.k = a.k + a.len
-        JOIN merges m ON m.pair = ((a.id::BIGINT << 32) | b.id)
-        GROUP BY a.w)
-    SELECT s.w, s.k,
-           CASE WHEN s.k = (t.best & 4294967295) THEN (t.best >> 32)::INT ELSE s.id END,
-           CASE WHEN s.k = (t.best & 4294967295) THEN t.len ELSE s.len END,
-           s.step + 1
-    FROM state s JOIN best t ON t.w = s.w
-    WHERE s.k <> t.gone)
+#: Stands for the token of a pair that is not in the merge table.
+NONE = 2**31 - 1
+
+#: pairs[i] is the token of ids[i - 1] and ids[i]; with NONE at both ends it is one longer than ids. The first place of the
+#: least token is the leftmost pair of least rank.
+MERGE = f"""
+WITH RECURSIVE state(w, ids, pairs, least) AS (
+    SELECT w, ids, pairs, list_min(pairs) FROM pieces
+  UNION ALL
+    SELECT w, ids, pairs, list_min(pairs)
+    FROM (
+        SELECT s.w, s.ids[:s.i - 2] || [s.least] || s.ids[s.i + 1:] AS ids,
+               s.pairs[:s.i - 2] || [coalesce(a.token, {NONE}), coalesce(b.token, {NONE})] || s.pairs[s.i + 2:] AS pairs
+        FROM (SELECT *, list_position(pairs, least) AS i FROM state WHERE least < {NONE}) s
+        LEFT JOIN merges a ON a.pair = ((s.ids[s.i - 2]::BIGINT << 32) | s.least)
+        LEFT JOIN merges b ON b.pair = ((s.least::BIGINT << 32) | s.ids[s.i + 1]))
 )
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY k) AS ids
-FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
-GROUP BY w ORDER BY w
+SELECT array_to_string(ids, ' ') AS ids FROM state WHERE least = {NONE} ORDER BY w
 """
 
-DECODE = """
-SELECT t.w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
-FROM sequences t JOIN vocabulary v ON v.id = t.id
-GROUP BY t.w ORDER BY t.w
-"""
+#: The tokens of many sequences in one order, with a blank between two sequences.
+DECODE = "SELECT string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM sequences t JOIN vocabulary v ON v.id = t.id"
+BLANK = -1
 
 
 class Ranks:
@@ -97,6 +93,7 @@ class Codec:
 
     def __init__(self, ranks: Ranks, pattern: str) -> None:
         import duckdb
+        import numpy as np
 
         self.cut = regex.compile(pattern).findall
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "600MB", "temp_directory": ""})
@@ -106,13 +103,21 @@ class Codec:
         self.merges = ranks.merges
         self.token_of_pair: dict[int, int] = {}
         merges = pa.table({"pair": pa.array(pair, pa.int64()), "token": pa.array(token, pa.int32())})
-        vocabulary = pa.table({"id": pa.array(ranks.token_of.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks.token_of], pa.string())})
+        hex_of = {BLANK: " "} | {rank: token.hex() for token, rank in ranks.token_of.items()}
+        vocabulary = pa.table({"id": pa.array(hex_of, pa.int32()), "hex": pa.array(hex_of.values(), pa.string())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        #: Tokens of two neighbouring bytes; 256 stands for the end of a piece.
+        self.byte_pairs = np.full((257, 257), NONE, np.int32)
+        byte_of = {i: b for b, i in enumerate(ranks.byte_ids)}
+        for a, b, rank in ranks.merges:
+            if a in byte_of and b in byte_of:
+                self.byte_pairs[byte_of[a], byte_of[b]] = rank
         self.known: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
+        self.trips: dict[str, tuple[bytes, bytes]] = {}
 
     def pieces(self, text: str | None) -> list[str]:
         return self.cut(text) if text else []
@@ -121,26 +126,28 @@ class Codec:
         """Encode pieces that are not known yet."""
         if len(self.known) > PIECES_KEPT:
             self.known.clear()
-        short, long = [], []
-        for piece in pieces:
-            raw = piece.encode("utf-8", "surrogatepass")
-            (short if len(raw) <= SHORT else long).append((piece, raw))
-        for (piece, _), ids in zip(short, self.merge([raw for _, raw in short]), strict=True):
-            self.known[piece] = ids
-        for (piece, _), ids in zip(long, self.merge_long([raw for _, raw in long]), strict=True):
-            self.known[piece] = " ".join(map(str, ids)).encode()
+        new = list(pieces)
+        self.known.update(zip(new, self._encode(new), strict=True))
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Decimal ids of pieces, joined by one space."""
+        raws = [piece.encode("utf-8", "surrogatepass") for piece in pieces]
+        long = [raw for raw in raws if len(raw) > SHORT]
+        merged = iter(self.merge([raw for raw in raws if len(raw) <= SHORT] if long else raws))
+        merged_long = iter(self.merge_long(long))
+        return [next(merged) if len(raw) <= SHORT else " ".join(map(str, next(merged_long))).encode() for raw in raws] if long else list(merged)
 
     def merge(self, raws: list[bytes]) -> list[bytes]:
-        """Decimal ids of byte strings of up to SHORT bytes, in queries of a bounded number of rows."""
+        """Decimal ids of byte strings of up to SHORT bytes, in queries of a bounded number of tokens."""
         out: list[bytes] = []
-        part, size, rows = [], 0, 0
+        part, size, tokens = [], 0, 0
         for raw in raws:
             part.append(raw)
             size += len(raw)
-            rows += len(raw) * (len(raw) + 1) // 2  # a token less a step
-            if size >= QUERY_BYTES or rows >= QUERY_ROWS:
+            tokens += len(raw) * (len(raw) + 1) // 2  # a token less a step
+            if size >= QUERY_BYTES or tokens >= QUERY_TOKENS:
                 out += self._query(part)
-                part, size, rows = [], 0, 0
+                part, size, tokens = [], 0, 0
         return out + (self._query(part) if part else [])
 
     def _merged(self, raws: list[bytes]) -> list[list[int]]:
@@ -222,44 +229,62 @@ class Codec:
     def _query(self, raws: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        lengths = np.fromiter(map(len, raws), np.int64)
         flat = np.frombuffer(b"".join(raws), np.uint8)
-        w = np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
+        ends = np.cumsum([0, *map(len, raws)], dtype=np.int32)
+        number = np.arange(len(raws) + 1, dtype=np.int32)
+        spaced = np.insert(flat.astype(np.int32), ends, 256)
         rows = pa.table({
-            "w": w,
-            "pos": np.arange(len(flat), dtype=np.int32) + w,
-            "id": np.asarray(self.byte_ids, np.int32)[flat],
+            "w": number[:-1],
+            "ids": pa.ListArray.from_arrays(ends, np.asarray(self.byte_ids, np.int32)[flat]),
+            "pairs": pa.ListArray.from_arrays(ends + number, self.byte_pairs[spaced[:-1], spaced[1:]]),
         })
-        self.db.register("byte_rows", rows)
+        self.db.register("pieces", rows)
         found = self.db.sql(MERGE).to_arrow_table()
-        self.db.unregister("byte_rows")
+        self.db.unregister("pieces")
         return [ids.encode() for ids in found.column("ids").to_pylist()]
 
     def encode(self, texts: list[str | None]) -> list[list[bytes]]:
         """For each text the tokens of its pieces: decimal ids joined by one space."""
         cut = [self.pieces(t) for t in texts]
-        if fresh := {p for pieces in cut for p in pieces}.difference(self.known):
-            if len(self.known) > PIECES_KEPT:
-                fresh = {p for pieces in cut for p in pieces}
-            self.learn(sorted(fresh))
+        given = set().union(*cut)
+        if fresh := given.difference(self.known):
+            self.learn(sorted(given if len(self.known) > PIECES_KEPT else fresh))
         return [list(map(self.known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, sequences: list[list[bytes]]) -> list[bytes]:
         """The bytes of token sequences, each given as runs of decimal ids; each distinct run is aggregated once."""
         if len(self.decoded) > RUNS_KEPT:
             self.decoded.clear()
+        fresh = list(set().union(*sequences).difference(self.decoded))
+        self.decoded.update(zip(fresh, self._decode(fresh), strict=True))
+        return [b"".join(map(self.decoded.__getitem__, s)) for s in sequences]
+
+    def _decode(self, runs: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        fresh = list({run for s in sequences for run in s}.difference(self.decoded))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            ids = np.array(b" ".join(part).split(), np.int32)
-            sizes = np.fromiter((run.count(b" ") + 1 for run in part), np.int64, len(part))
-            self.db.register("sequences", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-            raw = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
+        out: list[bytes] = []
+        for at in range(0, len(runs), 20_000):
+            ids = np.array((b" %d " % BLANK).join(runs[at : at + 20_000]).split(), np.int32)
+            self.db.register("sequences", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+            text = self.db.sql(DECODE).to_arrow_table().column("hex")[0].as_py()
             self.db.unregister("sequences")
-            self.decoded.update(zip(part, raw, strict=True))
-        return [b"".join(map(self.decoded.__getitem__, s)) for s in sequences]
+            out += map(bytes.fromhex, text.split(" "))
+        return out
+
+    def round_trip(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text its decimal ids joined by one space, and the bytes that they decode to; each distinct piece is decoded once."""
+        cut = [self.pieces(t) for t in texts]
+        given = set().union(*cut)
+        fresh = list(given.difference(self.trips))
+        if fresh and len(self.trips) > PIECES_KEPT:
+            self.trips.clear()
+            fresh = list(given)
+        if fresh:
+            runs = self._encode(fresh)
+            self.trips.update(zip(fresh, zip(runs, self._decode(runs), strict=True), strict=True))
+        for pieces in cut:
+            ids, raw = zip(*map(self.trips.__getitem__, pieces), strict=True) if pieces else ((), ())
+            yield b" ".join(ids), b"".join(raw)
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -312,17 +337,29 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_column: str = "d
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Ids and texts in lists of about PART_CHARS characters."""
+    part, size = [], 0
+    for rows in common.rows(batches, "doc_id", "text", step=64):
+        part += rows
+        size += sum(len(text or "") + TEXT_CHARS for _, text in rows)
+        if size >= PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+    common.release()
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode every whole text and decode the ids: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     ranks = docs.sparkSession.sparkContext.broadcast(Ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks, pattern)
-        for part in common.rows(batches, "doc_id", "text", step=256):
-            encoded = codec.encode([t for _, t in part])
+        for part in _parts(batches):
             out = []
-            for (doc_id, _), runs, raw in zip(part, encoded, codec.decode(encoded), strict=True):
-                ids = b" ".join(runs)
+            for (doc_id, _), (ids, raw) in zip(part, codec.round_trip([t for _, t in part]), strict=True):
                 out.append((doc_id, ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield common.record_batch(DIGEST, out)
 
